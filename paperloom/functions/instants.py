@@ -12,6 +12,7 @@ as `to_utc_timestamp` has it); digits finer than microseconds are cut off; witho
 from __future__ import annotations
 
 import zoneinfo
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,23 +116,29 @@ CASCADE = [
 ]
 
 
-def _with_day(df: DataFrame, date: str, locale: Column, out: str) -> DataFrame:
-    """`out`: days since 1970 of the date text `date`, by the cascade; null for all that names no existing day."""
-    text = F.regexp_replace(_plain(F.col(date)), _weekday_pattern(), "")
-    df = df.withColumn("_d", text)
-    hit = F.coalesce(*[F.when(F.col("_d").rlike(p), F.concat(F.lit(kind + " "), F.regexp_replace("_d", p, to))) for kind, p, to in CASCADE])
-    df = df.withColumn("_p", F.split(hit, " "))
-    kind, first, second, third = (F.col("_p")[i] for i in range(4))
-    df = df.withColumns({"_y": _number(first), "_a": _month_number(second), "_b": _number(third)})
-    y, a, b = F.col("_y"), F.col("_a"), F.col("_b")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once: without it every mention would repeat the whole expression."""
+    return F.transform(F.array(value), body)[0]
+
+
+def day_number(date: Column, locale: Column) -> Column:
+    """Days since 1970 of a date without a time, by the cascade; null for all that names no existing day."""
     month_first = locale.isNull() | locale.isin(*MONTH_FIRST_LOCALES)
-    slash = F.when(month_first, F.coalesce(_day(y, a, b), _day(y, b, a))).otherwise(F.coalesce(_day(y, b, a), _day(y, a, b)))
-    in_week = _monday_of_week_1(y) + (a - 1) * 7 + (b - 1)
-    week = F.when((a >= 1) & (b >= 1) & (b <= 7) & (in_week < _monday_of_week_1(y + 1)), in_week)
-    of_year = _day(y, F.lit(1), F.lit(1)) + a - 1
-    ordinal = F.when((a >= 1) & (of_year < _day(y + 1, F.lit(1), F.lit(1))), of_year)
-    day = F.when(kind == "slash", slash).when(kind == "week", week).when(kind == "ordinal", ordinal).when(kind == "day", _day(y, a, b))
-    return df.withColumn(out, day).drop("_d", "_p", "_y", "_a", "_b")
+
+    def day(p: Column) -> Column:
+        kind, y, a, b = p["kind"], p["y"], p["a"], p["b"]
+        slash = F.when(month_first, F.coalesce(_day(y, a, b), _day(y, b, a))).otherwise(F.coalesce(_day(y, b, a), _day(y, a, b)))
+        in_week = _monday_of_week_1(y) + (a - 1) * 7 + (b - 1)
+        week = F.when((a >= 1) & (b >= 1) & (b <= 7) & (in_week < _monday_of_week_1(y + 1)), in_week)
+        of_year = _day(y, F.lit(1), F.lit(1)) + a - 1
+        ordinal = F.when((a >= 1) & (of_year < _day(y + 1, F.lit(1), F.lit(1))), of_year)
+        return F.when(kind == "slash", slash).when(kind == "week", week).when(kind == "ordinal", ordinal).when(kind == "day", _day(y, a, b))
+
+    def parts(text: Column) -> Column:
+        hits = [F.when(text.rlike(p), F.concat(F.lit(kind + " "), F.regexp_replace(text, p, to))) for kind, p, to in CASCADE]
+        return let(F.split(F.coalesce(*hits), " "), lambda x: F.struct(x[0].alias("kind"), _number(x[1]).alias("y"), _month_number(x[2]).alias("a"), _number(x[3]).alias("b")))
+
+    return let(let(F.regexp_replace(_plain(date), _weekday_pattern(), ""), parts), day)
 
 
 def _offset_us(zone: Column) -> Column:
@@ -153,55 +160,61 @@ def known_zones(spark: SparkSession) -> list[str]:
     return sorted(z for z in ids if "/" in z or z in ("UTC", "GMT"))
 
 
-def with_epoch_us(df: DataFrame, value: str, locale: str, default_zone: str, out: str = "epoch_us") -> DataFrame:
-    """`df` and `out`: microseconds since 1970-01-01 UTC of a value that names one existing day or counts seconds or
-    milliseconds since then.
+def epoch_us(value: Column, locale: Column, default_zone: Column, zones: list[str]) -> Column:
+    """Microseconds since 1970-01-01 UTC of a value that names one existing day or counts seconds or milliseconds
+    since then.
 
     Null, blank, partial (months, years, quarters), worded and impossible values give null. The default zone applies
-    where the value has none; a default that is null or unknown to the session counts as UTC.
+    where the value has none; a default that is null or not among `zones` (see `known_zones`) counts as UTC.
     """
-    known = F.array(*[F.lit(z) for z in known_zones(df.sparkSession)])
-    df = df.withColumn("_s", F.trim(F.regexp_replace(value, r"[\s\u00a0\u2000-\u200b\u202f\u3000]+", " ")))
-    s = F.col("_s")
-    split = lambda p: F.when(s.rlike(p), F.split(F.regexp_replace(s, p, "\u0001".join(f"${i}" for i in range(1, 8))), "\u0001"))
-    day_only = F.when(s.rlike(_ZONED_DAY), F.split(F.regexp_replace(s, _ZONED_DAY, "$1" + "\u0001" * 6 + "$2"), "\u0001"))
-    df = df.withColumn("_t", F.coalesce(split(_COMPACT), split(_TIMED), day_only, F.array(s, *[F.lit("")] * 6)))
-    part = [F.col("_t")[i] for i in range(7)]
-    half, h = F.lower(F.substring(part[5], 1, 1)), _number(part[1])
-    hour = F.when(half == "p", F.when(h <= 12, h % 12 + 12)).when(half == "a", F.when(h <= 12, h % 12)).otherwise(h)
-    df = df.withColumns({
-        "_date": F.regexp_replace(part[0], r"[, ]+$", ""),
-        "_zone": part[6],
-        "_h": hour,
-        "_m": _number(part[2]),
-        "_sec": F.when(part[3] == "", 0).otherwise(_number(part[3])),
-        "_us": F.when(part[4] == "", 0).otherwise(_number(F.rpad(F.substring(part[4], 1, 6), 6, "0"))),
-        "_timed": part[1] != "",
-    })
-    df = _with_day(df, "_date", F.col(locale), "_day")
-    clock = F.when((F.col("_h") < 24) & (F.col("_m") < 60) & (F.col("_sec") < 60), ((F.col("_h") * 60 + F.col("_m")) * 60 + F.col("_sec")).cast("long") * 1_000_000 + F.col("_us"))
-    zone, own = F.col("_zone"), F.trim(F.col(default_zone))
-    df = df.withColumns({
-        "_local": F.col("_day").cast("long") * 86_400_000_000 + F.when(F.col("_timed"), clock).otherwise(F.lit(0)),
-        "_named": F.regexp_extract(zone, _REGION, 0),
-        "_offset": _offset_us(zone),
-    })
-    region = F.when(F.col("_named") != "", F.when(F.array_contains(known, F.col("_named")), F.col("_named"))).otherwise(
-        F.when(F.array_contains(known, own), own).otherwise(F.lit("UTC"))
-    )
-    in_region = F.when((zone == "") | (F.col("_named") != ""), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("_local"), region)))
-    count = s.try_cast("decimal(20,6)")
-    counted = F.when(s.rlike(r"^\d{9,10}(\.\d+)?$"), (count * 1_000_000).cast("long")).when(s.rlike(r"^\d{12,13}(\.\d+)?$"), (count * 1_000).cast("long"))
-    done = df.withColumn(out, F.coalesce(counted, F.col("_local") - F.col("_offset"), in_region))
-    return done.drop("_s", "_t", "_date", "_zone", "_h", "_m", "_sec", "_us", "_timed", "_day", "_local", "_named", "_offset")
+    known = F.array(*[F.lit(z) for z in zones])
+    own = F.trim(default_zone)
+
+    def split(s: Column, pattern: str, to: list[str]) -> Column:
+        return F.when(s.rlike(pattern), F.split(F.regexp_replace(s, pattern, "\u0001".join(to)), "\u0001"))
+
+    def parts(s: Column) -> Column:
+        """date, hour, minute, second, fraction, half of the day, zone, the whole value"""
+        groups = [f"${i}" for i in range(1, 8)] + ["$0"]
+        day_only = split(s, _ZONED_DAY, ["$1", "", "", "", "", "", "$2", "$0"])
+        return F.coalesce(split(s, _COMPACT, groups), split(s, _TIMED, groups), day_only, F.array(s, *[F.lit("")] * 6, s))
+
+    def clock(part: Column) -> Column:
+        half, h = F.lower(F.substring(part[5], 1, 1)), _number(part[1])
+        hour = F.when(half == "p", F.when(h <= 12, h % 12 + 12)).when(half == "a", F.when(h <= 12, h % 12)).otherwise(h)
+        second = F.when(part[3] == "", 0).otherwise(_number(part[3]))
+        micros = F.when(part[4] == "", 0).otherwise(_number(F.rpad(F.substring(part[4], 1, 6), 6, "0")))
+        fields = F.struct(hour.alias("h"), _number(part[2]).alias("m"), second.alias("s"), micros.alias("us"))
+        ok = lambda t: (t["h"] < 24) & (t["m"] < 60) & (t["s"] < 60)
+        at = let(fields, lambda t: F.when(ok(t), ((t["h"] * 60 + t["m"]) * 60 + t["s"]).cast("long") * 1_000_000 + t["us"]))
+        return F.when(part[1] != "", at).otherwise(F.lit(0))
+
+    def placed(t: Column) -> Column:
+        """A local time in its zone: an offset, a region of the value, the default zone."""
+        region = F.when(t["named"] != "", F.when(F.array_contains(known, t["named"]), t["named"])).otherwise(
+            F.when(F.array_contains(known, own), own).otherwise(F.lit("UTC"))
+        )
+        in_region = F.when((t["zone"] == "") | (t["named"] != ""), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(t["local"]), region)))
+        return F.coalesce(t["local"] - t["offset"], in_region)
+
+    def dated(part: Column) -> Column:
+        local = day_number(F.regexp_replace(part[0], r"[, ]+$", ""), locale).cast("long") * 86_400_000_000 + clock(part)
+        time = F.struct(local.alias("local"), part[6].alias("zone"), F.regexp_extract(part[6], _REGION, 0).alias("named"), _offset_us(part[6]).alias("offset"))
+        return let(time, placed)
+
+    def counted(s: Column) -> Column:
+        n = s.try_cast("decimal(20,6)")
+        return F.when(s.rlike(r"^\d{9,10}(\.\d+)?$"), (n * 1_000_000).cast("long")).when(s.rlike(r"^\d{12,13}(\.\d+)?$"), (n * 1_000).cast("long"))
+
+    cleaned = F.trim(F.regexp_replace(value, r"[\s\u00a0\u2000-\u200b\u202f\u3000]+", " "))
+    return let(cleaned, lambda s: F.coalesce(counted(s), let(parts(s), dated)))
 
 
 def normalise(df: DataFrame, key: str, columns: list[str], locale: str = "doc_locale", zone: str = "time_zone") -> DataFrame:
-    """row_key, field_name, value, epoch_us: each dated value of `columns` once, however often its row was sent.
-
-    Values that are no case (see `with_epoch_us`) have a null epoch_us. Null keys are kept as one key.
+    """row_key, field_name, value, epoch_us: each value of `columns` that is a case (see `epoch_us`), once however often
+    its row was sent. Null keys are kept as one key; other columns are not read.
     """
+    zones = known_zones(df.sparkSession)
     pairs = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in columns])
-    long = df.select(F.col(key).alias("row_key"), F.col(locale).alias("_loc"), F.col(zone).alias("_tz"), F.inline(pairs))
-    long = long.where(F.col("value").isNotNull())
-    return with_epoch_us(long, "value", "_loc", "_tz").select("row_key", "field_name", "value", "epoch_us").distinct()
+    dated = F.transform(pairs, lambda p: F.struct(p["field_name"].alias("field_name"), p["value"].alias("value"), epoch_us(p["value"], F.col(locale), F.col(zone), zones).alias("epoch_us")))
+    return df.select(F.col(key).alias("row_key"), F.inline(F.filter(dated, lambda d: d["epoch_us"].isNotNull()))).distinct()

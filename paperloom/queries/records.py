@@ -21,8 +21,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Every value of the three date columns that names a day or counts time, as microseconds in UTC."""
     of = [("financial_document_fields", ["document_date", "due_date"]), ("job_offer_fields", ["start_date"])]
     parts = [instants.normalise(table(spark, root, name), "fields_id", columns).withColumn("table_name", F.lit(name)) for name, columns in of]
-    found = parts[0].unionByName(parts[1]).where(F.col("epoch_us").isNotNull())
-    return found.select("table_name", "row_key", "field_name", "epoch_us")
+    return parts[0].unionByName(parts[1]).select("table_name", "row_key", "field_name", "epoch_us")
 
 
 QUERIES = {"p4_found": p4_found, "p5_found": p5_found}
