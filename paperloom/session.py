@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: What the library needs of a session: UTC instants, maps whose later keys win, runtime re-planning.
@@ -43,3 +46,26 @@ def cut(df: DataFrame) -> DataFrame:
         shared = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or Path(os.path.join(tempfile.gettempdir(), "paperloom-checkpoints")).as_uri())
     return df.checkpoint()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the session's Python workers, once a session: they may start without it on their path."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="paperloom-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(target))  # served by the driver to every executor, also to one that joins later
+    _shipped.add(context.applicationId)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`df.mapInArrow` with the package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
