@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import map_batches
+
 BROADCAST_CHARS = 20_000_000
 #: Distinct raw words whose hashes a worker remembers before it starts anew; memory only.
 REMEMBERED = 500_000
@@ -202,7 +204,7 @@ def _by_broadcast(docs: DataFrame, items: list[tuple[int, str]], k: int, w: int,
                         item.append(index.ids[number])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(item, pa.int64())], names=["doc_id", "item_id"])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def _fingerprints(df: DataFrame, key: str, text: str, k: int, w: int, out: str) -> DataFrame:
@@ -218,7 +220,7 @@ def _fingerprints(df: DataFrame, key: str, text: str, k: int, w: int, out: str)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(grams), pa.array(at)], names=[out, "gram", "at"])
 
     kept = df.select(F.col(key).alias(out), text)
-    return kept.mapInArrow(run, f"{out} {kept.schema[out].dataType.simpleString()}, gram long, at int")
+    return map_batches(kept, run, f"{out} {kept.schema[out].dataType.simpleString()}, gram long, at int")
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, k: int, w: int, least: int, per_edit: int, schema: str) -> DataFrame:
@@ -238,7 +240,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, k: int, w: int, least: int, p
             ]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id")], names=["doc_id", "item_id"]).filter(pa.array(kept, pa.bool_()))
 
-    return full.mapInArrow(run, schema)
+    return map_batches(full, run, schema)
 
 
 def find(

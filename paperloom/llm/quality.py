@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import map_batches
+
 from paperloom.llm.languages import ANY
 
 REMEMBERED = 500_000
@@ -282,4 +284,4 @@ def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
     names = ["key", "word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "jsd_prose", "kind"]
     kept = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = f"key {kept.schema['key'].dataType.simpleString()}, word_count long, " + ", ".join(f"{n} double" for n in names[2:7]) + ", kind string"
-    return kept.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return map_batches(kept, run, schema).withColumnRenamed("key", key)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import map_batches
+
 #: Where the public vocabularies lie unless a path is given, and the file used by default.
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -153,5 +155,5 @@ def encode(df: DataFrame, key: str, text: str, tokenizers: str = TOKENIZERS, ran
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["key", "ids"])
 
     kept = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    out = kept.mapInArrow(run, f"key {kept.schema['key'].dataType.simpleString()}, ids array<int>")
+    out = map_batches(kept, run, f"key {kept.schema['key'].dataType.simpleString()}, ids array<int>")
     return out.withColumnRenamed("key", key)
