@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperloom.llm import leaks, quality, tokens
+from paperloom.llm import leaks, quality, splitting, tokens
 from paperloom.session import table
 
 
+def p6_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """The pieces of every run's text over 3,000 characters, each once."""
+    return splitting.split(table(spark, root, "document_state"), "run_id", "raw_text").dropDuplicates(["run_id", "piece_no"])
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """Runs whose text is split, and whether any cut had to be forced."""
+    pieces = splitting.split(table(spark, root, "document_state"), "run_id", "raw_text", with_text=False)
+    return pieces.groupBy("run_id").agg(F.when(F.max("forced"), "forced").otherwise("natural").alias("cut"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k, without special tokens."""
     return tokens.encode(table(spark, root, "documents"), "doc_id", "text")
@@ -28,5 +40,5 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return p10_stats(spark, root).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p10_stats": p10_stats, "p10_found": p10_found}
+QUERIES = {"p6_pieces": p6_pieces, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_stats": p10_stats, "p10_found": p10_found}
 SQL: dict[str, str] = {}
