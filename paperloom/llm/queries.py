@@ -5,10 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import leaks, quality, splitting, tokens
+from paperloom.llm import canonical, leaks, quality, splitting, tokens
+from paperloom.operators.nested import whole_json
 from paperloom.session import table
 
 
+#: Field of the extracted JSON to the reference list of its values.
+LISTED = {"work_location": "city", "place_of_birth": "city", "position_title": "job_title", "department": "department", "payment_method": "payment_method"}
+
+
+def p3_cases(spark: SparkSession, root: str) -> DataFrame:
+    """Every freely typed value (table_name, row_key, field_name, list_name, value) that is no canonical value as it
+    stands, each once."""
+    member = lambda name: F.try_variant_get("_json", f"$.{name}", "variant")
+    typed = [F.struct(F.lit(f).alias("field_name"), F.lit(n).alias("list_name"), F.when(F.schema_of_variant(member(f)) == "STRING", F.try_variant_get("_json", f"$.{f}", "string")).alias("value")) for f, n in LISTED.items()]
+    states = table(spark, root, "document_state").select("run_id", whole_json(F.col("extracted_fields")).alias("_json"))
+    states = states.select(F.lit("document_state").alias("table_name"), F.col("run_id").alias("row_key"), F.inline(F.array(*typed)))
+    requests = table(spark, root, "knowledge_schema_request").select(
+        F.lit("knowledge_schema_request").alias("table_name"), F.col("request_id").alias("row_key"), F.lit("doc_type").alias("field_name"), F.lit("doc_type").alias("list_name"), F.col("doc_type").alias("value")
+    )
+    lists = table(spark, root, "canonical_values").select("list_name", F.col("canonical_value").alias("value"))
+    cases = states.unionByName(requests).where(canonical.has_value(F.col("value")))
+    return cases.distinct().join(lists, ["list_name", "value"], "left_anti")
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """The entry that each freely typed value means, -1 where none is meant."""
+    matched = canonical.match(p3_cases(spark, root), table(spark, root, "canonical_values"))
+    return matched.select("table_name", "row_key", "field_name", "canonical_id").distinct()
+
+
 def p6_pieces(spark: SparkSession, root: str) -> DataFrame:
     """The pieces of every run's text over 3,000 characters, each once."""
     return splitting.split(table(spark, root, "document_state"), "run_id", "raw_text").dropDuplicates(["run_id", "piece_no"])
@@ -40,5 +66,5 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return p10_stats(spark, root).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
 
 
-QUERIES = {"p6_pieces": p6_pieces, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_stats": p10_stats, "p10_found": p10_found}
+QUERIES = {"p3_cases": p3_cases, "p3_found": p3_found, "p6_pieces": p6_pieces, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_stats": p10_stats, "p10_found": p10_found}
 SQL: dict[str, str] = {}
