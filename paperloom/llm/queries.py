@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import canonical, leaks, quality, splitting, tokens
+from paperloom.llm import canonical, leaks, pairs, quality, splitting, tokens
 from paperloom.operators.nested import whole_json
 from paperloom.session import table
 
 
+def p1_labels(spark: SparkSession, root: str) -> DataFrame:
+    """Every label of every defective pair, with its posterior."""
+    found = pairs.find(table(spark, root, "trace_log"))
+    return found.select("trace_id", F.inline("defects"))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """The defect of every defective pair; of several labels the first in the order of `pairs.DEFECTS`."""
+    return pairs.find(table(spark, root, "trace_log")).select("trace_id", F.col("defects")[0]["defect"].alias("defect"))
+
+
 #: Field of the extracted JSON to the reference list of its values.
 LISTED = {"work_location": "city", "place_of_birth": "city", "position_title": "job_title", "department": "department", "payment_method": "payment_method"}
 
@@ -66,5 +77,5 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return p10_stats(spark, root).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
 
 
-QUERIES = {"p3_cases": p3_cases, "p3_found": p3_found, "p6_pieces": p6_pieces, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_stats": p10_stats, "p10_found": p10_found}
+QUERIES = {"p1_labels": p1_labels, "p1_found": p1_found, "p3_cases": p3_cases, "p3_found": p3_found, "p6_pieces": p6_pieces, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_stats": p10_stats, "p10_found": p10_found}
 SQL: dict[str, str] = {}
