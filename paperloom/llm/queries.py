@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import canonical, leaks, pairs, quality, splitting, tokens
+from paperloom.llm import canonical, leaks, pairs, pii_text, quality, splitting, tokens
 from paperloom.operators.nested import whole_json
 from paperloom.session import table
 
@@ -57,6 +57,20 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return pieces.groupBy("run_id").agg(F.when(F.max("forced"), "forced").otherwise("natural").alias("cut"))
 
 
+def _p7(spark: SparkSession, root: str) -> DataFrame:
+    return pii_text.find(table(spark, root, "sample_dataset"), "document_id", "document_text", "ground_truth_pii")
+
+
+def p7_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """Every text with placeholders for personal data, each document once."""
+    return _p7(spark, root).select("document_id", "redacted").dropDuplicates(["document_id"])
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """Each distinct value of personal data of every document."""
+    return _p7(spark, root).select("document_id", F.inline("found")).distinct()
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k, without special tokens."""
     return tokens.encode(table(spark, root, "documents"), "doc_id", "text")
@@ -77,5 +91,5 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return p10_stats(spark, root).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
 
 
-QUERIES = {"p1_labels": p1_labels, "p1_found": p1_found, "p3_cases": p3_cases, "p3_found": p3_found, "p6_pieces": p6_pieces, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_stats": p10_stats, "p10_found": p10_found}
+QUERIES = {"p7_redacted": p7_redacted, "p7_found": p7_found, "p1_labels": p1_labels, "p1_found": p1_found, "p3_cases": p3_cases, "p3_found": p3_found, "p6_pieces": p6_pieces, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_stats": p10_stats, "p10_found": p10_found}
 SQL: dict[str, str] = {}
