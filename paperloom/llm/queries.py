@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import canonical, leaks, pairs, pii_text, quality, splitting, tokens
+from paperloom.llm import canonical, leaks, pairs, pii_text, quality, scans, splitting, tokens
 from paperloom.operators.nested import whole_json
-from paperloom.session import table
+from paperloom.session import cut, table
 
 
 def p1_labels(spark: SparkSession, root: str) -> DataFrame:
@@ -21,6 +21,25 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.find(table(spark, root, "trace_log")).select("trace_id", F.col("defects")[0]["defect"].alias("defect"))
 
 
+def _scanned(spark: SparkSession, root: str) -> list:
+    return [
+        (table(spark, root, "document_state"), "run_id", "raw_text", "document_state"),
+        (table(spark, root, "sample_dataset"), "document_id", "document_text", "sample_dataset"),
+    ]
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Every trace of a scanned page and what must stand there instead."""
+    return scans.find(_scanned(spark, root)).select("table_name", "row_key", "kind", "repaired").distinct()
+
+
+def p2_repaired(spark: SparkSession, root: str) -> DataFrame:
+    """The texts of both tables as continuous paragraphs, each row once."""
+    found = cut(scans.find(_scanned(spark, root)))
+    parts = [scans.repair(s, found).withColumn("table_name", F.lit(s[3])) for s in _scanned(spark, root)]
+    return parts[0].unionByName(parts[1]).dropDuplicates(["table_name", "row_key"])
+
+
 #: Field of the extracted JSON to the reference list of its values.
 LISTED = {"work_location": "city", "place_of_birth": "city", "position_title": "job_title", "department": "department", "payment_method": "payment_method"}
 
@@ -91,5 +110,5 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return p10_stats(spark, root).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
 
 
-QUERIES = {"p7_redacted": p7_redacted, "p7_found": p7_found, "p1_labels": p1_labels, "p1_found": p1_found, "p3_cases": p3_cases, "p3_found": p3_found, "p6_pieces": p6_pieces, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_stats": p10_stats, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p7_redacted": p7_redacted, "p7_found": p7_found, "p1_labels": p1_labels, "p1_found": p1_found, "p3_cases": p3_cases, "p3_found": p3_found, "p6_pieces": p6_pieces, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_stats": p10_stats, "p10_found": p10_found}
 SQL: dict[str, str] = {}
