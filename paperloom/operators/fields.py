@@ -88,7 +88,7 @@ def unfenced(text: Column) -> Column:
 def json_kind(value: Column) -> Column:
     """Type of a JSON text: boolean, integer, number, object, array or string; null counts as string."""
     return (
-        F.when(value.isin("true", "false"), "boolean").when(value.rlike("^-?[0-9]+$"), "integer").when(value.rlike("^-?[0-9.]+([eE][+-]?[0-9]+)?$"), "number")
+        F.when(value.isin("true", "false"), "boolean").when(value.rlike("^-?[0-9]+([.]0+)?$"), "integer").when(value.rlike("^-?[0-9.]+([eE][+-]?[0-9]+)?$"), "number")
         .when(F.startswith(value, F.lit("{")), "object").when(F.startswith(value, F.lit("[")), "array").otherwise("string")
     )
 

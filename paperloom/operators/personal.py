@@ -16,7 +16,11 @@ _BEFORE, _AFTER = "(?:^|[^A-Za-z0-9_])", "(?:[^A-Za-z0-9_]|$)"
 
 def recognised(text: Column) -> Column:
     """ARRAY<STRUCT<entity, value>> of all recognisers' hits, in the order of the recognisers."""
-    hits = [F.transform(F.regexp_extract_all(text, F.lit(f"{_BEFORE}({p}){_AFTER}"), 1), lambda v, e=e: F.struct(F.lit(e).alias("entity"), v.alias("value"))) for e, p in RECOGNISERS]
+
+    def of(entity: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(f"{_BEFORE}({pattern}){_AFTER}"), 1), lambda v: F.struct(F.lit(entity).alias("entity"), v.alias("value")))
+
+    hits = [of(e, p) for e, p in RECOGNISERS]
     return F.concat(*[F.coalesce(h, F.array().cast("array<struct<entity:string,value:string>>")) for h in hits])
 
 
