@@ -21,8 +21,8 @@ def is_missing(value: Column, empty_list: bool = True, empty_object: bool = True
 
 #: The presets by place of use: what counts as missing differs.
 MISSING = {
-    "rules": {"empty_object": False}, "accuracy": {"empty_list": False}, "report": {"empty_list": False, "placeholders": False},
-    "counts": {"placeholders": False, "empty_object": False}, "repair": {"placeholders": False}, "display": {"placeholders": False, "empty_list": True},
+    "rules": {"empty_object": False}, "accuracy": {"empty_list": False}, "report": {"empty_list": False, "empty_object": False, "placeholders": False},
+    "counts": {"placeholders": False, "empty_object": False}, "repair": {"placeholders": False}, "display": {"placeholders": False},
 }
 
 

@@ -28,8 +28,8 @@ QUERIES = {"p4_found": p4_found, "p5_found": p5_found}
 _OPENED = "CASE WHEN json_type(e.value) = 'VARCHAR' AND regexp_matches(json_extract_string(e.value, '$'), '^\\s*[\\[{]') THEN CASE WHEN json_valid(json_extract_string(e.value, '$')) THEN json_extract_string(e.value, '$')::JSON END ELSE e.value END"
 SQL: dict[str, str] = {
     "p4_found": f"""WITH RECURSIVE src AS (SELECT 'sample_dataset' AS table_name, document_id AS row_key, ground_truth_fields AS j FROM sample_dataset UNION ALL SELECT 'document_state', run_id::VARCHAR, extracted_fields FROM document_state),
-r AS (SELECT DISTINCT table_name, row_key, '' AS path, '' AS owner, j::JSON AS v FROM src WHERE json_valid(j)
-UNION ALL SELECT table_name, row_key, CASE WHEN json_type(v) = 'ARRAY' THEN path || '[' || e.key || ']' WHEN path = '' THEN e.key ELSE path || '.' || e.key END, CASE WHEN json_type(v) = 'OBJECT' THEN path ELSE owner END, {_OPENED}
+r AS (SELECT DISTINCT table_name, row_key, '' AS pth, '' AS owner, j::JSON AS v FROM src WHERE json_valid(j)
+UNION ALL SELECT table_name, row_key, CASE WHEN json_type(v) = 'ARRAY' THEN pth || '[' || e.key || ']' WHEN pth = '' THEN e.key ELSE pth || '.' || e.key END, CASE WHEN json_type(v) = 'OBJECT' THEN pth ELSE owner END, {_OPENED}
 FROM r, json_each(r.v) e WHERE json_type({_OPENED}) IN ('OBJECT', 'ARRAY'))
-SELECT DISTINCT table_name, row_key, path AS node_path, owner AS parent_path FROM r WHERE path <> '' AND json_type(v) = 'OBJECT'"""
+SELECT DISTINCT table_name, row_key, pth AS node_path, owner AS parent_path FROM r WHERE pth <> '' AND json_type(v) = 'OBJECT'"""
 }
