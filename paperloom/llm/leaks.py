@@ -1,7 +1,7 @@
 """Held-out items in a corpus, by winnowed fingerprints of word k-grams and extension of the hits.
 
-A span counts when at least `least` consecutive words of an item stand in a text in order and at most one word in
-`per_edit` of them is changed, added or left out. With 25 words and one in eight, some run of `run` = 6 words is
+A span counts when at least `least` consecutive words of an item, from one that is there to one that is there, stand in
+a text in order and at most one word in `per_edit` of them is changed, added or left out. With 25 words and one in eight, some run of `run` = 6 words is
 untouched (22 words kept in 4 runs, 28 in 5, and so on), so fingerprints that are the minimum of every window of
 w = run - k + 1 k-grams meet on both sides for every such span: no span is missed.
 
@@ -93,12 +93,19 @@ def winnow(words: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
+_FAR = 1 << 40
+
+
 def _holds(same: np.ndarray, least: int, per_edit: int) -> bool:
-    """Whether some stretch of aligned words has `least` words and one edit in `per_edit` at most."""
-    score = np.concatenate(([0], np.cumsum(np.where(same, 1, 1 - per_edit))))
-    if len(score) <= least:
+    """Whether some stretch of aligned words has `least` words and one edit in `per_edit` at most.
+
+    It begins and ends with the same word: what is missing beyond its ends doesn't make it longer.
+    """
+    if len(same) < least:
         return False
-    return bool((np.minimum.accumulate(score)[: len(score) - least] <= score[least:]).any())
+    score = np.concatenate(([0], np.cumsum(np.where(same, 1, 1 - per_edit))))
+    low = np.minimum.accumulate(np.where(same, score[:-1], _FAR))
+    return bool((same[least - 1 :] & (low[: len(same) - least + 1] <= score[least:])).any())
 
 
 def _aligned(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int]]:
@@ -151,12 +158,14 @@ def shares_span(item: np.ndarray, text: np.ndarray, hits: list[tuple[int, int]],
             if _holds(item[first:last] == text[first + shift : last + shift], least, per_edit):
                 return True
         columns = _aligned(item, region)
-        words = np.concatenate(([0], np.cumsum([c[0] for c in columns])))
-        score = words - per_edit * np.concatenate(([0], np.cumsum([c[1] for c in columns])))
-        low = np.minimum.accumulate(score)
-        starts = np.searchsorted(words, words - least, side="right") - 1
-        ok = (words >= least) & (starts >= 0)
-        if (low[starts[ok]] <= score[ok]).any():
+        counted, edits = np.array(columns).T
+        same = (counted == 1) & (edits == 0)
+        words = np.concatenate(([0], np.cumsum(counted)))
+        score = words - per_edit * np.concatenate(([0], np.cumsum(edits)))
+        low = np.minimum.accumulate(np.where(same, score[:-1], _FAR))
+        ends = np.flatnonzero(same & (words[1:] >= least)) + 1
+        starts = np.searchsorted(words[:-1], words[ends] - least, side="right") - 1
+        if (low[starts] <= score[ends]).any():
             return True
     return False
 

@@ -118,7 +118,7 @@ _BREAK = r"(?:-[ \t]*\n[ \t]*[^\W\d_]+)?"  # a word divided between two lines
 _NAME_WORD = rf"(?:[DLO]['’])?{_U}[^\W\d_]*(?:['’][^\W\d_]+)*(?:-(?:[ \t]*\n[ \t]*)?{_U}[^\W\d_]+)*{_BREAK}"
 _INITIAL = rf"{_U}\.(?:-?{_U}\.)*"
 _PARTICLE = r"(?:von der|von dem|van der|van den|van de|de la|de las|de los|de los|della|delle|von|van|vom|zu|zur|zum|de|del|der|den|di|da|do|dos|du|la|le|al|el|bin|ben|ten|ter|af|av)"
-_sequence = re.compile(rf"(?<![\w@.+-])(?:{_INITIAL}|{_NAME_WORD})(?:\s{{1,4}}(?:{_PARTICLE}\s{{1,4}})?(?:{_INITIAL}|{_NAME_WORD}))*(?![\w@])")
+_sequence = re.compile(rf"(?<![\w@.+-])(?:{_INITIAL}|{_NAME_WORD})(?:\s{{1,4}}(?:{_PARTICLE}\s{{1,4}})?(?:{_INITIAL}|{_NAME_WORD}))*(?![\w@]|-\d)")
 _piece = re.compile(rf"(?:(?<=\s)|^)(?:({_PARTICLE})\s{{1,4}})?(?:({_INITIAL})|({_NAME_WORD}))")
 _TITLES = frozenset("dr mr mrs ms miss mx prof professor doctor herr frau hr fr m mme mlle monsieur madame maître sr sra srta señor señora don doña dott sig signora sir dame".split())
 _title_before = re.compile(r"(?i)(?<!\w)(?:dr|mr|mrs|ms|miss|prof|herrn?|frau|hr|fr|m|mme|mlle|monsieur|madame|sr|sra|srta|señora?|don|doña)\.?\s{1,4}$")
@@ -341,7 +341,7 @@ def _name_runs(text: str, score: NameScorer) -> Iterator[list[_Word]]:
             word = p[2] or p[3]
             initial = p[2] is not None
             name, surname = (0.5, 0.0) if initial else score(word)
-            if not initial and (word.lower() in _TITLES or len(word) < 2 or name <= 0):
+            if not initial and (word.lower() in _TITLES or len(word) < 2 or name <= 0 or word.isupper() and len(word) <= 3):
                 if run:
                     yield run
                 run = []
@@ -404,7 +404,7 @@ def _name_spans(text: str, score: NameScorer) -> Iterator[Span]:
                 yield Span(start, end, "name", 0.9)
             continue
         mean = sum(w.name for w in words) / len(words)
-        value = 0.5 + min(0.4, mean / 10) + 0.2 * titled + 0.1 * (_person_before.search(before) is not None) - 0.3 * (_place_before.search(before) is not None and not titled)
+        value = 0.42 + min(0.4, mean / 8) + 0.2 * titled + 0.1 * (_person_before.search(before) is not None) - 0.3 * (_place_before.search(before) is not None and not titled)
         if run[0].initial and mean < 1 and not titled:
             value -= 0.2
         yield Span(start, end, "name", value)
