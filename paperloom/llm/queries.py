@@ -111,4 +111,14 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p7_redacted": p7_redacted, "p7_found": p7_found, "p1_labels": p1_labels, "p1_found": p1_found, "p3_cases": p3_cases, "p3_found": p3_found, "p6_pieces": p6_pieces, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_stats": p10_stats, "p10_found": p10_found}
-SQL: dict[str, str] = {}
+_TYPED = " UNION ALL ".join(
+    f"""SELECT 'document_state' AS table_name, run_id AS row_key, '{f}' AS field_name, '{n}' AS list_name, json_extract_string(extracted_fields, '$.{f}') AS value
+FROM document_state WHERE json_valid(extracted_fields) AND json_type(extracted_fields, '$.{f}') = 'VARCHAR'"""
+    for f, n in LISTED.items()
+)
+SQL: dict[str, str] = {
+    "p3_cases": f"""WITH t AS ({_TYPED} UNION ALL SELECT 'knowledge_schema_request', request_id, 'doc_type', 'doc_type', doc_type FROM knowledge_schema_request)
+SELECT DISTINCT list_name, value, table_name, row_key, field_name FROM t WHERE value IS NOT NULL AND lower(trim(value, E' \\t\\n\\f\\r')) NOT IN ('', 'n/a', 'none', 'unknown', '-')
+AND NOT EXISTS (SELECT 1 FROM canonical_values c WHERE c.list_name = t.list_name AND c.canonical_value = t.value)""",
+    "p6_found": r"""SELECT run_id, CASE WHEN max(list_max(list_transform(regexp_split_to_array(raw_text, '\s+'), lambda w: length(w)))) > 3000 THEN 'forced' ELSE 'natural' END AS cut FROM document_state WHERE length(raw_text) > 3000 GROUP BY run_id""",
+}
