@@ -50,6 +50,15 @@ ALIASES_BY_FIELD = [
 ]
 ALIASES: dict[str, str] = {alias: field for field, names in ALIASES_BY_FIELD for alias in names.split()}
 
+# Labels of document types in the order in which they are tried, by type.
+TYPE_LABELS_IN_ORDER = [
+    ("resume", "cv|curriculum vitae|job application|biodata"), ("job_offer", "job offer|offer letter|employment offer|internship offer|appointment letter"),
+    ("financial_document", "financial|invoice|receipt|gst invoice|tax invoice|bill"), ("medical_record", "medical|health record|prescription|lab report"),
+    ("id_document", "id|identification|passport|driver license|aadhaar|aadhar|pan card|id card|id_document|college id|college id card|student id|student id card|student card|employee id|employee card|national id|voter id|driving license"),
+    ("academic", "transcript|diploma|certificate|mark sheet|marksheet|textbook|course book|reference book|syllabus|lecture notes"),
+]
+TYPE_LABELS: dict[str, str] = {label: kind for kind, labels in TYPE_LABELS_IN_ORDER for label in labels.split("|")}
+
 # Words that mean "no value" in a field.
 PLACEHOLDERS = ["n/a", "na", "none", "null", "nil", "-", "unknown"]
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperloom.constants import ALIASES, FIELD_DATE_FORMATS
+from paperloom.constants import ALIASES, FIELD_DATE_FORMATS, REQUIRED_FIELDS, TYPE_LABELS
 from paperloom.operators.nested import whole_json
 
 
@@ -93,6 +93,26 @@ def json_kind(value: Column) -> Column:
     )
 
 
+def normalise_type(label: Column) -> Column:
+    """A document type by name, by label, or by the first label that contains the text or is contained in it.
+
+    Null, texts of fewer than two characters and others without a match give "unknown".
+    """
+    t = F.lower(F.trim(F.coalesce(label, F.lit(""))))
+    labels = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("kind")) for a, k in TYPE_LABELS.items()])
+    same = F.try_element_at(F.create_map(*[F.lit(x) for p in TYPE_LABELS.items() for x in p]), t)
+    near = F.get(F.filter(labels, lambda x: (F.length(t) >= 2) & (F.contains(t, x["label"]) | F.contains(x["label"], t))), F.lit(0))["kind"]
+    return F.when(t.isin(*REQUIRED_FIELDS), t).otherwise(F.coalesce(same, near, F.lit("unknown")))
+
+
+def display_rows(rows: DataFrame, key: str) -> DataFrame:
+    """key, label, value, is_text of fields that say something: labels in title case, strings without quotes, the rest as
+    JSON."""
+    shown = F.when(F.startswith("value", F.lit('"')), F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v")).otherwise(F.col("value"))
+    kept = rows.where(~F.col("value").isin("null", '""', "[]", "{}"))
+    return kept.select(key, F.initcap(F.replace("field", F.lit("_"), F.lit(" "))).alias("label"), shown.alias("value"), F.startswith("value", F.lit('"')).alias("is_text"))
+
+
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row a key, the first in the given order. Use columns that break ties."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -90,6 +90,30 @@ def name_canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+def merged(base: Column, extra: Column) -> Column:
+    """Detections (ARRAY<STRUCT<value, label>>) of a model merged into those of the recognisers, in order.
+
+    An extra value that is there already is dropped; of one that overlaps another value (longest first, then by text)
+    the longer of the two stays; others are added. Letter case doesn't count.
+    """
+    low = lambda d: F.lower(d["value"])
+
+    def step(acc: Column, d: Column) -> Column:
+        near = F.filter(acc, lambda x: F.contains(low(x), low(d)) | F.contains(low(d), low(x)))
+        first = F.get(F.array_sort(near, lambda a, b: F.when(F.length(a["value"]) != F.length(b["value"]), F.length(b["value"]) - F.length(a["value"])).when(low(a) < low(b), -1).when(low(a) > low(b), 1).otherwise(0)), F.lit(0))
+        longer = F.concat(F.filter(acc, lambda x: low(x) != low(first)), F.array(d))
+        return F.when(F.size(near) == 0, F.concat(acc, F.array(d))).when(F.exists(acc, lambda x: low(x) == low(d)) | (F.length(d["value"]) <= F.length(first["value"])), acc).otherwise(longer)
+
+    return F.aggregate(extra, base, step)
+
+
+def with_canonical_forms(detections: Column) -> Column:
+    """Detections (kind, value, label) followed by the canonical form of each phone number and name that differs."""
+    form = lambda d: F.when(d["kind"] == "phone", phone_canonical(d["value"])).when(d["kind"] == "name", name_canonical(d["value"]))
+    more = F.transform(detections, lambda d: F.struct(d["kind"].alias("kind"), form(d).alias("value"), d["label"].alias("label")))
+    return F.concat(detections, F.filter(more, lambda d: d["value"].isNotNull() & ~F.exists(detections, lambda x: F.lower(x["value"]) == F.lower(d["value"]))))
+
+
 def gender_hits(text: Column) -> Column:
     """ARRAY<STRING> of labelled gender values, as they stand."""
     return F.regexp_extract_all(text, F.lit(r"(?i)(?:^|[^A-Za-z0-9_])(?:gender|sex)\s*[:-]?\s*(male|female|other|non-binary|transgender|[mf](?:[^A-Za-z0-9_]|$))"), 1)

@@ -37,6 +37,16 @@ def edges(trace: DataFrame) -> DataFrame:
     return trace.select(F.col("agent_name").alias("from_agent"), F.lead("agent_name").over(w).alias("to_agent")).where("to_agent is not null").groupBy("from_agent", "to_agent").agg(F.count("*").alias("n"))
 
 
+def mermaid(counted: DataFrame) -> DataFrame:
+    """One row, diagram: the counted edges as a Mermaid flow chart, in the order of their agents' names.
+
+    There are as many edges as pairs of agents, a fixed small number.
+    """
+    line = F.concat(F.lit("  "), "from_agent", F.lit(" -->|"), F.col("n").cast("string"), F.lit("| "), "to_agent")
+    ordered = F.array_sort(F.collect_list(line))
+    return counted.agg(F.concat(F.lit("flowchart TD\n"), F.array_join(ordered, "\n")).alias("diagram"))
+
+
 def last_of(trace: DataFrame, agent: str) -> DataFrame:
     """Per run: the last step of an agent, by max_by in one aggregation."""
     at = F.struct("step", "trace_id")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom import constants as C
-from paperloom.operators import checks, fields, personal, text, trace, vectors
+from paperloom.operators import checks, fields, personal, schemas, text, trace, vectors
 from paperloom.session import table
 
 QUERIES: dict = {}
@@ -298,6 +298,47 @@ def required_union(spark: SparkSession, root: str) -> DataFrame:
     return rows.where("field is not null").distinct().groupBy("slug").agg(F.array_join(F.array_sort(F.collect_list("field")), ",").alias("fields"))
 
 
+_LABELS = "l(label, kind, n) AS (VALUES " + ", ".join(f"('{a}', '{k}', {i})" for i, (a, k) in enumerate(C.TYPE_LABELS.items())) + ")"
+_TYPES = ", ".join(f"'{t}'" for t in C.REQUIRED_FIELDS)
+
+
+@query(f"""WITH {_LABELS}, t AS (SELECT DISTINCT doc_type, lower(trim(coalesce(doc_type, ''), ' ')) AS t FROM knowledge_schema_request), m AS (SELECT t.t, arg_min(kind, n) AS near FROM t JOIN l ON length(t.t) >= 2 AND (contains(t.t, label) OR contains(label, t.t)) GROUP BY t.t)
+SELECT doc_type, CASE WHEN t.t IN ({_TYPES}) THEN t.t ELSE coalesce(l.kind, near, 'unknown') END AS normalised FROM t LEFT JOIN l ON t.t = label LEFT JOIN m ON t.t = m.t""")
+def doc_type_normalise(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "knowledge_schema_request").select("doc_type").distinct().select("doc_type", fields.normalise_type(F.col("doc_type")).alias("normalised"))
+
+
+_PROPS = """p AS (SELECT DISTINCT request_id, replace(lower(trim(doc_type, ' ')), ' ', '_') AS slug, requested_at, k AS property, list_sort(json_extract(s, '$.properties."' || k || '".type')::VARCHAR[]) AS types
+FROM (SELECT request_id, doc_type, requested_at, json_schema AS s, unnest(json_keys(json_schema, '$.properties')) AS k FROM knowledge_schema_request WHERE json_valid(json_schema) AND doc_type IS NOT NULL))"""
+
+
+def _props(spark: SparkSession, root: str) -> DataFrame:
+    requests = table(spark, root, "knowledge_schema_request").where("doc_type is not null").dropDuplicates(["request_id"])
+    props = schemas.properties(requests, "request_id", "json_schema")
+    return props.join(requests.select("request_id", "requested_at", checks.slug(F.col("doc_type")).alias("slug")), "request_id")
+
+
+@query(f"WITH {_PROPS} SELECT slug, property, count(DISTINCT request_id) AS requests FROM p GROUP BY ALL")
+def schema_properties(spark: SparkSession, root: str) -> DataFrame:
+    return _props(spark, root).groupBy("slug", "property").agg(F.count("*").alias("requests"))
+
+
+@query(f"WITH {_PROPS} SELECT slug, property, array_to_string(list_sort(list_distinct(list_append(arg_max(types, (coalesce(requested_at, '1900-01-01'::TIMESTAMP), request_id)), 'null'))), ',') AS types FROM p GROUP BY slug, property")
+def schema_merge(spark: SparkSession, root: str) -> DataFrame:
+    """The last request of a type says what a property may be; null is always allowed."""
+    order = F.struct(F.coalesce(F.col("requested_at").cast("timestamp_ntz"), F.lit("1900-01-01").cast("timestamp_ntz")), F.col("request_id"))
+    out = schemas.merged(_props(spark, root), "slug", order)
+    return out.withColumn("types", F.array_join("types", ","))
+
+
+@query(f"""WITH {_ENTRIES} SELECT run_id, initcap(replace(field, '_', ' ')) AS label, CASE WHEN value LIKE '"%' THEN json_extract_string(value, '$') END AS text FROM e WHERE value NOT IN ('null', '""', '[]', '{{}}')""".replace("initcap(replace(field, '_', ' '))", "array_to_string(list_transform(string_split(field, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ')"))
+def field_display(spark: SparkSession, root: str) -> DataFrame:
+    """Labels and texts of the fields that say something; other values than texts are left to the reader as JSON."""
+    rows = _entries(spark, root)
+    shown = fields.display_rows(rows, "run_id")
+    return shown.select("run_id", "label", F.when(F.col("is_text"), F.col("value")).alias("text"))
+
+
 # --- trace ----------------------------------------------------------------------------------------------------------
 _ONCE = "s AS (SELECT DISTINCT ON (trace_id) * FROM trace_log)"
 
@@ -337,6 +378,12 @@ def path_edges(spark: SparkSession, root: str) -> DataFrame:
     return trace.edges(_trace(spark, root, "run_id", "step", "agent_name"))
 
 
+@query(f"""WITH {_ONCE}, l AS (SELECT agent_name AS f, lead(agent_name) OVER (PARTITION BY run_id ORDER BY step, trace_id) AS t FROM s), c AS (SELECT '  ' || f || ' -->|' || count(*) || '| ' || t AS line FROM l WHERE t IS NOT NULL GROUP BY f, t)
+SELECT 'flowchart TD' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS diagram FROM c""")
+def path_diagram(spark: SparkSession, root: str) -> DataFrame:
+    return trace.mermaid(trace.edges(_trace(spark, root, "run_id", "step", "agent_name")))
+
+
 @query(f"WITH {_ONCE} SELECT run_id, arg_max(trace_id, (step, trace_id)) AS trace_id, max(step) AS step FROM s WHERE agent_name = 'validator' GROUP BY run_id")
 def last_validation(spark: SparkSession, root: str) -> DataFrame:
     return trace.last_of(_trace(spark, root, "run_id", "step", "agent_name"), "validator")

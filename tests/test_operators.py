@@ -217,5 +217,30 @@ def test_pipeline(spark):
     assert (got[2].redacted, got[2].filled, got[2].words) == (None, 0, 0)
 
 
+def test_merging_detections(spark):
+    df = spark.createDataFrame([([("John Smith", "B"), ("a@b.c", "E")], [("john smith", "X"), ("John", "X"), ("Mr John Smith", "X"), ("new", "X")])], "b array<struct<value:string,label:string>>, e array<struct<value:string,label:string>>")
+    assert [tuple(x) for x in df.select(personal.merged(F.col("b"), F.col("e"))).first()[0]] == [("a@b.c", "E"), ("Mr John Smith", "X"), ("new", "X")]
+    forms = spark.createDataFrame([([("phone", "2125550100", "P"), ("name", "Smith, Jo", "N"), ("name", "Jo Smith", "N"), ("date", "x", "D")],)], "d array<struct<kind:string,value:string,label:string>>")
+    assert [x.value for x in forms.select(personal.with_canonical_forms(F.col("d"))).first()[0]] == ["2125550100", "Smith, Jo", "Jo Smith", "x", "(212) 555-0100"]
+
+
+@pytest.mark.parametrize(("label", "kind"), [("resume", "resume"), (" CV ", "resume"), ("tax invoice 2024", "financial_document"), ("dipl", "academic"), ("x", "unknown"), ("", "unknown"), (None, "unknown"), ("agreement", "unknown")])
+def test_normalise_type(spark, label, kind):
+    assert one(spark, fields.normalise_type(F.col("t")), t=label) == kind
+
+
+def test_schemas(spark):
+    from paperloom.operators import schemas
+
+    df = spark.createDataFrame([(1, '{"properties":{"a":{"type":"integer"},"b":{"type":["string","null"]},"c":{}}}'), (2, '{"properties":{"a":{"type":"number"}}}'), (3, "broken"), (4, None)], "n int, s string")
+    props = schemas.properties(df, "n", "s").withColumn("g", F.lit("t"))
+    schema = schemas.merged(props, "g", F.col("n"))
+    assert {r.property: r.types for r in schema.collect()} == {"a": ["null", "number"], "b": ["null", "string"], "c": ["null"]}
+    rows = spark.createDataFrame([(1, "t", "a", "5"), (1, "t", "b", "7"), (2, "t", "a", '"x"'), (2, "t", "z", "1"), (2, "t", "b", "null")], "k int, g string, field string, value string")
+    assert sorted(tuple(r) for r in schemas.errors(rows, "k", "g", schema).collect()) == [(1, "b", "type"), (2, "a", "type")]
+    required = spark.createDataFrame([("t", "a"), ("t", "z")], "g string, property string")
+    assert [tuple(r) for r in schemas.missing_required(rows, "k", "g", required).collect()] == [(1, "z", "required")]
+
+
 def test_alias_table_is_whole():
     assert len(C.ALIASES) == 107 and len(set(C.ALIASES.values())) == 38 and C.ALIASES["valid_until"] == "expiration_date"
