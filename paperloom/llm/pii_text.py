@@ -29,6 +29,8 @@ TYPES = ("email", "phone", "identity_number", "street_address", "name")
 PLACEHOLDERS = {t: f"[{t.upper()}]" for t in TYPES}
 #: Score from which a span is kept, and the number of labelled rows that the name classifier is fitted on.
 KEPT, SAMPLE_ROWS = 0.5, 2000
+#: Longest text of a row that the classifier is fitted on; every text is searched, however long.
+SAMPLE_CHARS = 20_000
 #: Size of the hashed feature space of the name classifier.
 FEATURES = 1 << 15
 
@@ -437,7 +439,7 @@ def redact(text: str, spans: list[Span]) -> str:
 
 def labelled_rows(df: DataFrame, key: str, text: str, truth: str, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str | None, str | None]]:
     """At most `sample_rows` rows with labels, the same ones whatever the order of the input: those of least hash."""
-    picked = df.where(F.col(truth).isNotNull() & F.col(text).isNotNull()).select(text, truth, F.xxhash64(F.col(key)).alias("_at"))
+    picked = df.where(F.col(truth).isNotNull() & (F.length(text) <= SAMPLE_CHARS)).select(text, truth, F.xxhash64(F.col(key)).alias("_at"))
     return [(r[0], r[1]) for r in picked.orderBy("_at", text).limit(sample_rows).collect()]
 
 
