@@ -119,7 +119,7 @@ _addresses = [
 _BREAK = r"(?:-[ \t]*\n[ \t]*[^\W\d_]+)?"  # a word divided between two lines
 _NAME_WORD = rf"(?:[DLO]['’])?{_U}[^\W\d_]*(?:['’][^\W\d_]+)*(?:-(?:[ \t]*\n[ \t]*)?{_U}[^\W\d_]+)*{_BREAK}"
 _INITIAL = rf"{_U}\.(?:-?{_U}\.)*"
-_PARTICLE = r"(?:von der|von dem|van der|van den|van de|de la|de las|de los|de los|della|delle|von|van|vom|zu|zur|zum|de|del|der|den|di|da|do|dos|du|la|le|al|el|bin|ben|ten|ter|af|av)"
+_PARTICLE = r"(?:von\s{1,4}der|von\s{1,4}dem|van\s{1,4}der|van\s{1,4}den|van\s{1,4}de|de\s{1,4}la|de\s{1,4}las|de\s{1,4}los|de\s{1,4}los|della|delle|von|van|vom|zu|zur|zum|de|del|der|den|di|da|do|dos|du|la|le|al|el|bin|ben|ten|ter|af|av)"
 _sequence = re.compile(rf"(?<![\w@.+-])(?:{_INITIAL}|{_NAME_WORD})(?:\s{{1,4}}(?:{_PARTICLE}\s{{1,4}})?(?:{_INITIAL}|{_NAME_WORD}))*(?![\w@]|-\d)")
 _piece = re.compile(rf"(?:(?<=\s)|^)(?:({_PARTICLE})\s{{1,4}})?(?:({_INITIAL})|({_NAME_WORD}))")
 _TITLES = frozenset("dr mr mrs ms miss mx prof professor doctor herr frau hr fr m mme mlle monsieur madame maître sr sra srta señor señora don doña dott sig signora sir dame".split())
@@ -260,7 +260,8 @@ _word = re.compile(_NAME_WORD)
 
 
 def _parts(word: str) -> list[str]:
-    return [p for p in re.split(r"[-\s]+", word) if len(p) > 1]
+    """The parts of a compound; what stands before an apostrophe ("O'") is none."""
+    return [p for p in re.split(r"[-\s'’]+", word) if len(p) > 1]
 
 
 def fit_names(rows: list[tuple[str | None, str | None]]) -> tuple[np.ndarray, np.ndarray]:
@@ -318,8 +319,7 @@ class NameScorer:
         if got is None:
             if len(self.known) > 300_000:
                 self.known.clear()
-            parts = [p for p in re.split(r"-(?=[^\W\d_a-zß-öø-ÿ])", re.sub(r"-\s+(?=[a-zß-öø-ÿ])", "", word)) if len(p.strip()) > 1] or [word]
-            rows = [np.append(_features(p.strip()), FEATURES) for p in parts]
+            rows = [np.append(_features(p), FEATURES) for p in _parts(re.sub(r"-\s+(?=[a-zß-öø-ÿ])", "", word)) or [word]]
             got = self.known[word] = (min(float(self.weights[r].sum()) for r in rows), max(float(self.place[r].sum()) for r in rows))
         return got
 

@@ -32,6 +32,7 @@ CASES = [
     ("moved from 169 bis, rue du Quai Neuf, 00459 Havomont to Mühlenstraße 749, 00062 Havuvale and 566 Orchard Terrace, Suite 686, Wilerbury, XQ 00822", {("street_address", v) for v in ("169 bis, rue du Quai Neuf, 00459 Havomont", "Mühlenstraße 749, 00062 Havuvale", "566 Orchard Terrace, Suite 686, Wilerbury, XQ 00822")}),
     ("A letter for Dr. Undendorf and Ms. Zorana K. Holoheim from Quillmark Printing GmbH in Toringstead.", {("name", "Undendorf"), ("name", "Zorana K. Holoheim")}),
     ("Contact: MORESKY, Ilodra\nQuillmark Printing GmbH\nby Alomund von Grosomere-Ashenova; K. Boreson", {("name", "MORESKY, Ilodra"), ("name", "Alomund von Grosomere-Ashenova"), ("name", "K. Boreson")}),
+    ("by Kelila O'Undendorf, Evaton de\nla Ashenova and Roselo van\nder Boreson", {("name", "Kelila O'Undendorf"), ("name", "Evaton de la Ashenova"), ("name", "Roselo van der Boreson")}),
     ("sent to Delola\nTarnogard today", {("name", "Delola Tarnogard")}), ("", set()), ("The Finance Department met.", set()), ("x" * 60_000, set()),
 ]
 
