@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.constants import ALIASES, FIELD_DATE_FORMATS, REQUIRED_FIELDS, TYPE_LABELS
@@ -113,6 +112,14 @@ def display_rows(rows: DataFrame, key: str) -> DataFrame:
     return kept.select(key, F.initcap(F.replace("field", F.lit("_"), F.lit(" "))).alias("label"), shown.alias("value"), F.startswith("value", F.lit('"')).alias("is_text"))
 
 
-def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """One row a key, the first in the given order. Use columns that break ties."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+def newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row a key, the greatest by the order columns (nulls are least), as one aggregation that combines before the
+    shuffle: a hot key is never sorted in one task. Use columns that break ties."""
+    row = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
+    return df.groupBy(*keys).agg(row).select("_row.*")
+
+
+def oldest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row a key, the least by the order columns, rows with a null in the first of them last."""
+    rank = F.struct(F.col(order[0]).isNull().alias("_null"), *[F.col(c) for c in order])
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), rank).alias("_row")).select("_row.*")

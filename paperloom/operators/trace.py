@@ -22,6 +22,30 @@ def totals(trace: DataFrame) -> DataFrame:
     )
 
 
+def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float, out: str) -> DataFrame:
+    """keys, out: the exact percentile (linear between neighbours, like quantile_cont) of non-negative values, nulls left out.
+
+    Equal values are counted together first; a histogram on a logarithmic scale (a few thousand buckets a key at most)
+    tells the buckets that hold the two neighbours, and only their values are put in order. No key's values are
+    gathered or sorted whole. Null keys are a key of their own.
+    """
+    v = F.col(value)
+    counts = df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n")).withColumn("_b", F.floor(F.log2(F.col("_v") + 1) * 256))
+    per_key = W.partitionBy(*keys)
+    hist = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_h"))
+    hist = hist.withColumns({"_below": F.sum("_h").over(per_key.orderBy("_b")) - F.col("_h"), "_pos": (F.sum("_h").over(per_key) - 1) * p})
+    lo, hi = F.floor("_pos"), F.ceil("_pos")
+    wanted = hist.where(((F.col("_below") <= lo) & (lo < F.col("_below") + F.col("_h"))) | ((F.col("_below") <= hi) & (hi < F.col("_below") + F.col("_h"))))
+    wanted = wanted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_wb"), "_below", "_pos")
+    same = [counts[k].eqNullSafe(wanted[f"_k{i}"]) for i, k in enumerate(keys)]
+    near = counts.join(wanted, [*same, F.col("_b") == F.col("_wb")])
+    upto = F.col("_below") + F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy("_v"))
+    near = near.withColumn("_upto", upto)
+    holds = lambda rank: (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
+    ends = near.groupBy(*keys).agg(F.max(F.when(holds(lo), F.col("_v"))).alias("_lo"), F.max(F.when(holds(hi), F.col("_v"))).alias("_hi"), F.max("_pos").alias("_pos"))
+    return ends.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - lo)).alias(out))
+
+
 def path(trace: DataFrame) -> DataFrame:
     """Per run: the agents in the order of their steps, repeats in a row collapsed, as "a > b > c", and the distinct ones."""
     w = W.partitionBy("run_id").orderBy("step", "trace_id")

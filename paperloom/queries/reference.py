@@ -286,8 +286,8 @@ def upsert_profiles(spark: SparkSession, root: str) -> DataFrame:
     """The last request of each type replaces the first one and keeps its creation time."""
     rows = table(spark, root, "knowledge_schema_request").where("doc_type is not null").dropDuplicates(["request_id"])
     rows = rows.select(checks.slug(F.col("doc_type")).alias("slug"), "request_id", F.size(F.coalesce("required_fields", F.array().cast("array<string>"))).alias("fields"), F.col("requested_at").alias("created_at"), F.col("requested_at").alias("updated_at"))
-    current = fields.latest(rows, ["slug"], F.asc_nulls_last("updated_at"), F.asc("request_id"))
-    incoming = fields.latest(rows, ["slug"], F.desc_nulls_last("updated_at"), F.desc("request_id"))
+    current = fields.oldest(rows, ["slug"], ["updated_at", "request_id"])
+    incoming = fields.newest(rows, ["slug"], ["updated_at", "request_id"])
     return checks.upsert(current, incoming, "slug", "created_at", "updated_at")
 
 
@@ -353,10 +353,14 @@ def trace_totals(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 4) for c in ("latency_ms", "mean_latency_ms")})
 
 
-@query(f"WITH {_ONCE} SELECT agent_name, llm_model_used, count(*) AS steps, round(sum(latency_ms) / 1000, 3) AS seconds, round(quantile_cont(latency_ms, 0.95), 4) AS p95_ms FROM s GROUP BY ALL")
+@query(f"WITH {_ONCE} SELECT agent_name, llm_model_used, count(*) AS steps, round(sum(latency_ms) / 1000, 6) AS seconds, round(quantile_cont(latency_ms, 0.95), 4) AS p95_ms FROM s GROUP BY ALL")
 def agent_latency(spark: SparkSession, root: str) -> DataFrame:
     rows = _trace(spark, root, "agent_name", "llm_model_used", "latency_ms")
-    return rows.groupBy("agent_name", "llm_model_used").agg(F.count("*").alias("steps"), F.round(F.sum("latency_ms") / 1000, 3).alias("seconds"), F.round(F.percentile("latency_ms", F.lit(0.95)), 4).alias("p95_ms"))
+    keys = ["agent_name", "llm_model_used"]
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("steps"), F.round(F.sum("latency_ms") / 1000, 6).alias("seconds"))
+    p95 = trace.exact_percentile(rows, keys, "latency_ms", 0.95, "p95_ms")
+    same = [sums[k].eqNullSafe(p95[k]) for k in keys]
+    return sums.join(p95, same, "left").select(sums["agent_name"], sums["llm_model_used"], "steps", "seconds", F.round("p95_ms", 4).alias("p95_ms"))
 
 
 @query("""WITH d AS (SELECT DISTINCT ON (run_id) * FROM document_state) SELECT count(*) AS runs, count_if(coalesce(success, false)) AS successes, round(coalesce(count_if(coalesce(success, false)) / count(*), 0.0), 9) AS success_rate,

@@ -217,6 +217,22 @@ def test_pipeline(spark):
     assert (got[2].redacted, got[2].filled, got[2].words) == (None, 0, 0)
 
 
+def test_exact_percentile(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rng.integers(0, 40, 500)] + [(None, float(x)) for x in rng.exponential(900, 301)] + [("one", 3.5), ("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for p in (0.0, 0.5, 0.95, 1.0):
+        got = {r.k: r.x for r in trace.exact_percentile(df, ["k"], "v", p, "x").collect()}
+        want = {k: np.quantile([v for j, v in rows if j == k and v is not None], p) for k in ("a", None, "one")}
+        assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_newest_and_oldest(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("a", 3, None), (None, 1, 1)], "k string, id int, t int")
+    assert {(r.k, r.id) for r in fields.newest(df, ["k"], ["t", "id"]).collect()} == {("a", 2), (None, 1)}
+    assert {(r.k, r.id) for r in fields.oldest(df, ["k"], ["t", "id"]).collect()} == {("a", 1), (None, 1)}
+
+
 def test_merging_detections(spark):
     df = spark.createDataFrame([([("John Smith", "B"), ("a@b.c", "E")], [("john smith", "X"), ("John", "X"), ("Mr John Smith", "X"), ("new", "X")])], "b array<struct<value:string,label:string>>, e array<struct<value:string,label:string>>")
     assert [tuple(x) for x in df.select(personal.merged(F.col("b"), F.col("e"))).first()[0]] == [("a@b.c", "E"), ("Mr John Smith", "X"), ("new", "X")]
