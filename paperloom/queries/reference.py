@@ -347,10 +347,10 @@ def _trace(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     return trace.once(table(spark, root, "trace_log").select("trace_id", *columns))
 
 
-@query(f"""WITH {_ONCE} SELECT run_id, count(*) AS steps, round(sum(latency_ms), 4) AS latency_ms, sum(tokens_input)::BIGINT AS tokens_in, sum(tokens_output)::BIGINT AS tokens_out, count_if(error_occurred) AS errors, count(DISTINCT agent_name) AS agents, round(avg(latency_ms), 4) AS mean_latency_ms FROM s GROUP BY run_id""")
+@query(f"""WITH {_ONCE} SELECT run_id, count(*) AS steps, round(sum(latency_ms), 4) AS latency_ms, sum(tokens_input)::BIGINT AS tokens_in, sum(tokens_output)::BIGINT AS tokens_out, count_if(error_occurred) AS errors, count(DISTINCT agent_name) AS agents, round(avg(latency_ms), 7) AS mean_latency_ms FROM s GROUP BY run_id""")
 def trace_totals(spark: SparkSession, root: str) -> DataFrame:
     out = trace.totals(_trace(spark, root, "run_id", "latency_ms", "tokens_input", "tokens_output", "error_occurred", "agent_name"))
-    return out.withColumns({c: F.round(c, 4) for c in ("latency_ms", "mean_latency_ms")})
+    return out.withColumns({"latency_ms": F.round("latency_ms", 4), "mean_latency_ms": F.round("mean_latency_ms", 7)})
 
 
 @query(f"WITH {_ONCE} SELECT agent_name, llm_model_used, count(*) AS steps, round(sum(latency_ms) / 1000, 6) AS seconds, round(quantile_cont(latency_ms, 0.95), 4) AS p95_ms FROM s GROUP BY ALL")
