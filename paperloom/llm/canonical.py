@@ -217,10 +217,12 @@ def match(cases: DataFrame, lists: DataFrame, most_entries: int = MOST_ENTRIES)
     canonical_value, aliases.
 
     Values that are an entry's canonical_value as it stands get its id with score 1; -1 means that no entry is meant
-    (also for lists without entries). Null values get a null id. Other columns pass through; repeated rows repeat.
+    (also for lists without entries). Null values get a null id. Other columns pass through (canonical_id and score are
+    replaced); repeated rows repeat.
     A list is refused (ValueError) beyond `most_entries` spellings instead of being cut.
     """
     spark = cases.sparkSession
+    cases = cases.drop("canonical_id", "score")
     spelled = lists.where(F.col("canonical_value").isNotNull()).select(
         "list_name", F.col("canonical_id").cast("long").alias("canonical_id"), F.concat(F.array("canonical_value"), F.coalesce(F.filter("aliases", F.isnotnull), F.array().cast("array<string>"))).alias("spellings")
     )

@@ -37,7 +37,9 @@ FEATURES = 1 << 15
 # --- e-mail ---------------------------------------------------------------------------------------------------------
 _AT = r"(?: ?@ ?|\s?[(\[{<]\s?(?:at|AT|ät)\s?[)\]}>]\s?|\s(?:\(at\)|\[at\])\s)"
 _DOT = r"(?:\.|\s?[(\[{<]\s?(?:dot|DOT|punkt|point|punto)\s?[)\]}>]\s?)"
-_email = re.compile(rf"(?<![\w.+%-])[A-Za-z0-9_%+'-]+(?:{_DOT}[A-Za-z0-9_%+'-]+)*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![\w@-])")
+_email = re.compile(
+    rf"(?<![\w.+%-])[A-Za-z0-9_%+'-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+'-]{{1,64}}){{0,6}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{0,6}}{_DOT}[A-Za-z]{{2,24}}(?![\w@-])"
+)
 
 # --- numbers --------------------------------------------------------------------------------------------------------
 _S = r"[\s]{1,6}"
@@ -93,7 +95,7 @@ _near_phone = re.compile(r"(?i)\b(?:tel|telephone|telefon|téléphone|teléfono|
 
 # --- addresses ------------------------------------------------------------------------------------------------------
 _U = r"[^\W\d_a-zß-öø-ÿ]"  # an upper-case letter
-_W = rf"{_U}[^\W\d_]*(?:['’-][^\W\d_]+)*"
+_W = rf"{_U}[^\W\d_]*(?:['’-][^\W\d_]+){{0,4}}"
 _G = r"[ \t]*\r?\n?[ \t]*"  # a gap within an address, at most one line end
 _C = rf",?{_G}"
 _CITY = rf"{_W}(?:[ ](?:{_W}|(?:an|am|im|sur|sous|en|de|del|la|upon|on|der|den|bei|ob)(?=[ ])(?:[ ](?:der|dem|den|la|le|las|los))?[ ]{_W}))*"
@@ -117,7 +119,7 @@ _addresses = [
 
 # --- names ----------------------------------------------------------------------------------------------------------
 _BREAK = r"(?:-[ \t]*\n[ \t]*[^\W\d_]+)?"  # a word divided between two lines
-_NAME_WORD = rf"(?:[DLO]['’])?{_U}[^\W\d_]*(?:['’][^\W\d_]+)*(?:-(?:[ \t]*\n[ \t]*)?{_U}[^\W\d_]+)*{_BREAK}"
+_NAME_WORD = rf"(?:[DLO]['’])?{_U}[^\W\d_]*(?:['’][^\W\d_]+){{0,2}}(?:-(?:[ \t]*\n[ \t]*)?{_U}[^\W\d_]+){{0,4}}{_BREAK}"
 _INITIAL = rf"{_U}\.(?:-?{_U}\.)*"
 _PARTICLE = r"(?:von\s{1,4}der|von\s{1,4}dem|van\s{1,4}der|van\s{1,4}den|van\s{1,4}de|de\s{1,4}la|de\s{1,4}las|de\s{1,4}los|de\s{1,4}los|della|delle|von|van|vom|zu|zur|zum|de|del|der|den|di|da|do|dos|du|la|le|al|el|bin|ben|ten|ter|af|av)"
 _sequence = re.compile(rf"(?<![\w@.+-])(?:{_INITIAL}|{_NAME_WORD})(?:\s{{1,4}}(?:{_PARTICLE}\s{{1,4}})?(?:{_INITIAL}|{_NAME_WORD}))*(?![\w@]|-\d)")

@@ -1,6 +1,7 @@
 """Spans of each type, validators, redaction, and names learnt from labelled rows."""
 
 import json
+import time
 
 import pytest
 
@@ -65,6 +66,13 @@ def test_checksums():
     assert pii.verhoeff("234123412346") and not pii.verhoeff("234123412347") and pii.dni("12345678Z") and not pii.dni("12345678A") and pii.nir("255081416802538")
 
 
+@pytest.mark.parametrize("text", ["O'" * 20_000, "1 " * 20_000, "A. " * 20_000, "a@" * 20_000, "12 Ab " * 10_000, "Ab de la " * 5_000, "+1 " * 20_000, "'" * 40_000])
+def test_time_is_linear_in_hostile_texts(score, text):
+    began = time.perf_counter()
+    pii.spans_of(text, score)
+    assert time.perf_counter() - began < 10
+
+
 def test_table(spark):
     rows = [("a", "Mail jo@x.example\n and  jo@x.example", None, "x"), ("a", "Mail jo@x.example\n and  jo@x.example", None, "x"), ("b", None, "[]", "x"), (None, "", "broken", "x")]
     df = spark.createDataFrame(rows, "document_id string, document_text string, truth string, redacted string")
