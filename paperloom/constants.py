@@ -67,7 +67,7 @@ RECOGNISERS = [
     ("IN_AADHAAR", r"[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}"), ("IN_PAN", r"[A-Z]{5}[0-9]{4}[A-Z]"), ("IN_GSTIN", r"[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]"),
     ("IN_PASSPORT", r"[A-PR-WY-Z][1-9][0-9]{6}[1-9]"), ("IN_VOTER_ID", r"[A-Z]{3}[0-9]{7}"), ("IN_DRIVING_LICENSE", r"[A-Z]{2}[- ]?[0-9]{2}[- ]?[0-9]{4}[- ]?[0-9]{7}"),
     ("IN_UPI", r"[a-zA-Z0-9._-]{2,256}@[a-zA-Z]{2,64}"), ("IN_IFSC", r"[A-Z]{4}0[A-Z0-9]{6}"),
-    ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}"), ("US_SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+){0,8}[.][A-Za-z]{2,}"), ("US_SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
 ]
 # Recognised entity to the type of personal data; NAME where an entity is not listed.
 ENTITY_TYPES = {

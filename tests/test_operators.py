@@ -258,5 +258,20 @@ def test_schemas(spark):
     assert [tuple(r) for r in schemas.missing_required(rows, "k", "g", required).collect()] == [(1, "z", "required")]
 
 
+HOSTILE = ["a@" * 20_000, "a." * 20_000 + "@b", "x@" + "a." * 20_000, "1 " * 20_000, "[" * 50_000, '{"a":' * 5_000, '"' * 40_000, "```" * 10_000, "\n" * 50_000, "1:" * 20_000, "Jan " * 10_000, "12 Elm St\n" * 5_000, "é" * 50_000]
+
+
+@pytest.mark.parametrize("n", range(len(HOSTILE)))
+def test_hostile_texts_end_and_do_not_fail(spark, n):
+    from paperloom.functions import instants
+    from paperloom.operators import nested
+
+    t = F.col("t")
+    df = spark.createDataFrame([(HOSTILE[n],)], "t string")
+    columns = [personal.recognised(t), personal.multiline_addresses(t), personal.gender_hits(t), personal.plausible(F.lit("EMAIL"), t, F.lit(0.1)), fields.unfenced(t), fields.iso_date(t), text.normalised(t), text.strides(t), nested.node_array(t)]
+    df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).write.format("noop").mode("overwrite").save()
+    df.select(instants.epoch_us(t, F.lit(None).cast("string"), F.lit("UTC"), ["UTC"]).alias("e")).collect()
+
+
 def test_alias_table_is_whole():
     assert len(C.ALIASES) == 107 and len(set(C.ALIASES.values())) == 38 and C.ALIASES["valid_until"] == "expiration_date"
