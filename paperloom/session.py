@@ -48,6 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over as many tasks as a shuffle has partitions: for few small rows that are much work each, which runtime
+    re-planning would put into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 _shipped: set[str] = set()
 
 
