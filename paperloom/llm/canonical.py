@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.session import cut, map_batches
+from paperloom.session import cut, map_batches, spread
 
 #: Largest reference list (entries with aliases) that is broadcast; a longer one is refused, not cut.
 MOST_ENTRIES = 2_000_000
@@ -248,5 +248,5 @@ def match(cases: DataFrame, lists: DataFrame, most_entries: int = MOST_ENTRIES)
 
     cases = cut(cases)  # read for the distinct values and for the join
     distinct = cases.where(F.col("value").isNotNull()).select("list_name", "value").distinct()
-    mapped = map_batches(distinct, run, "list_name string, value string, canonical_id long, score double")
+    mapped = map_batches(spread(distinct), run, "list_name string, value string, canonical_id long, score double")
     return cases.join(mapped, ["list_name", "value"], "left")
