@@ -3,7 +3,8 @@
 A span counts when at least `least` consecutive words of an item, from one that is there to one that is there, stand in
 a text in order and at most one word in `per_edit` of them is changed, added or left out. With 25 words and one in eight, some run of `run` = 6 words is
 untouched (22 words kept in 4 runs, 28 in 5, and so on), so fingerprints that are the minimum of every window of
-w = run - k + 1 k-grams meet on both sides for every such span: no span is missed.
+w = run - k + 1 k-grams meet on both sides for every such span, and all alignments around a hit are looked at: no span
+is missed.
 
 The held-out side is small in practice. Its size is measured first: up to `broadcast_chars` characters its index is
 broadcast and looked up where the corpus is read, so nothing of the corpus is shuffled; beyond, fingerprints of both
@@ -94,6 +95,9 @@ def winnow(words: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _FAR = 1 << 40
+_DEAD = 1 << 30
+#: Diagonals and item words that are aligned at a time; a bound on memory, results don't depend on it.
+_WIDEST = 1000
 
 
 def _holds(same: np.ndarray, least: int, per_edit: int) -> bool:
@@ -108,65 +112,63 @@ def _holds(same: np.ndarray, least: int, per_edit: int) -> bool:
     return bool((same[least - 1 :] & (low[: len(same) - least + 1] <= score[least:])).any())
 
 
-def _aligned(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int]]:
-    """The columns of a cheapest alignment, the text's ends free: (words of the item, edits) of each column."""
-    m, n = len(item), len(text)
-    cost = np.empty((m + 1, n + 1), np.int32)
-    cost[0] = 0
-    steps = np.arange(n + 1, dtype=np.int32)
-    for i in range(m):
-        before = cost[i]
-        row = before + 1
-        np.minimum(row[1:], before[:-1] + (text != item[i]), out=row[1:])
-        cost[i + 1] = np.minimum.accumulate(row - steps) + steps
-    i, j = m, int(cost[m].argmin())
-    columns = []
-    while i:
-        here = cost[i, j]
-        if j and here == cost[i - 1, j - 1] + (item[i - 1] != text[j - 1]):
-            i, j = i - 1, j - 1
-            columns.append((1, int(item[i] != text[j])))
-        elif here == cost[i - 1, j] + 1:
-            i -= 1
-            columns.append((1, 1))
-        else:
-            j -= 1
-            columns.append((0, 1))
-    return columns[::-1]
+def _spans(item: np.ndarray, text: np.ndarray, first: int, width: int, least: int, per_edit: int, most: int) -> bool:
+    """Whether item words stand in the text in order, `least` at least and with one edit in `per_edit` at most, from a
+    word that is there to one that is there. Exact for the alignments of `most` edits at most on the `width` diagonals
+    from `first` on.
+
+    Diagonal d pairs item[i] with text[i + first + d]. For each number of edits, words[i, d] is the largest number of
+    item words that an alignment ending there can have; with the edits given, more words are never worse.
+    """
+    m = len(item)
+    at = np.arange(m)[:, None] + (first + np.arange(width))
+    inside = (at >= 0) & (at < len(text))
+    same = inside & (text[np.clip(at, 0, len(text) - 1)] == item[:, None])
+    row = np.arange(m)[:, None]
+    # within a run of equal words on a diagonal the words grow by one a row; runs are kept apart by their number
+    run = np.cumsum(~same, axis=0, dtype=np.int64) * (4 * _DEAD) - row
+    words = np.where(same, 1, -_DEAD).astype(np.int64)
+    for edits in range(most + 1):
+        if edits:
+            before, words = words, np.full_like(words, -_DEAD)
+            words[1:] = before[:-1] + 1  # a changed word
+            np.maximum(words[1:, :-1], before[:-1, 1:] + 1, out=words[1:, :-1])  # a word left out
+            np.maximum(words[:, 1:], before[:, :-1], out=words[:, 1:])  # a word added
+        words = np.maximum.accumulate(words + run, axis=0) - run
+        if (same & (words >= max(least, edits * per_edit))).any():
+            return True
+    return False
 
 
 def shares_span(item: np.ndarray, text: np.ndarray, hits: list[tuple[int, int]], least: int, per_edit: int) -> bool:
-    """Whether a text holds a span of the item; hits are (position in the text, position in the item)."""
-    m, slack = len(item), len(item) // (per_edit - 1) + 2
+    """Whether a text holds a span of the item; hits are (position in the text, position in the item).
+
+    Where there is a span, there is one of fewer than 2 * least * per_edit / (per_edit - 1) words: a longer one falls
+    into two of `least` words or more, cut after a word that is there, and one of them has few enough edits. So all
+    alignments of that many edits around a hit are looked at, and nothing farther away.
+    """
+    m = len(item)
     if m < least:
         return False
-    shifts = sorted({a - b for a, b in hits})
-    groups = [[shifts[0]]]
-    for shift in shifts[1:]:
-        if shift - groups[-1][-1] <= 2 * slack:
-            groups[-1].append(shift)
+    longest = (2 * least * per_edit - 1) // (per_edit - 1)
+    most = longest // per_edit
+    groups: list[list[tuple[int, int]]] = []
+    for shift, at in sorted({(a - b, b) for a, b in hits}):
+        if groups and shift - groups[-1][-1][0] <= 2 * most and shift - groups[-1][0][0] < _WIDEST:
+            groups[-1].append((shift, at))
         else:
-            groups.append([shift])
+            groups.append([(shift, at)])
     for group in groups:
-        lo, hi = max(0, group[0] - slack), min(len(text), group[-1] + m + slack)
-        region = text[lo:hi]
-        present = set(region.tolist())
-        if not _holds(np.fromiter((w in present for w in item.tolist()), bool, m), least, per_edit):
-            continue  # too many of the item's words aren't there at all
-        for shift in group:  # only changed words, none added or left out: one diagonal
-            first, last = max(0, -shift), min(m, len(text) - shift)
-            if _holds(item[first:last] == text[first + shift : last + shift], least, per_edit):
+        first, last = group[0][0] - most, group[-1][0] + most
+        lo, hi = max(0, min(at for _, at in group) - longest), min(m, max(at for _, at in group) + longest)
+        for begin in range(lo, max(lo + 1, hi - longest), _WIDEST):  # spans of `longest` words lie within one part
+            end = min(hi, begin + _WIDEST + longest)
+            part = item[begin:end]
+            near = text[max(0, begin + first) : max(0, end + last)]
+            if not len(near) or not _holds(np.isin(part, near), least, per_edit):
+                continue  # too many of the item's words aren't there at all
+            if _spans(part, text, begin + first, last - first + 1, least, per_edit, most):
                 return True
-        columns = _aligned(item, region)
-        counted, edits = np.array(columns).T
-        same = (counted == 1) & (edits == 0)
-        words = np.concatenate(([0], np.cumsum(counted)))
-        score = words - per_edit * np.concatenate(([0], np.cumsum(edits)))
-        low = np.minimum.accumulate(np.where(same, score[:-1], _FAR))
-        ends = np.flatnonzero(same & (words[1:] >= least)) + 1
-        starts = np.searchsorted(words[:-1], words[ends] - least, side="right") - 1
-        if (low[starts] <= score[ends]).any():
-            return True
     return False
 
 

@@ -85,3 +85,57 @@ def test_winnowing_guarantee():
         sides = [np.concatenate([np.array([rng.randrange(1, 1 << 40) for _ in range(rng.randrange(0, 9))], np.int64), shared, np.array([rng.randrange(1, 1 << 40) for _ in range(rng.randrange(0, 9))], np.int64)]) for _ in (0, 1)]
         a, b = (set(leaks.winnow(s, 5, 2)[1].tolist()) for s in sides)
         assert a & b
+
+
+def fewest(item, text, least=25, per_edit=8):
+    """As `cheapest`, with words added right after the first word too."""
+    for i in range(len(item) - least + 1):
+        prev = [10**6]
+        for t in text:
+            prev.append(min(0 if t == item[i] else 10**6, prev[-1] + 1))
+        for n, word in enumerate(item[i + 1 :], 2):
+            row = [10**6]
+            for j, t in enumerate(text, 1):
+                row.append(min(row[j - 1] + 1, prev[j] + 1, prev[j - 1] + (word != t)))
+            if n >= least and any(word == t and prev[j] * per_edit <= n for j, t in enumerate(text)):
+                return True
+            prev = row
+    return False
+
+
+def shares(item, text, least=25, per_edit=8):
+    known = leaks._Hashes()
+    index = leaks.Index([(0, " ".join(item))], 5, 2)
+    words = leaks.word_hashes(" ".join(text), known)
+    hits = index.hits(*leaks.winnow(words, 5, 2)).get(0, [])
+    return bool(hits) and leaks.shares_span(index.words[0], words, hits, least, per_edit)
+
+
+def test_no_alignment_is_left_out():
+    rng = random.Random(11)
+    for n in range(40):  # the added word ties with a changed one
+        item = [rng.choice(WORDS) for _ in range(60)]
+        span = item[10:35]
+        span.insert(1 if n % 2 else 24, "added")
+        text = [rng.choice(WORDS) for _ in range(20)] + span + [rng.choice(WORDS) for _ in range(20)]
+        assert fewest(item, text) and shares(item, text)
+    found = 0
+    for n in range(150):
+        few = WORDS[: rng.choice([6, 12, len(WORDS)])]
+        item = [rng.choice(few) for _ in range(rng.choice([25, 30, 60, 90]))]
+        size = rng.choice([24, 25, 25, 26, 33, 48, 57])
+        at = rng.randrange(0, max(1, len(item) - size + 1))
+        text = [rng.choice(few) for _ in range(rng.randrange(0, 30))] + edited(rng, item[at : at + size], rng.choice([2, 3, 3, 4, 6, 7])) + [rng.choice(few) for _ in range(rng.randrange(0, 30))]
+        want = fewest(item, text)
+        assert shares(item, text) == want
+        found += want
+    assert 25 < found < 125
+
+
+def test_parts_of_long_items_and_texts(monkeypatch):
+    monkeypatch.setattr(leaks, "_WIDEST", 40)
+    rng = random.Random(12)
+    for at in range(0, 126, 25):
+        item = [rng.choice(WORDS) for _ in range(150)]
+        text = item[:6] * 30 + edited(rng, item[at : at + 25], 3) + item[:6] * 30
+        assert shares(item, text) == fewest(item, text)
