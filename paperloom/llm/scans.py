@@ -118,6 +118,15 @@ def _same(a: str, b: str) -> bool:
     return SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.86
 
 
+def _likeness(text: str) -> set[tuple]:
+    """Keys of which two lines that are `_same` share one: the first or last characters or, where they are equally long
+    and n characters at most are wrong, one of n + 1 parts."""
+    n = len(text)
+    parts = max(2, n // 8) + 1
+    cuts = [c * n // parts for c in range(parts + 1)]
+    return {(0, text[:3]), (-1, text[-3:])} | {(n, a, text[a:b]) for a, b in zip(cuts, cuts[1:])}
+
+
 def _digits_moved(a: str, b: str) -> bool:
     return re.findall(r"\d+", a) != re.findall(r"\d+", b)
 
@@ -206,9 +215,13 @@ def _repeated(lines: list[str], stripped: list[str], full: list[int], position:
         steady = all(len(set(column)) == 1 or all(int(x) < int(y) <= int(x) + 9 for x, y in zip(column, column[1:])) for column in zip(*digits))
         if steady and all(position[y] - position[x] >= 5 for x, y in zip(group, group[1:])):
             out.update(group)
-    heads = list({stripped[i]: i for i in out}.values())
-    for i in maybe:
-        if i not in out and any(abs(position[i] - position[h]) >= 5 and _same(stripped[i], stripped[h]) for h in heads[:20]):
+    heads: dict[tuple, list[int]] = {}
+    for text, i in {stripped[i]: i for i in sorted(out)}.items():
+        for key in _likeness(text):
+            heads.setdefault(key, []).append(i)
+    for i in maybe if heads else ():
+        near = {h for key in _likeness(stripped[i]) for h in heads.get(key, ())} if i not in out else ()
+        if any(abs(position[i] - position[h]) >= 5 and _same(stripped[i], stripped[h]) for h in near):
             out.add(i)
     loose = [i for i in maybe if i not in out and (len(lines[i]) - len(stripped[i]) >= 3 or i in fed or i - 1 in certain or not position[i] or not _goes_on(lines, full, position[i], width))]
     for k, i in enumerate(loose):

@@ -99,6 +99,35 @@ def test_page_numbers_across_form_feeds_and_misread():
     assert scans.page_number("Page l of 6") == ("word", 1) and scans.page_number("Quantity") is None
 
 
+def test_misread_variants_of_many_headers():
+    names = "Aster Birch Cedar Dahlia Elder Fennel Ginger Hazel Iris Jasmine Kale Laurel Mallow Nettle Olive Poppy Quince Rowan Sorrel Thistle Umber Vetch Willow Yarrow Zinnia".split()
+    heads = [f"{name} {other}berg Archive" for name, other in zip(names, names[7:] + names[:7])]
+    pages = [(h, k) for h in heads for k in range(3)]
+    rng = random.Random(4)
+    lines = []
+    for h, k in pages:
+        lines.append(h.replace("Archive", "Arehivc") if k == 2 else h)
+        lines += [" ".join(rng.choice(SENTENCES).lower().rstrip(".").split()[:8]) for _ in range(8)]
+    furniture = {line for kind, line in scans.Page("\n".join(lines)).furniture() if kind == "running_header"}
+    assert {h.replace("Archive", "Arehivc") for h in heads} | set(heads) == furniture
+
+
+def test_lines_that_are_the_same_share_a_key():
+    rng = random.Random(6)
+    same = 0
+    for _ in range(20000):
+        a = "".join(rng.choice("abcd 12") for _ in range(rng.randrange(3, 40)))
+        b = list(a)
+        for _ in range(rng.randrange(0, 6)):
+            at = rng.randrange(0, len(b) + 1)
+            b[at : at + rng.randrange(0, 2)] = rng.choice(["", "x", "y", "3"])
+        b = "".join(b)
+        if b and scans._same(b, a):
+            same += 1
+            assert scans._likeness(a) & scans._likeness(b), (a, b)
+    assert same > 2000
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, t string")
     assert scans.find([(df, "k", "t", "t")]).count() == 0
