@@ -195,16 +195,7 @@ def _echo(s: Seen) -> tuple[int, ...]:
     )
 
 
-# Words of which every way to decline has one; a look at them spares the patterns.
-_CALLS = frozenset(
-    "i my me mine we our ich mir mich mein meine meiner meinen je j m me mes mon mi mis yo siento lamento puedo debo prefiero io mio mia mie posso dispiace devo preferisco ai assistant sorry apologies unable "
-    "regrettably unfortunately unanswered permitted comfortable leider désolé désolée impossible décliner rechazar posible prudence".split()
-)
-
-
 def _refusal(s: Seen) -> tuple[int, ...]:
-    if not s.distinct & _CALLS:
-        return -1, -1, -1
     text = _quoted.sub(" ", s.prose) if not s.is_json else s.prose
     n = len(s.words)
     strong = len(_declines.findall(text))

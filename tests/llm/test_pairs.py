@@ -90,3 +90,15 @@ def test_table(spark):
     got = {r.trace_id: [d.defect for d in r.defects] for r in pairs.find(spark.createDataFrame(rows, schema)).collect()}
     assert got == {2: ["empty"], None: ["empty"]}
     assert pairs.find(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "No classification will be given for this document.", "No estoy autorizado para responder.", "Tengo que declinar esta tarea.", "Non sono in grado di rispondere.",
+        "Als KI-Modell ist eine Antwort nicht zulässig.", "This is outside what is possible under safety rules; no answer can be given.",
+    ],
+)
+def test_every_way_to_decline_is_looked_at(answer):
+    votes = dict(zip(pairs.DEFECTS, pairs.votes_of("Name the type of this document.\n\n" + DOC, answer)))
+    assert votes["refusal"][0] == 1 and sum(votes["refusal"]) > 0
