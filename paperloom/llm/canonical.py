@@ -170,7 +170,7 @@ class Matcher:
                     continue  # of initials only the exact form counts
                 best[ident] = max(best[ident], s)
                 where[ident].append((s, i, tokens))
-        ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:6]
+        ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))
         if not ranked or ranked[0][1] < POSSIBLE:
             return -1, ranked[0][1] if ranked else 0.0
         (top, score), second = ranked[0], ranked[1][1] if len(ranked) > 1 else 0.0

@@ -56,3 +56,10 @@ def test_table(spark, lists):
         canonical.match(cases, lists, most_entries=3)
     values = spark.createDataFrame([(v,) for v in (None, "", " ", "N/A", "none", "Unknown", "-", "x")], "v string")
     assert [r.v for r in values.where(canonical.has_value(values.v)).collect()] == ["x"]
+
+
+@pytest.mark.parametrize(("value", "near", "meant"), [("Sr Dev Manager", "Sr Dev Manager", "Senior Developer Manager"), ("Data Eng", "Data Eng", "Database Engineering")])
+def test_entries_beyond_the_six_nearest_are_checked(value, near, meant):
+    names = "Ada Bob Cleo Dora Egon Fritz Gina Hugo".split()
+    entries = [(n, [f"{near} {name}"]) for n, name in enumerate(names, 1)] + [(50, [meant])]
+    assert canonical.Matcher(entries).match(value) == (50, 0.95)
