@@ -41,3 +41,5 @@ ENDINGS = {
     "pt": re.compile(r"\w*[ãõ]\w*|\w+(?:ção|ções|dade|mento)\b"),
     "nl": re.compile(r"\w*(?:ij|aa|oo|uu)\w*|\w+(?:heid|lijk|atie)\b"),
 }
+# Letters that only one of the languages writes.
+LETTERS = {"de": "äß", "fr": "êîûœ", "es": "ñ¿¡", "pt": "ãõ"}

@@ -1,10 +1,10 @@
 """Prompt-answer pairs whose answer is no usable answer, with the kinds of defect.
 
-Every defect has several labelling functions: cheap, noisy votes for it (+1), against it (-1) or none (0). The votes
-of all pairs are counted by pattern in Spark (at most 3 to the number of functions rows a defect, whatever the input)
-and an expectation-maximisation label model on these counts learns how often each function is right; a pair's
-posterior depends on its pattern only. Labels are kept where the posterior exceeds the defect's cutoff, several if
-several do.
+Every defect has several labelling functions: cheap, noisy votes for it (+1), against it (-1) or none (0), each on
+evidence of its own (characters, wording, JSON structure, size, what is shared with the prompt). The votes of all pairs
+are counted by pattern in Spark (at most 3 to the number of functions rows a defect, whatever the input) and an
+expectation-maximisation label model on these counts learns how often each function is right; a pair's posterior
+depends on its pattern only. Labels are kept where the posterior exceeds the defect's cutoff, several if several do.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.languages import ANSWER_VOTES, ENDINGS, FURTHER_WORDS
+from paperloom.llm.languages import ANSWER_VOTES, ENDINGS, FURTHER_WORDS, LETTERS
 from paperloom.session import cut, map_batches
 
 #: In the order in which one label is chosen where only one may be given.
 DEFECTS = ("empty", "echo", "refusal", "truncated", "other_language")
-#: Posterior from which a label is kept; validated on planted defects in tests/llm.
-CUTOFFS = {"empty": 0.5, "echo": 0.5, "refusal": 0.5, "truncated": 0.5, "other_language": 0.5}
+#: Posterior from which a label is kept: what `choose_cutoffs` gives for labelled pairs; tests/llm hold them against
+#: planted pairs that no function was written for.
+CUTOFFS = {"empty": 0.5, "echo": 0.6, "refusal": 0.6, "truncated": 0.6, "other_language": 0.6}
 #: Prior share of a defect, and the accuracies of votes that the model starts from and is drawn to (as pseudo-counts).
 SHARE, HIT, FALSE, WEIGHT = 0.03, 0.9, 0.02, 0.01
 
@@ -57,14 +58,16 @@ _DECLINES = [
     r"\blo siento\b", r"\b(?:no puedo|no me es posible|no me está permitido|no estoy (?:autorizad|en condiciones))", r"\b(?:debo|tengo que|prefiero)\b[^.!?]{0,30}\b(?:rechazar|declinar|no (?:pronunciarme|opinar|responder|continuar|seguir))\b", r"\bmis (?:normas|reglas|directrices|principios)\b", r"\bcomo (?:modelo|ia|asistente)\b",
     r"\bmi dispiace\b", r"\bnon (?:posso|mi è possibile|sono in grado)\b", r"\b(?:devo|preferisco)\b[^.!?]{0,30}\b(?:rifiutare|declinare|non)\b",
 ]
-_declines = re.compile("|".join(_DECLINES), re.I)
-_first = re.compile(r"(?i)\b(?:i|me|my|i'm|i'd|ich|mir|mich|je|j|m|me|mes|mi|mis|yo|io)\b")
-_weak = re.compile(
-    r"(?i)\b(?:sorry|apolog\w*|regret\w*|unfortunately|unable|cannot|can't|decline|refuse|leider|ablehnen|bedauer\w*|désolée?|décliner|malheureusement|impossible|regrette|siento|lamento|rechazar|desgraciadamente|"
-    r"lamentablemente|prudence|vorsicht|precaución|inappropriate|appropriate|permitted|violat\w*|guidelines|sensitive|consult|unanswered|untouched|comfortable|verstößt|contraire|contra)\b"
+_declines = re.compile("|".join(_DECLINES))
+_FIRST = frozenset("i me my ich mir mich je j m mes mi mis yo io".split())
+# Words of regret, caution and rule, and beginnings of such words.
+_WEAK = frozenset(
+    "sorry unfortunately unable cannot decline refuse leider ablehnen désolé désolée décliner malheureusement impossible regrette siento lamento rechazar desgraciadamente lamentablemente prudence "
+    "vorsicht precaución inappropriate appropriate permitted guidelines sensitive consult unanswered untouched comfortable verstößt contraire contra".split()
 )
+_WEAK_STARTS = ("apolog", "regret", "bedauer", "violat")
 _third = re.compile(
-    r"(?i)\b(?:the|its?) (?:writer|sender|applicant|table|reviewer|signature|wording|tone|style|patient|supplier|author|customer)\b|\b(?:der|die|das) (?:absender|prüfer|aufbau|tabelle|unterschrift|bewerber)|"
+    r"\b(?:the|its?) (?:writer|sender|applicant|table|reviewer|signature|wording|tone|style|patient|supplier|author|customer)\b|\b(?:der|die|das) (?:absender|prüfer|aufbau|tabelle|unterschrift|bewerber)|"
     r"\b(?:le|la|l['’]) ?(?:expéditeur|présentation|tableau|signature|candidat)|\b(?:el|la) (?:remitente|redacción|tabla|firma|solicitante)|"
     r"\b(?:the|das|le|el|il) (?:document|dokument|documento) (?:is|was|names|mentions|ist|nennt|est|mentionne|es|menciona|è)\b"
 )
@@ -152,82 +155,109 @@ class Seen:
         self.listed = bool(re.match(r"\s*(?:[-*•]|\d+[.)])\s", self.body + " "))
         self.words = _words.findall(self.body.lower())
         self.distinct = set(self.words)
-        self.prompt, self.instruction = prompt, instruction_of(prompt)
-        self.asked, self.expected = _of_instruction(self.instruction)
+        quoted = not self.is_json and ('"' in self.prose or "“" in self.prose or "„" in self.prose or "«" in self.prose)
+        self.told = (_quoted.sub(" ", self.prose) if quoted else self.prose).lower()  # what it says itself
+        self.told_words = self.words if not quoted and self.prose is self.body else _words.findall(self.told)
+        self.said = _words.findall(prompt.lower())
+        self.known = set(self.said)
+        self.asked, self.expected = _of_instruction(instruction_of(prompt))
 
 
 def _empty(s: Seen) -> tuple[int, ...]:
-    bare = not _visible.search(s.body)
-    stripped = _announced.sub("", s.body).strip(" \t\r\n.\"'`*-_()[]{}<>#:")
-    stand_in = not stripped or stripped.lower() in NOTHING
-    hollow = s.is_json and _hollow(s.parsed)
-    full = len(s.words) > 3
-    return (1 if bare else -1 if full else 0), (1 if stand_in else -1), (1 if hollow or bare else -1 if s.is_json or full else 0)
+    """By letters, by what is left without wrapping, by JSON content, by size, and by words shared with the prompt."""
+    letters = sum(map(len, s.words))
+    rest = _announced.sub("", s.body).strip(" \t\r\n.\"'`*-_()[]{}<>#:")
+    said = _words.findall(rest.lower())
+    return (
+        1 if not letters else -1 if letters > 40 else 0,
+        1 if not rest or rest.lower() in NOTHING else -1 if len(said) > 1 and not NOTHING.issuperset(said) else 0,
+        0 if not s.is_json else 1 if _hollow(s.parsed) else -1,
+        1 if len(s.answer) < 2 else -1 if len(s.answer) > 60 else 0,
+        -1 if sum(len(w) > 3 and w in s.known for w in s.distinct) > 1 else 0,
+    )
 
 
 _WRAPPING = frozenset("question answer prompt instruction instructions task text document label user input frage antwort aufgabe réponse pregunta respuesta".split())
 
 
+def _unwrapped(words: list[str]) -> list[str]:
+    """Words without labels such as "Question:" among the first two."""
+    return [w for i, w in enumerate(words) if i > 1 or w not in _WRAPPING]
+
+
 def _echo(s: Seen) -> tuple[int, ...]:
-    words = s.words
-    if s.is_json and isinstance(s.parsed, dict) and len(s.parsed) == 1:
-        words = _words.findall(s.prose.lower())
-    words = [w for i, w in enumerate(words) if not (i < 2 and w in _WRAPPING)]
-    asked, asked_set = s.asked, set(s.asked)
-    if len(words) < 4 or len(asked_set & s.distinct) < 0.6 * len(asked_set):
-        return -1, -1, -1
-    said = _words.findall(s.prompt.lower())
-    known = set(said)
-    own = sum(w not in known for w in words)
-    if own > 0.3 * len(words):
-        return -1, -1, -1
-    triples = set(zip(said, said[1:], said[2:]))
-    mine = list(zip(words, words[1:], words[2:]))
-    copied = sum(t in triples for t in mine) / max(1, len(mine))
-    told = set(mine)
-    repeated = sum(t in told for t in zip(asked, asked[1:], asked[2:])) / max(1, len(asked) - 2)
-    mine_set = set(words)
-    whole = sum(w in mine_set for w in asked) / max(1, len(asked))
+    """By the order of words (what the prompt doesn't say in a row), by the set of words, by the text as a whole, by
+    words that the prompt doesn't have, by length, and by how the answer begins: each against the instruction alone and
+    against the whole prompt."""
+    words = _words.findall(s.prose.lower()) if s.is_json and isinstance(s.parsed, dict) and len(s.parsed) == 1 else s.words
+    words = _unwrapped(words)
+    n, asked = len(words), s.asked
+    if not asked:
+        return 0, 0, 0, 0, 0, 0
+    if n < 3:
+        return -1, -1, 0, 0, -1, 0
+    text, said, mine = f" {' '.join(words)} ", f" {' '.join(s.said)} ", set(words)
+    own = sum(w not in s.known for w in words) / n
+    copied = 0.0 if own > 0.7 else sum(f" {a} {b} {c} " in said for a, b, c in zip(words, words[1:], words[2:])) / (n - 2)
+    told = sum(f" {a} {b} {c} " in text for a, b, c in zip(asked, asked[1:], asked[2:])) / max(1, len(asked) - 2)
+    like = max(len(mine & other) / len(mine | other) for other in (set(asked), s.known))
     return (
-        1 if copied >= 0.8 and repeated >= 0.6 else -1,
-        1 if own <= 0.1 * len(words) and whole >= 0.8 else -1,
-        1 if " ".join(asked) and " ".join(asked) in " ".join(words) and own <= 1 else 0 if copied > 0.7 and repeated > 0.4 else -1,
+        1 if copied >= 0.8 and told >= 0.5 else -1 if copied <= 0.5 or told <= 0.2 else 0,
+        1 if like >= 0.75 else -1 if like <= 0.5 else 0,
+        1 if text in said and f" {' '.join(asked[:4])} " in text else 0,
+        -1 if own > 0.25 else 1 if own <= 0.05 else 0,
+        1 if min(abs(n - len(asked)) / len(asked), abs(n - len(s.said)) / len(s.said)) <= 0.1 else -1,
+        1 if words[:3] in (asked[:3], _unwrapped(s.said)[:3]) else -1,
     )
 
 
 def _refusal(s: Seen) -> tuple[int, ...]:
-    text = _quoted.sub(" ", s.prose) if not s.is_json else s.prose
+    """By phrases that decline, by words of regret or rule, by who speaks, by size, and by facts of the document."""
+    strong, third = _declines.search(s.told) is not None, _third.search(s.told) is not None
+    weak = sum(w in _WEAK or w.startswith(_WEAK_STARTS) for w in s.told_words)
+    first = not _FIRST.isdisjoint(s.told_words)
     n = len(s.words)
-    strong = len(_declines.findall(text))
-    weak = len(_weak.findall(text))
-    third = _third.search(text) is not None
-    if not strong and not weak:
-        return -1, -1, -1
+    rich = s.is_json and (isinstance(s.parsed, list) or isinstance(s.parsed, dict) and len(s.parsed) > 2)
     return (
         1 if strong else -1,
-        1 if weak + strong >= 2 and _first.search(text) and n <= 70 and not third else 0 if strong or not third else -1,
-        -1 if n > 90 or third and not strong else 1 if strong and n <= 60 and not third else 0,
+        1 if weak and n <= 40 * weak else -1 if not weak else 0,
+        -1 if third else 1 if first else 0,
+        -1 if n > 90 or rich else 1 if 3 < n <= 30 else 0,
+        -1 if any(w.isdigit() and w in s.known for w in s.distinct) else 0,
     )
 
 
+def _fragment(s: Seen) -> bool:
+    """Whether the last word is the beginning of a longer word of the prompt and nowhere a word itself."""
+    last = s.words[-1] if s.words else ""
+    if len(last) < 2 or last in s.known or s.words.count(last) > 1 or not s.body[-1:].isalnum():
+        return False
+    return any(w.startswith(last) for w in s.known)
+
+
 def _truncated(s: Seen) -> tuple[int, ...]:
+    """By open JSON, by an open code fence, by the closing mark of prose, by a last word or sign that something must
+    follow, by a divided last word, and by the last item of a list."""
     body = s.body
-    if not _visible.search(body):
-        return -1, -1, -1, -1
-    broken = s.json_like and not s.is_json and body[0] != '"' and _unclosed(body)
-    odd = s.fences % 2 == 1
-    if s.json_like and body[0] != '"':
-        state = 1 if broken else -1
-        return state, (1 if odd or broken else -1), state, (0 if not broken else 1 if _OPEN_END.search(body) or body[-1:] not in "}]" else 0)
+    visible = _visible.search(body) is not None
+    jsonish = s.json_like and body[0] != '"'
+    state = 0 if not jsonish else -1 if s.is_json else 1 if _unclosed(body) else 0
+    fence = 0 if not s.fences else 1 if s.fences % 2 else -1
+    open_end = visible and _OPEN_END.search(body) is not None
     last = body.rsplit("\n", 1)[-1].strip()
-    if s.listed:
-        cut_item = not _visible.search(last) or last.endswith((",", ":", "_", "-"))
-        return (1 if cut_item else -1), (1 if odd else -1), -1 if not cut_item else 1, (1 if cut_item else 0)
-    if len(s.words) <= 3 and not re.search(r"\s\S+\s", body):
-        return -1, (1 if odd else -1), -1, (1 if body[-1:] in ",;_(" else 0)
-    open_end = _OPEN_END.search(body) is not None
+    item = last.lstrip("-*• ") if s.listed else last
+    enough = visible and len(s.words) > 2
+    running = visible and not jsonish and (not s.listed and len(s.words) > 3 or s.listed and _sentence_like(item))
     ended = body[-1:] in _ENDED and not open_end
-    return (-1 if ended else 1), (1 if odd else -1 if ended else 0), (-1 if ended else 1 if len(s.words) >= 5 else 0), (1 if open_end else 0)
+    cut_item = s.listed and (not _visible.search(last) or last.endswith((",", ":", "_", "-")))
+    return (
+        state,
+        fence if visible or s.fences % 2 and len(body) > 2 else 0,
+        0 if not running else -1 if ended else 1,
+        0 if not enough else 1 if open_end and not s.is_json and not s.listed else -1 if ended else 0,
+        1 if enough and _fragment(s) else 0,
+        0 if not s.listed or not visible else 1 if cut_item else -1,
+    )
 
 
 def language_counts(text: str) -> dict[str, int]:
@@ -273,28 +303,30 @@ def expected_language(instruction: str) -> str | None:
 
 
 def _other_language(s: Seen) -> tuple[int, ...]:
+    """By function words, by word endings, by the share of the expected language's words, and by its letters.
+    Nothing is said where the answer only copies the prompt, whose document may be in any language."""
     expected = s.expected
-    if expected is None or len(s.words) < 5 or s.listed:
-        return -1, -1, -1
-    text = s.prose if s.is_json else _quoted.sub(" ", s.prose)
-    words = _words.findall(text.lower())
-    if len(words) < 5:
-        return -1, -1, -1
+    text, words = s.told, s.told_words
+    if s.listed:
+        text = "\n".join(x.lower() for x in filter(_sentence_like, s.prose.split("\n")))  # field names are in no language
+        words = _words.findall(text)
+    if expected is None or len(words) < 4 or sum(w in s.known for w in words) >= 0.9 * len(words):
+        return 0, 0, 0, 0
     counts: dict[str, int] = {}
     for word in words:
         for lang in ANSWER_VOTES.get(word, ()):
             counts[lang] = counts.get(lang, 0) + 1
     here = counts.pop(expected, 0)
     other = max(counts.values(), default=0)
-    if here >= 3 and here >= 2 * other:
-        return -1, 0, -1
-    endings = _by_endings(text.lower())
+    endings = _by_endings(text) if here < 3 or here < 2 * other else {}  # where the words settle it, nothing else is counted
     own_endings = endings.pop(expected, 0)
     other_endings = max(endings.values(), default=0)
+    letters = {lang for lang, signs in LETTERS.items() if any(c in text for c in signs)}
     return (
-        1 if other >= 3 and other >= 1.5 * here else -1 if here >= other else 0,
-        1 if other_endings >= 2 and other_endings > 1.5 * own_endings else -1 if own_endings >= other_endings and own_endings else 0,
-        1 if here <= 0.08 * len(words) and other >= 0.15 * len(words) else -1 if here >= 0.12 * len(words) and here > other else 0,
+        1 if other >= 3 and other >= 1.5 * here else -1 if here > other else 0,
+        0 if not endings else 1 if other_endings > 1 and other_endings > 1.5 * own_endings else -1 if own_endings > other_endings else 0,
+        -1 if here >= 0.12 * len(words) else 1 if here <= 0.08 * len(words) and other >= 0.15 * len(words) else 0,
+        1 if letters and expected not in letters else -1 if expected in letters and len(letters) == 1 else 0,
     )
 
 
@@ -382,6 +414,23 @@ def label_model(votes: DataFrame) -> dict[str, dict[int, float]]:
     return out
 
 
+def f_score(kept: np.ndarray, true: np.ndarray) -> float:
+    """The harmonic mean of precision and recall; 1 where nothing is true and nothing kept."""
+    return float(2 * (kept & true).sum() / (kept.sum() + true.sum())) if kept.any() or true.any() else 1.0
+
+
+def choose_cutoffs(posteriors: dict[str, np.ndarray], truth: dict[str, np.ndarray], steps: int = 20) -> dict[str, tuple[float, float]]:
+    """Defect to its cutoff and the F score there, from posteriors and labels (bool) of held-out pairs: the middle of
+    the cutoffs that score best."""
+    out = {}
+    for defect, post in posteriors.items():
+        tried = [(n / steps, f_score(post >= n / steps, truth[defect])) for n in range(1, steps)]
+        best = max(f for _, f in tried)
+        good = [x for x, f in tried if f == best]
+        out[defect] = (good[len(good) // 2], best)
+    return out
+
+
 def find(df: DataFrame, key: str = "trace_id", prompt: str = "user_prompt", answer: str = "raw_output", fallback: str = "output_data", cutoffs: dict[str, float] = CUTOFFS) -> DataFrame:
     """`key`, defects ARRAY<STRUCT<defect, posterior>> of each defective pair, once however often it was sent.
 

@@ -41,7 +41,8 @@ def plant(seed, n):
         elif defect == "echo":
             good = rng.choice([prompt, ask, "Question: " + ask, ask.upper(), json.dumps({"answer": ask}, ensure_ascii=False)])
         elif defect == "refusal":
-            good = rng.choice([rng.choice(REFUSE), json.dumps({"error": rng.choice(REFUSE)})])
+            own = {"en": REFUSE[:3], "de": REFUSE[3:4], "fr": REFUSE[4:5], "es": REFUSE[5:]}[lang]
+            good = rng.choice([rng.choice(own), json.dumps({"error": rng.choice(own)})])
         elif defect == "truncated":
             good = good[: rng.randrange(len(good) // 3, len(good) - 8)].rstrip(" .")
         elif defect == "other_language":
@@ -50,6 +51,54 @@ def plant(seed, n):
     return rows
 
 
+def with_two(seed, n):
+    """Planted pairs with their sets of labels: as `plant`, and answers in another language that break off."""
+    rng = random.Random(seed)
+    rows = [(i, p, a if a is not None else b, {d} if d else set()) for i, p, a, b, d in plant(seed, n)]
+    for i in range(n // 8):  # instructions that are repeated with small changes, and such that are repeated and then answered
+        lang = rng.choice(list(ASK))
+        ask = rng.choice(ASK[lang])
+        words = ask.split()
+        if i % 2:
+            words[rng.randrange(2, len(words))] = "such"
+            rows.append((n + i, f"{ask}\n\n{DOC}", f"{' '.join(words)} {DOC if i % 4 == 1 else ''}".strip(), {"echo"}))
+        else:
+            rows.append((n + i, f"{ask}\n\n{DOC}", f"{'You asked: ' if i % 4 else ''}{ask} {' '.join(TELL[lang][:2])}", set()))
+    for i in range(n // 20):
+        lang = rng.choice(list(ASK))
+        answer = " ".join(TELL[rng.choice([x for x in TELL if x != lang])])
+        rows.append((2 * n + i, f"{rng.choice(ASK[lang])}\n\n{DOC}", answer[: rng.randrange(len(answer) // 2, len(answer) - 12)].rstrip(" .,"), {"truncated", "other_language"}))
+    return rows
+
+
+def test_cutoffs_and_model_on_held_out_pairs():
+    rows = with_two(29, 1500)
+    votes = [pairs.votes_of(p, a) for _, p, a, _ in rows]
+    posts, truth, better = {}, {}, 0.0
+    for k, defect in enumerate(pairs.DEFECTS):
+        own = np.array([v[k] for v in votes])
+        patterns, back, counts = np.unique(own, axis=0, return_inverse=True, return_counts=True)
+        assert len(patterns) >= 8, (defect, len(patterns))
+        posts[defect] = pairs.posterior(patterns, *pairs.fit(patterns, counts.astype(float)))[back.ravel()]
+        truth[defect] = np.array([defect in r[3] for r in rows])
+        f = pairs.f_score(posts[defect] >= pairs.CUTOFFS[defect], truth[defect])
+        others = [pairs.f_score(own.sum(1) > 0, truth[defect]), *(pairs.f_score(own[:, j] > 0, truth[defect]) for j in range(own.shape[1]))]
+        assert f >= max(others) - 0.02, (defect, f, others)
+        better += f - others[0]
+    assert better > 0
+    best = pairs.choose_cutoffs(posts, truth)
+    for defect, (_, f) in best.items():
+        assert f > 0.94 and pairs.f_score(posts[defect] >= pairs.CUTOFFS[defect], truth[defect]) >= f - 0.01, (defect, best)
+
+
+def test_two_labels_are_kept(spark):
+    rows = with_two(31, 400)
+    df = spark.createDataFrame([(i, p, a, None) for i, p, a, _ in rows], "trace_id long, user_prompt string, raw_output string, output_data string")
+    got = {r.trace_id: {d.defect for d in r.defects} for r in pairs.find(df).collect()}
+    both = [i for i, _, _, labels in rows if len(labels) == 2]
+    assert len(both) == 20 and sum(got.get(i) == {"truncated", "other_language"} for i in both) >= 19
+
+
 def test_held_out_defects(spark):
     rows = plant(3, 900)
     df = spark.createDataFrame(rows + rows[:50], "trace_id long, user_prompt string, raw_output string, output_data string, defects string")
