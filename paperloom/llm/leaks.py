@@ -219,36 +219,41 @@ def _by_broadcast(docs: DataFrame, items: list[tuple[int, str]], k: int, w: int,
 
 
 def _fingerprints(df: DataFrame, key: str, text: str, k: int, w: int, out: str) -> DataFrame:
-    """`out` (the key), gram, at: one row per winnowed fingerprint."""
+    """`out` (the key), gram: the distinct winnowed fingerprints of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
-            found = [winnow(word_hashes(t, known), k, w) for t in batch.column(1).to_pylist()]
-            rows = np.repeat(np.arange(len(found)), [len(a) for a, _ in found])
-            grams = np.concatenate([g for _, g in found] or [np.empty(0, np.uint64)]).view(np.int64)
-            at = np.concatenate([a for a, _ in found] or [np.empty(0, np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(grams), pa.array(at)], names=[out, "gram", "at"])
+            found = [np.unique(winnow(word_hashes(t, known), k, w)[1]) for t in batch.column(1).to_pylist()]
+            rows = np.repeat(np.arange(len(found)), [len(g) for g in found])
+            grams = np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(grams)], names=[out, "gram"])
 
     kept = df.select(F.col(key).alias(out), text)
-    return map_batches(kept, run, f"{out} {kept.schema[out].dataType.simpleString()}, gram long, at int")
+    return map_batches(kept, run, f"{out} {kept.schema[out].dataType.simpleString()}, gram long")
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, k: int, w: int, least: int, per_edit: int, schema: str) -> DataFrame:
-    """The same rows where the items are too many to broadcast. Item fingerprints that occur in many items are not
-    dropped: they are gathered per item, so a document and an item meet once with the list of their hits."""
-    a = _fingerprints(docs, "doc_id", "text", k, w, "doc_id").withColumnRenamed("at", "doc_at")
-    b = _fingerprints(items, "item_id", "item_text", k, w, "item_id").withColumnRenamed("at", "item_at")
-    pairs = a.join(b, "gram").groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("doc_at", "item_at")).alias("hits"))
-    full = pairs.join(items.select("item_id", "item_text"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    """The same rows where the items are too many to broadcast. Fingerprints only say which texts and items meet, so
+    however often one of them stands in a text it is one row; where it stands is looked up again once the two are side
+    by side. Fingerprints of many items are not dropped."""
+    a = _fingerprints(docs, "doc_id", "text", k, w, "doc_id")
+    b = _fingerprints(items, "item_id", "item_text", k, w, "item_id")
+    pairs = a.join(b, "gram").select("doc_id", "item_id").distinct()
+    full = pairs.join(items.select("item_id", "item_text"), "item_id").join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "item_id", "item_text", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
+        known, of, words, found = _Hashes(), None, None, None
         for batch in batches:
-            kept = [
-                shares_span(word_hashes(item, known), word_hashes(text, known), [(h["doc_at"], h["item_at"]) for h in hits], least, per_edit)
-                for hits, item, text in zip(*(batch.column(c).to_pylist() for c in ("hits", "item_text", "text")))
-            ]
+            kept = []
+            for ident, item, text in zip(*(batch.column(c).to_pylist() for c in ("item_id", "item_text", "text"))):
+                if text is not of:  # a text's pairs mostly follow each other
+                    if text != of:
+                        words = word_hashes(text, known)
+                        found = winnow(words, k, w)
+                    of = text
+                index = Index([(ident, item)], k, w)
+                kept.append(shares_span(index.words[0], words, index.hits(*found).get(0, []), least, per_edit))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id")], names=["doc_id", "item_id"]).filter(pa.array(kept, pa.bool_()))
 
     return map_batches(full, run, schema)

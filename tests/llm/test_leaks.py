@@ -7,20 +7,19 @@ from paperloom.llm import leaks
 WORDS = [a + b for a in "ka lo mi ne pu ra si to vu wy zo be".split() for b in "dan rel sto mir gan pel".split()]
 
 
-def cheapest(item, text, least=25, per_edit=8):
+def fewest(item, text, least=25, per_edit=8):
     """Whether any span of the item, its first and last word in place, is in the text: edit distance of every span."""
-    far = 10**6
     for i in range(len(item) - least + 1):
-        prev = [far] + [0 if t == item[i] else far for t in text]
+        prev = [10**6]
+        for t in text:
+            prev.append(min(0 if t == item[i] else 10**6, prev[-1] + 1))
         for n, word in enumerate(item[i + 1 :], 2):
-            row, closed = [far], far
+            row = [10**6]
             for j, t in enumerate(text, 1):
                 row.append(min(row[j - 1] + 1, prev[j] + 1, prev[j - 1] + (word != t)))
-                if word == t:
-                    closed = min(closed, prev[j - 1])
-            prev = row
-            if n >= least and closed * per_edit <= n:
+            if n >= least and any(word == t and prev[j] * per_edit <= n for j, t in enumerate(text)):
                 return True
+            prev = row
     return False
 
 
@@ -55,14 +54,13 @@ def corpus(seed=5):
 
 def test_brute_force_and_both_ways(spark):
     items, docs = corpus()
-    want = {(d, i) for d, text in enumerate(docs) for i, item in enumerate(items) if len(item) >= 25 and cheapest(item, text)}
+    want = {(d, i) for d, text in enumerate(docs) for i, item in enumerate(items) if len(item) >= 25 and fewest(item, text)}
     assert 15 < len(want) < 70
     a = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string")
     b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, item_text string")
     near = {(r.doc_id, r.item_id) for r in leaks.find(a, b).collect()}
     far = {(r.doc_id, r.item_id) for r in leaks.find(a, b, broadcast_chars=0).collect()}
-    assert near == far
-    assert not near - want and len(want - near) <= 1  # spans whose cheapest alignment lies apart
+    assert near == far == want
 
 
 def test_writing_does_not_matter(spark):
@@ -87,22 +85,6 @@ def test_winnowing_guarantee():
         assert a & b
 
 
-def fewest(item, text, least=25, per_edit=8):
-    """As `cheapest`, with words added right after the first word too."""
-    for i in range(len(item) - least + 1):
-        prev = [10**6]
-        for t in text:
-            prev.append(min(0 if t == item[i] else 10**6, prev[-1] + 1))
-        for n, word in enumerate(item[i + 1 :], 2):
-            row = [10**6]
-            for j, t in enumerate(text, 1):
-                row.append(min(row[j - 1] + 1, prev[j] + 1, prev[j - 1] + (word != t)))
-            if n >= least and any(word == t and prev[j] * per_edit <= n for j, t in enumerate(text)):
-                return True
-            prev = row
-    return False
-
-
 def shares(item, text, least=25, per_edit=8):
     known = leaks._Hashes()
     index = leaks.Index([(0, " ".join(item))], 5, 2)
@@ -139,3 +121,29 @@ def test_parts_of_long_items_and_texts(monkeypatch):
         item = [rng.choice(WORDS) for _ in range(150)]
         text = item[:6] * 30 + edited(rng, item[at : at + 25], 3) + item[:6] * 30
         assert shares(item, text) == fewest(item, text)
+
+
+def test_fragments_of_the_item_around_the_span():
+    """Decoys of the same item before and after a span, against every alignment."""
+    rng = random.Random(21)
+    found = 0
+    for n in range(600):
+        item = [rng.choice(WORDS) for _ in range(rng.choice([30, 45, 60]))]
+        size = rng.choice([24, 25, 26, 33])
+        at = rng.randrange(0, len(item) - size + 1) if len(item) > size else 0
+        fragment = lambda: item[(x := rng.randrange(0, len(item) - 8)) : x + rng.randrange(5, 20)]
+        span = edited(rng, item[at : at + size], rng.choice([0, 2, 3, 3, 4]))
+        text = (fragment() if n % 3 else []) + [rng.choice(WORDS) for _ in range(rng.randrange(0, 6))] + span + [rng.choice(WORDS) for _ in range(rng.randrange(0, 6))] + (fragment() if n % 2 else [])
+        want = fewest(item, text)
+        assert shares(item, text) == want, n
+        found += want
+    assert 200 < found < 560
+
+
+def test_a_repeated_phrase_is_one_row(spark):
+    rng = random.Random(22)
+    item = [rng.choice(WORDS) for _ in range(40)]
+    docs = [(1, " ".join(item[:6] * 2000)), (2, " ".join(item[:6] * 2000 + item[5:35])), (3, " ".join(item[2:27]))]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item[:6] * 9))], "item_id long, item_text string")
+    near, far = (sorted(map(tuple, leaks.find(a, b, broadcast_chars=n).collect())) for n in (10**6, 0))
+    assert near == far and {(2, 7), (3, 7), (1, 8), (2, 8)} == set(near)
