@@ -1,10 +1,15 @@
 """Personal data in free text: found, typed and replaced by placeholders.
 
 Patterns propose spans of e-mail addresses, phone numbers, identity numbers, street addresses and names; validators
-(digit counts, Luhn, mod-97, Verhoeff, check letters) confirm or weaken them; words nearby add to or take from their
-score. Names have no pattern of their own: sequences of capitalised words are proposed, and a small character n-gram
-classifier, fitted on a bounded sample of labelled rows, scores their words. Overlaps go to the better score, then
-the longer span.
+(Luhn, mod-97, mod-11, Verhoeff, check letters, assigned ranges) confirm them, and words nearby adjust their score.
+Patterns alone stay below the score that is kept, unless their form is unmistakable: a right checksum lifts a number
+over it, a wrong one pushes it down so far that only a clear label nearby ("passport no.") still does. Numbers of
+accounts and cards are no identity numbers: with right check digits they are claimed, so that no part of them is taken
+for something else, and left as they are. Names have no pattern of their own: sequences of capitalised words are
+proposed, and a small character n-gram classifier, fitted on a bounded sample of labelled rows, scores their words;
+without labelled rows only titles and labels tell names. Overlaps go to the better score, then the longer span.
+
+Patterns are tried only where a text has a digit, a code or an "@" that they can begin at, not at every character.
 
 Texts are handled whole, each in its partition; only the fitted weights (a fixed size) are broadcast.
 """
@@ -29,11 +34,20 @@ TYPES = ("email", "phone", "identity_number", "street_address", "name")
 PLACEHOLDERS = {t: f"[{t.upper()}]" for t in TYPES}
 #: Score from which a span is kept, and the number of labelled rows that the name classifier is fitted on.
 KEPT, SAMPLE_ROWS = 0.5, 2000
-#: Longest text of a row that the classifier is fitted on; every text is searched, however long.
-SAMPLE_CHARS = 20_000
+#: Characters of all rows together that the classifier is fitted on, a bound on the sample as SAMPLE_ROWS is (20 MB on
+#: the driver): a row that doesn't fit is passed over. Every text is searched, however long.
+SAMPLE_CHARS = 20_000_000
 #: Size of the hashed feature space of the name classifier.
 FEATURES = 1 << 15
 
+@dataclass(frozen=True)
+class Span:
+    start: int
+    end: int
+    kind: str
+    score: float
+
+
 # --- e-mail ---------------------------------------------------------------------------------------------------------
 _AT = r"(?: ?@ ?|\s?[(\[{<]\s?(?:at|AT|ät)\s?[)\]}>]\s?|\s(?:\(at\)|\[at\])\s)"
 _DOT = r"(?:\.|\s?[(\[{<]\s?(?:dot|DOT|punkt|point|punto)\s?[)\]}>]\s?)"
@@ -41,6 +55,27 @@ _email = re.compile(
     rf"(?<![\w.+%-])[A-Za-z0-9_%+'-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+'-]{{1,64}}){{0,6}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{0,6}}{_DOT}[A-Za-z]{{2,24}}(?![\w@-])"
 )
 
+_at_sign = re.compile(r"@|[(\[{<]\s?(?:at|AT|ät)\s?[)\]}>]")
+_dot_word = re.compile(r"dot|DOT|punkt|point|punto")
+_REACH = 520  # characters of the longest local part or domain that the pattern can have
+
+
+def _email_spans(text: str) -> Iterator[Span]:
+    """Around each sign for "at": from the last white space before it, or from farther where dots are spelt out."""
+    done = 0
+    for at in _at_sign.finditer(text):
+        if at.start() < done:
+            continue
+        low = max(done, at.start() - _REACH)
+        before = text[low : at.start()]
+        if not _dot_word.search(before):
+            low = at.start() - len(before.rstrip().rsplit(None, 1)[-1]) - (len(before) - len(before.rstrip())) if before.strip() else at.start()
+        m = _email.search(text, low, at.end() + _REACH)
+        if m:
+            done = m.end()
+            yield Span(m.start(), m.end(), "email", 1.5)
+
+
 # --- numbers --------------------------------------------------------------------------------------------------------
 _S = r"[\s]{1,6}"
 _T = r"(?:[ \t\u00a0]{1,2}|[.\-/])"  # within a line; known numbering plans may also be wrapped
@@ -66,32 +101,46 @@ _phones = [
     (0.5, re.compile(rf"{_NOT_BEFORE}0\d{{9,10}}{_NOT_AFTER}")),
     (0.3, re.compile(rf"{_NOT_BEFORE}[2-9]\d{{2}}[2-9]\d{{6}}{_NOT_AFTER}")),
 ]
-_identities = [
-    (0.75, "group", re.compile(rf"(?<![\w.,/+$€£-])\d{{4}}{_S}\d{{4}}{_S}\d{{4}}(?![\w])(?![.,/-]\d)(?![ ]\d)")),
-    (0.8, "group", re.compile(rf"(?<![\w.,/+$€£-])(?!000)\d{{3}}(?:-\d{{2}}-|{_S}\d{{2}}{_S})(?!0000)\d{{4}}(?![\w])(?![.,/-]\d)")),
-    (0.9, "code", re.compile(r"(?<![\w-])[A-Z]{5}\d{4}[A-Z](?![\w-])")),
-    (0.9, "code", re.compile(rf"(?<![\w-])[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z](?:{_S}?\d{{2}}){{3}}{_S}?[A-D](?![\w-])")),
-    (0.85, "code", re.compile(rf"(?<![\w-])QQ(?:{_S}?\d{{2}}){{3}}{_S}?[A-D](?![\w-])")),
-    (0.7, "code", re.compile(r"(?<![\w-])[A-Z]{1,2}\d{7,8}(?![\w-])")),
+_PHONES_BY_START = {"+": (0, 1, 2), "(": (4, 8), "0": (0, 3, 7, 8, 9), "1": (4, 5)} | dict.fromkeys("23456789", (5, 6, 10))
+_number_start = re.compile(r"(?<!\w)(?=[+(]?\d)")
+_number_run = re.compile(r"[+(]?\d[\d\s().\-/]{0,40}")
+_code_start = re.compile(r"(?<![\w-])[A-Z]{1,6}(?=[-\s]{0,6}\d)")
+#: Pattern, kind of check, score by pattern alone.
+_number_identities = [
+    (0.32, "verhoeff", re.compile(rf"(?<![\w.,/+$€£-])\d{{4}}{_S}\d{{4}}{_S}\d{{4}}(?![\w])(?![.,/-]\d)(?![ ]\d)")),
+    (0.35, "area", re.compile(rf"(?<![\w.,/+$€£-])(?!000)\d{{3}}(?:-\d{{2}}-|{_S}\d{{2}}{_S})(?!0000)\d{{4}}(?![\w])(?![.,/-]\d)")),
+    (0.35, "nir", re.compile(r"(?<![\w.,/+-])[12]\s?\d{2}\s?(?:0[1-9]|1[0-2])\s?\d[\dAB]\s?\d{3}\s?\d{3}\s?\d{2}(?![\w])")),
+    (0.35, "dni", re.compile(r"(?<![\w-])\d{8}-?[A-Z](?![\w-])")),
+    (0.15, "digits", re.compile(rf"(?<![\w.,/+$€£-])(?:\d{{2}}{_S}?\d{{3}}{_S}?\d{{3}}{_S}?\d{{3}}|\d{{3}}{_S}\d{{3}}{_S}\d{{3,4}})(?![\w])(?![.,/-]\d)(?![ ]\d)")),
+    (0.15, "digits", re.compile(r"(?<![\w.,/+$€£-])\d{8,12}(?![\w])(?![.,/-]\d)")),
+    (0.3, "card", re.compile(rf"(?<![\w.,/+$€£-])\d{{4}}(?:[ -]?\d{{4}}){{2}}[ -]?\d{{1,7}}(?![\w])(?![.,/-]\d)")),
+]
+_code_identities = [
+    (0.9, "form", re.compile(r"(?<![\w-])[A-Z]{5}\d{4}[A-Z](?![\w-])")),
+    (0.9, "form", re.compile(rf"(?<![\w-])[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z](?:{_S}?\d{{2}}){{3}}{_S}?[A-D](?![\w-])")),
+    (0.85, "form", re.compile(rf"(?<![\w-])QQ(?:{_S}?\d{{2}}){{3}}{_S}?[A-D](?![\w-])")),
+    (0.7, "form", re.compile(r"(?<![\w-])[A-Z]{1,2}\d{7,8}(?![\w-])")),
     (0.55, "prefix", re.compile(r"(?<![\w-])([A-Z]{2,6})-(?:\d{4}-)?\d{4,9}(?![\w-])")),
-    (0.45, "nir", re.compile(r"(?<![\w.,/+-])[12]\s?\d{2}\s?(?:0[1-9]|1[0-2])\s?\d[\dAB]\s?\d{3}\s?\d{3}\s?\d{2}(?![\w])")),
-    (0.35, "dni", re.compile(r"(?<![\w-])(?:[XYZ]-?\d{7}|\d{8})-?[A-Z](?![\w-])")),
-    (0.3, "digits", re.compile(rf"(?<![\w.,/+$€£-])\d{{2}}{_S}?\d{{3}}{_S}?\d{{3}}{_S}?\d{{3}}(?![\w])(?![.,/-]\d)")),
-    (0.3, "digits", re.compile(r"(?<![\w.,/+$€£-])\d{8,12}(?![\w])(?![.,/-]\d)")),
+    (0.35, "dni", re.compile(r"(?<![\w-])[XYZ]-?\d{7}-?[A-Z](?![\w-])")),
     (0.4, "iban", re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){3,7}(?:\s?[A-Z0-9]{1,3})?(?![\w-])")),
 ]
+#: What a right and a wrong checksum add; what a clear and a vague label nearby add, and one of a transaction.
+RIGHT, WRONG, LABELLED, HINTED, TRADED = 0.3, -0.05, 0.45, 0.25, -0.8
 # Prefixes of numbers that belong to a person, and of those that belong to a transaction.
 _PERSON_PREFIX = frozenset("STU HOSP MRN PAT PID LAB MED INS STUD MAT MATR EMP SSN TIN PASS ID NID SV KV POL".split())
 _BUSINESS_PREFIX = frozenset("INV PO CN ST REF AB TRK ORD SO RE RG BATCH LOT RMA SKU DOC VAT RF FA AN LS BL EORI ISO DIN EN RFC COVID".split())
+_label_of = re.compile(
+    r"(?i)\b(?:(?:id|identity|national|tax|insurance|patient|student|member|passport|document|licen[cs]e|social security|medical record)\s*(?:id|no|number|card|code)\b|passport|passeport|pasaporte|reisepass|ausweis\w*|steuer\w*|ssn|nif|nie|dni|nino|aadhaar|"
+    r"pan|mrn|matrikel\w*|versicherung\w*|seguro|assurance|holder|pièce|documento)[\s.:#°-]*(?:no\.?|number|nummer|id|card)?[\s.:#°-]*$"
+)
 _near_identity = re.compile(
-    r"(?i)\b(?:id(?:entity)?(?: card)?|passport|passeport|pasaporte|reisepass|ausweis|national|tax|steuer\w*|ssn|social security|insurance|versicherung\w*|seguro|assurance|patient|student|matrikel\w*|licen[cs]e|"
-    r"member|mrn|nif|nie|dni|nino|aadhaar|pan|document number|id no|no|number|nummer|numéro|número|pièce|documento|holder)\b[\s.:#°-]*(?:no\.?|number|nummer|id|card)?[\s.:#°-]*$"
+    r"(?i)\b(?:id(?:entity)?(?: card)?|national|tax|social security|insurance|patient|student|licen[cs]e|member|document number|id no|no|n\w{1,4}[b6]er|nummer|numéro|número|holder)\b[\s.:#°-]*(?:no\.?|number|nummer|id|card)?[\s.:#°-]*$"
 )
 _near_business = re.compile(
     r"(?i)\b(?:invoice|order|orders|tracking|trk|parcel|batch|lot|reference|statement|receipt|voucher|quoting|registered under|recorded under|room|building|version|iban|account|konto|factura|facture|rechnung|"
     r"bestell\w*|pedido|commande|amount|total|units?)\b[\s.:#°-]*(?:no\.?|number|nummer|id)?[\s.:#°-]*$"
 )
-_near_phone = re.compile(r"(?i)\b(?:tel|telephone|telefon|téléphone|teléfono|phone|mobile|mobil|cell|fax|call|calling|reach|unter|au|al|on|under|dial)\b[^\n\w]{0,6}$")
+_near_phone = re.compile(r"(?i)\b(?:tel|telephone|telefon|téléphone|teléfono|phone|mobile|mobil|cell|fax|call|calling|reach|unter|au|al|on|under|dial)\b(?:[^\n\w]{0,3}(?:no|number|nummer|numéro|número)\b)?[^\n\w]{0,6}$")
 
 # --- addresses ------------------------------------------------------------------------------------------------------
 _U = r"[^\W\d_a-zß-öø-ÿ]"  # an upper-case letter
@@ -124,7 +173,7 @@ _INITIAL = rf"{_U}\.(?:-?{_U}\.)*"
 _PARTICLE = r"(?:von\s{1,4}der|von\s{1,4}dem|van\s{1,4}der|van\s{1,4}den|van\s{1,4}de|de\s{1,4}la|de\s{1,4}las|de\s{1,4}los|de\s{1,4}los|della|delle|von|van|vom|zu|zur|zum|de|del|der|den|di|da|do|dos|du|la|le|al|el|bin|ben|ten|ter|af|av)"
 _sequence = re.compile(rf"(?<![\w@.+-])(?:{_INITIAL}|{_NAME_WORD})(?:\s{{1,4}}(?:{_PARTICLE}\s{{1,4}})?(?:{_INITIAL}|{_NAME_WORD}))*(?![\w@]|-\d)")
 _piece = re.compile(rf"(?:(?<=\s)|^)(?:({_PARTICLE})\s{{1,4}})?(?:({_INITIAL})|({_NAME_WORD}))")
-_TITLES = frozenset("dr mr mrs ms miss mx prof professor doctor herr frau hr fr m mme mlle monsieur madame maître sr sra srta señor señora don doña dott sig signora sir dame".split())
+_TITLES = frozenset("dear liebe lieber cher chère estimado estimada dr mr mrs ms miss mx prof professor doctor herr frau hr fr m mme mlle monsieur madame maître sr sra srta señor señora don doña dott sig signora sir dame".split())
 _title_before = re.compile(r"(?i)(?<!\w)(?:dr|mr|mrs|ms|miss|prof|herrn?|frau|hr|fr|m|mme|mlle|monsieur|madame|sr|sra|srta|señora?|don|doña)\.?\s{1,4}$")
 _company_after = re.compile(r"^(?:\s*&\s*(?:Sons|Söhne|Co|Partners|Partner|Fils|Hijos)\b|\s+(?:GmbH|AG|KG|SE|Ltd|LLC|LLP|Inc|PLC|plc|Corp|Corporation|Company|Group|Holding|Holdings|S\.A\.|S\.L\.|SARL|SAS|S\.p\.A|N\.V\.|B\.V\.|Foundation|University|Institute|Hospital|Clinic|Bank)\b)")
 _COMPANY = r"(?:GmbH|AG|KG|SE|Ltd|LLC|LLP|Inc|PLC|plc|Corp|Corporation|Company|Group|Holdings?|S\.A\.|S\.L\.|SARL|SAS|S\.p\.A|N\.V\.|B\.V\.)"
@@ -133,17 +182,10 @@ _person_before = re.compile(
     r"(?i)(?:\b(?:name|holder|candidate|patient|student|contact|attn|authors?|registrar|physician|dear|sincerely|regards|by|of|from|to|for|with|notify|inform|reach|thank|bill to|reports to|employee|applicant|signed|"
     r"mit|wurde|von|an|herrn?|frau|arbeitete|händen|joindre|avec|à|par|con|a|por|de|erreichen|contactar|telephone)\b[\s.:,;]*|[:;]\s*)$"
 )
+_name_label = re.compile(r"(?i)\b(?:name|holder|candidate|patient|student|contact|attn\.?|physician|registrar|nom|nombre|titulaire|titular)\s?:\s*$|\b(?:dear|sincerely,?|liebe[r]?|cher|chère|estimad[oa])\s+$")
 _place_before = re.compile(r"(?i)\b(?:in|at|near|project|figure|table|street|office|site|en|bei|aus|nach|location|city|town|department|position)\b[\s:]*$")
 
 
-@dataclass(frozen=True)
-class Span:
-    start: int
-    end: int
-    kind: str
-    score: float
-
-
 def luhn(digits: str) -> bool:
     total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
     return len(digits) > 1 and total % 10 == 0
@@ -185,49 +227,143 @@ def dni(number: str) -> bool:
     return "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23] == s[-1]
 
 
+def sin(digits: str) -> bool:
+    """Nine digits of a social insurance number: Luhn."""
+    return len(digits) == 9 and luhn(digits)
+
+
+def nhs(digits: str) -> bool:
+    """The check digit of a ten-digit patient number: weights 10 to 2, 11 less the rest by 11."""
+    check = 11 - sum((10 - i) * int(c) for i, c in enumerate(digits[:9])) % 11
+    return len(digits) == 10 and check % 11 == int(digits[9]) and check != 10
+
+
+def steuer_id(digits: str) -> bool:
+    """The check digit of an eleven-digit tax number: mod 11, 10."""
+    product = 10
+    for c in digits[:10]:
+        product = (((int(c) + product) % 10 or 10) * 2) % 11
+    return len(digits) == 11 and (11 - product) % 10 == int(digits[10])
+
+
+def area(digits: str) -> bool:
+    """Whether nine digits lie in the ranges that are assigned: no area 000 or 666, and from area 900 on (taxpayers) only
+    some groups."""
+    first, group = int(digits[:3]), int(digits[3:5])
+    return first not in (0, 666) and group > 0 and (first < 900 or 50 <= group <= 65 or 70 <= group <= 88 or 90 <= group <= 92 or 94 <= group)
+
+
+def check(kind: str, value: str) -> bool | None:
+    """Whether a number's check digits are right; None where its kind has none."""
+    digits = re.sub(r"\D", "", value)
+    if kind == "digits":
+        return {9: sin, 10: nhs, 11: steuer_id, 12: verhoeff}.get(len(digits), lambda _: None)(digits)
+    if kind == "verhoeff":
+        return verhoeff(digits)
+    if kind == "area":
+        return area(digits)
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return {"nir": nir, "dni": dni, "iban": mod97}[kind](value) if kind in ("nir", "dni", "iban") else None
+
+
 def _before(text: str, start: int) -> str:
-    return re.sub(r"\s+", " ", text[max(0, start - 48) : start])
+    """What stands before, in one line, with divided words joined."""
+    return re.sub(r"\s+", " ", re.sub(r"(?<=[^\W\d_])[-¬\xad]\s+", "", text[max(0, start - 48) : start]))
 
 
-def _phone_spans(text: str) -> Iterator[Span]:
-    for score, pattern in _phones:
-        for m in pattern.finditer(text):
+def _identity(text: str, at: int, patterns: list, before: str | None) -> Iterator[Span]:
+    for score, kind, pattern in patterns:
+        m = pattern.match(text, at)
+        if not m:
+            continue
+        right = check(kind, m[0])
+        if kind in ("card", "iban"):  # of an account: claimed, but not a person's number
+            if right:
+                yield Span(at, m.end(), "", 2.0)
+            continue
+        if before is None:
+            before = _before(text, at)
+        s = score + (0.0 if right is None else RIGHT if right else WRONG)
+        if kind == "prefix":
+            s += 0.4 if m[1] in _PERSON_PREFIX else -1 if m[1] in _BUSINESS_PREFIX else 0
+        if _label_of.search(before):
+            s += LABELLED
+        elif _near_identity.search(before):
+            s += HINTED
+        if _near_business.search(before):
+            s += TRADED
+        elif kind == "digits" and _near_phone.search(before):
+            s -= 0.3
+        yield Span(at, m.end(), "identity_number", s)
+
+
+def _number_spans(text: str) -> Iterator[Span]:
+    """Phone and identity numbers, and addresses that begin with a house number: one look at every number."""
+    for begin in _number_start.finditer(text):
+        at = begin.start()
+        first = text[at]
+        if first.isdigit() and _house.match(text, at):
+            for n in _BY_NUMBER:
+                m = _addresses[n].match(text, at)
+                if m:
+                    yield Span(at, m.end(), "street_address", _ADDRESS_SCORES[n])
+        run = _number_run.match(text, at)
+        if not run or run.end() - at < 8:
+            continue
+        before = None
+        for n in _PHONES_BY_START.get(first, ()):
+            score, pattern = _phones[n]
+            m = pattern.match(text, at)
+            if not m:
+                continue
             digits = re.sub(r"\D", "", m[0])
             if not 8 <= len(digits) <= (17 if digits.startswith("00") else 15) or len(set(digits)) <= 2:
                 continue
-            before = _before(text, m.start())
-            s = score + 0.2 * (_near_phone.search(before) is not None) - 0.6 * (_near_business.search(before) is not None)
-            start = m.start()
-            yield Span(start, m.end(), "phone", s)
-
-
-def _identity_spans(text: str) -> Iterator[Span]:
-    for score, kind, pattern in _identities:
-        for m in pattern.finditer(text):
-            before, value, s = _before(text, m.start()), m[0], score
-            digits = re.sub(r"\D", "", value)
-            if kind == "prefix":
-                s += 0.4 if m[1] in _PERSON_PREFIX else -1 if m[1] in _BUSINESS_PREFIX else 0
-            elif kind == "group":
-                s += 0.1 * (len(digits) == 12 and verhoeff(digits))
-            elif kind == "nir":
-                s += 0.4 if nir(value) else 0
-            elif kind == "dni":
-                s += 0.3 if dni(value) else -0.1
-            elif kind == "iban":
-                s = 0.0 if mod97(value) else -1  # an account, not a person's number
-            elif kind == "digits":
-                s += 0.1 * luhn(digits)
-            s += 0.25 * (_near_identity.search(before) is not None) - 0.8 * (_near_business.search(before) is not None)
-            if kind == "digits" and _near_phone.search(before):
-                s -= 0.3
-            yield Span(m.start(), m.end(), "identity_number", s)
+            before = _before(text, at) if before is None else before
+            if _near_phone.search(before):
+                score += 0.2
+            elif score < 0.9:  # such digits may as well be another number
+                score -= 0.5 if _label_of.search(before) else 0.35 if _near_identity.search(before) else 0
+            yield Span(at, m.end(), "phone", score - 0.6 * (_near_business.search(before) is not None))
+        if first.isdigit():
+            yield from _identity(text, at, _number_identities, before)
+
+
+def _code_spans(text: str) -> Iterator[Span]:
+    for begin in _code_start.finditer(text):
+        yield from _identity(text, begin.start(), _code_identities, None)
+
+
+#: Which address patterns begin with a house number, with a unit before it, with a street's name, with its kind.
+_BY_NUMBER, _BY_UNIT, _BY_STREET, _BY_KIND = (0, 1, 4), (0, 4), 2, 3
+_ADDRESS_SCORES = (1.2, 1.2, 1.2, 1.2, 0.6)
+_house = re.compile(r"\d{1,5}(?:\s?(?:bis|ter|quater)|\s?[A-Za-z])?,?\s+[^\W\d_]")  # what each of the first begins with
+_unit = re.compile(rf"(?<![\w.,$€£-]){_UNIT}\s")
+_before_number = re.compile(r"\s+(?=\d)")
+_STREET_ENDS = tuple("straße strasse str. gasse weg platz allee ring ufer damm steig graben hof markt chaussee Straße Strasse Str. Gasse Weg Platz Allee Ring Ufer Damm".split())
+_KIND_WORDS = ("Calle", "C/", "Avenida", "Avda", "Plaza", "Paseo", "Camino", "Ronda", "Carrera", "calle", "avenida", "plaza", "paseo")
 
 
 def _address_spans(text: str) -> Iterator[Span]:
-    for n, pattern in enumerate(_addresses):
-        for m in pattern.finditer(text):
-            yield Span(m.start(), m.end(), "street_address", 0.6 if n == len(_addresses) - 1 else 1.2)
+    """Addresses that don't begin with a number; `_number_spans` has the others."""
+    for begin in _unit.finditer(text):
+        for n in _BY_UNIT:
+            m = _addresses[n].match(text, begin.start())
+            if m:
+                yield Span(m.start(), m.end(), "street_address", _ADDRESS_SCORES[n])
+    for gap in _before_number.finditer(text):
+        if text.endswith(_STREET_ENDS, 0, gap.start()):
+            line = max(0, gap.start() - 120)  # a street of two words
+            for m in _addresses[_BY_STREET].finditer(text, line):
+                if m.start() >= gap.start():
+                    break
+                if m.end() > gap.end():
+                    yield Span(m.start(), m.end(), "street_address", _ADDRESS_SCORES[_BY_STREET])
+                    break
+    if any(word in text for word in _KIND_WORDS):
+        for m in _addresses[_BY_KIND].finditer(text):
+            yield Span(m.start(), m.end(), "street_address", _ADDRESS_SCORES[_BY_KIND])
 
 
 # --- the name classifier --------------------------------------------------------------------------------------------
@@ -310,13 +446,17 @@ def fit_names(rows: list[tuple[str | None, str | None]]) -> tuple[np.ndarray, np
 
 
 class NameScorer:
-    """Scores of words, remembered: likely in a name (> 0), and as a surname (> 0)."""
+    """Scores of words, remembered: likely in a name (> 0), and as a surname (> 0). Without weights every word may be
+    one, and only titles and labels before a name tell."""
 
-    def __init__(self, weights: np.ndarray, place: np.ndarray):
+    def __init__(self, weights: np.ndarray | None = None, place: np.ndarray | None = None):
         self.weights, self.place = weights, place
         self.known: dict[str, tuple[float, float]] = {}
+        self.dull: set[str] = set()  # sequences without a word that may be in a name
 
     def __call__(self, word: str) -> tuple[float, float]:
+        if self.weights is None:
+            return 0.01, 0.0
         got = self.known.get(word)
         if got is None:
             if len(self.known) > 300_000:
@@ -339,7 +479,10 @@ class _Word:
 def _name_runs(text: str, score: NameScorer) -> Iterator[list[_Word]]:
     """Maximal runs of words that look like names, with initials and particles between them."""
     for m in _sequence.finditer(text):
+        if m[0] in score.dull:
+            continue
         run: list[_Word] = []
+        dull = True
         for p in _piece.finditer(m[0]):
             a = m.start() + (p.start(2) if p[2] else p.start(3))
             word = p[2] or p[3]
@@ -350,11 +493,12 @@ def _name_runs(text: str, score: NameScorer) -> Iterator[list[_Word]]:
                     yield run
                 run = []
                 continue
+            dull = False
             begin = m.start() + p.start(1) if p[1] and run else a
             if run and begin == a and p[1]:
                 yield run
                 run = []
-            if run and "\n" in text[run[-1].end : begin] and _company_line.match(text, a):
+            if run and "\n" in text[run[-1].end : begin] and (score.weights is None or _company_line.match(text, a)):
                 yield run  # the company on the next line
                 run = []
             if run and not initial and not run[-1].initial and "\n" in text[run[-1].end : begin] and len(run) >= 2 and surname < 0 < run[-1].surname:
@@ -363,6 +507,10 @@ def _name_runs(text: str, score: NameScorer) -> Iterator[list[_Word]]:
             run.append(_Word(a, a + len(word), begin, initial, name, surname))
         if run:
             yield run
+        if dull and len(m[0]) < 60:
+            if len(score.dull) > 300_000:
+                score.dull.clear()
+            score.dull.add(m[0])
 
 
 def _split_run(run: list[_Word]) -> Iterator[list[_Word]]:
@@ -392,6 +540,8 @@ def _name_spans(text: str, score: NameScorer) -> Iterator[Span]:
             continue
         before = _before(text, start)
         titled = _title_before.search(before) is not None
+        if score.weights is None and not titled and not _name_label.search(before):
+            continue
         # surname first: one surname, a comma, a given name or two
         if len(run) == 1 and words[0].surname > 0 and i + 1 < len(runs):
             after = runs[i + 1]
@@ -416,17 +566,14 @@ def _name_spans(text: str, score: NameScorer) -> Iterator[Span]:
 
 def spans_of(text: str, score: NameScorer) -> list[Span]:
     """The spans kept in a text, in order, without overlaps."""
-    found = [Span(m.start(), m.end(), "email", 1.5) for m in _email.finditer(text)]
-    found += _phone_spans(text)
-    found += _identity_spans(text)
-    found += _address_spans(text)
-    found += _name_spans(text, score)
+    found = [*_email_spans(text), *_number_spans(text), *_code_spans(text), *_address_spans(text), *_name_spans(text, score)]
     out: list[Span] = []
-    taken = np.zeros(len(text), bool)
+    taken = bytearray(len(text))
     for s in sorted((x for x in found if x.score >= KEPT), key=lambda x: (-round(x.score, 6), x.start - x.end, x.start)):
-        if not taken[s.start : s.end].any():
-            taken[s.start : s.end] = True
-            out.append(s)
+        if not any(taken[s.start : s.end]):
+            taken[s.start : s.end] = b"\1" * (s.end - s.start)
+            if s.kind:
+                out.append(s)
     return sorted(out, key=lambda x: x.start)
 
 
@@ -439,21 +586,34 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-def labelled_rows(df: DataFrame, key: str, text: str, truth: str, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str | None, str | None]]:
-    """At most `sample_rows` rows with labels, the same ones whatever the order of the input: those of least hash."""
-    picked = df.where(F.col(truth).isNotNull() & (F.length(text) <= SAMPLE_CHARS)).select(text, truth, F.xxhash64(F.col(key)).alias("_at"))
-    return [(r[0], r[1]) for r in picked.orderBy("_at", text).limit(sample_rows).collect()]
-
-
-def find(df: DataFrame, key: str, text: str, truth: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def labelled_rows(df: DataFrame, key: str, text: str, truth: str, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str | None, str | None]]:
+    """At most `sample_rows` rows with labels and `sample_chars` characters of text, the same ones whatever the order of
+    the input: those of least hash, long ones too as far as there is room."""
+    labelled = df.where(F.col(truth).isNotNull() & F.col(text).isNotNull())
+    picked = labelled.select(F.xxhash64(F.col(key)).alias("_at"), F.xxhash64(text, truth).alias("_own"), F.length(text).alias("_n"))
+    rows, left = [], sample_chars
+    for r in picked.orderBy("_at", "_own").limit(sample_rows).collect():  # three numbers a row
+        if r._n <= left:
+            left -= r._n
+            rows.append((r._at, r._own))
+    if not rows:
+        return []
+    wanted = df.sparkSession.createDataFrame(rows, "_at long, _own long").distinct()
+    own = labelled.select(F.col(text).alias("_text"), F.col(truth).alias("_truth"), F.xxhash64(F.col(key)).alias("_at"), F.xxhash64(text, truth).alias("_own"))
+    taken = own.join(F.broadcast(wanted), ["_at", "_own"], "left_semi").orderBy("_at", "_own").limit(len(rows)).collect()
+    return [(r._text, r._truth) for r in taken]
+
+
+def find(df: DataFrame, key: str, text: str, truth: str, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """`key`, redacted, found ARRAY<STRUCT<pii_type, pii_value>> of every row.
 
     pii_value is the value as it stands with every run of white space made one space; each distinct value of a text
-    comes once. A null text gives null and an empty array; without labelled rows no names are found. Repeated rows
-    repeat; null keys stay; other columns are not read.
+    comes once. A null text gives null and an empty array; without labelled rows only names after a title or a label are
+    found. Repeated rows repeat; null keys stay; other columns are not read. sample_rows and sample_chars bound what the
+    name classifier is fitted on.
     """
-    rows = labelled_rows(df, key, text, truth, sample_rows)
-    weights = fit_names(rows) if rows else (np.append(np.zeros(FEATURES), -1.0), np.zeros(FEATURES + 1))
+    rows = labelled_rows(df, key, text, truth, sample_rows, sample_chars)
+    weights = fit_names(rows) if rows else ()
     shared = df.sparkSession.sparkContext.broadcast(tuple(w.astype(np.float32) for w in weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -81,3 +81,55 @@ def test_table(spark):
     assert sorted(got, key=str) == sorted([one, one, ("b", None, []), (None, "", [])], key=str)
     assert pii.find(df.limit(0), "document_id", "document_text", "truth").count() == 0
     assert len(pii.labelled_rows(df.union(df), "document_id", "document_text", "truth", 1)) == 1
+
+
+def identities(score, text):
+    return [text[s.start : s.end] for s in pii.spans_of(text, score) if s.kind == "identity_number"]
+
+
+@pytest.mark.parametrize(
+    ("right", "wrong", "frame"),
+    [
+        ("2341 2341 2346", "2341 2341 2347", "It says {} there."), ("2 55 08 14 168 025 38", "2 55 08 14 168 025 39", "It says {} there."), ("12345678Z", "12345678A", "It says {} there."), ("X1234567L", "X1234567M", "It says {} there."),
+        ("078-05-1120", "666-05-1120", "It says {} there."), ("046 454 286", "046 454 287", "It is number {} there."), ("943 476 5919", "943 476 5918", "It is number {} there."), ("86095742719", "86095742718", "It is number {} there."),
+    ],
+)
+def test_a_check_digit_decides(score, right, wrong, frame):
+    """The same sentence with a right and a wrong number; a clear label keeps the wrong one too."""
+    assert identities(score, frame.format(right)) == [right]
+    assert identities(score, frame.format(wrong)) == []
+    assert identities(score, f"Passport: {wrong}") == [wrong]
+
+
+def test_accounts_and_cards_are_claimed_but_stay(score):
+    for right, wrong in (("GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33"), ("4539 1488 0343 6467", "4539 1488 0343 6468")):
+        digits = right.split()[0]
+        assert identities(score, f"Pay to {right} today.") == [] and digits in pii.redact(f"Pay to {right}.", pii.spans_of(f"Pay to {right}.", score))
+        kinds = [{s.kind for s in pii._identity(f"{v} ", 0, pii._code_identities + pii._number_identities, "")} for v in (right, wrong)]
+        assert "" in kinds[0] and "" not in kinds[1]
+
+
+def test_every_validator_matters(score, monkeypatch):
+    texts = [f"It says {v} there." for v in ("2341 2341 2346", "2341 2341 2347", "2 55 08 14 168 025 38", "2 55 08 14 168 025 39", "12345678Z", "12345678A", "078-05-1120", "666-05-1120")]
+    texts += [f"It is number {v} there." for v in ("86095742719", "86095742718", "943 476 5919", "943 476 5918", "046 454 286", "046 454 287")]
+    before = [identities(score, t) for t in texts]
+    for name in ("verhoeff", "nir", "dni", "area", "steuer_id", "nhs", "luhn"):
+        for answer in (True, False):
+            with monkeypatch.context() as m:
+                m.setattr(pii, name, lambda _, answer=answer: answer)
+                assert [identities(score, t) for t in texts] != before, (name, answer)
+
+
+def test_without_labels_titles_and_form_labels_tell_names():
+    bare = pii.NameScorer()
+    got = lambda text: [text[s.start : s.end] for s in pii.spans_of(text, bare) if s.kind == "name"]
+    assert got("Patient Name: Zorana Holoheim\nThe Finance Department met Dr. Undendorf in Toringstead.") == ["Zorana Holoheim", "Undendorf"]
+    assert got("Dear Zorana Holoheim, the Annual Report of the Board is ready.") == ["Zorana Holoheim"]
+
+
+def test_bounds_of_the_sample(spark):
+    rows = [(str(i), f"{'x' * 100} {i}", "[]") for i in range(20)]
+    df = spark.createDataFrame(rows, "document_id string, document_text string, truth string")
+    pick = lambda **k: pii.labelled_rows(df, "document_id", "document_text", "truth", **k)
+    assert len(pick()) == 20 and len(pick(sample_rows=7)) == 7 and len(pick(sample_chars=520)) == 5 and pick(sample_chars=50) == []
+    assert pick(sample_rows=7) == pick(sample_rows=20)[:7]
