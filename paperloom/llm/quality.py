@@ -1,10 +1,12 @@
 """Per-document text statistics, and whether a text is prose, a list, a table or junk.
 
-Every token has a class (function word, other word, number or code, implausible string, symbols) and every line a
-shape (running text, short entry, row of columns). The characters of a text are a distribution over class and shape,
-which is compared with structural profiles by Jensen-Shannon divergence: the nearest profile gives the kind, so a
-mixed text has the kind of its greater part. Function words are those of the four languages of `languages`;
-`jsd_prose` is the divergence from the nearer of their prose profiles (many and few function words).
+The basic counts are expressions of the JVM. For the kind, every token has a class (function word of certain languages,
+other word, number or code, implausible string, symbols) and every line a shape (running text, short entry, row of
+columns). A text is compared with the prose profile of each language by Jensen-Shannon divergence: its function words
+with the language's, its characters by class with the language's, and its mass by class and shape with the language's
+prose. The nearest language is the one whose function words count; the nearest structural profile in that language gives
+the kind, so a mixed text has the kind of its greater part. Passages said before are a class of their own, whatever
+part of a text they are.
 
 Each text is read once, whole, in its own partition (`mapInArrow`); nothing is shuffled.
 """
@@ -16,19 +18,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.languages import ANY
+from paperloom.llm.languages import ANY, FUNCTION_WORDS, WORDS
 from paperloom.session import map_batches
 
 REMEMBERED = 500_000
+LANGUAGES = tuple(WORDS)
+#: Token classes: one for each set of languages that have a function word in common, then the others.
+_SETS = 1 << len(LANGUAGES)
+WORD, NUMBER, IMPLAUSIBLE, SYMBOL = range(_SETS, _SETS + 4)
 CLASSES = ("function", "word", "number", "implausible", "symbol")
 SHAPES = ("running", "entry", "row")
-#: Structural profiles: kind, then shares of characters by (class, shape); "repeated" stands for text said before.
+#: Share of characters in function words of prose, by language.
+FUNCTION_SHARE = {"en": (0.22, 0.11), "de": (0.2, 0.1), "fr": (0.2, 0.1), "es": (0.22, 0.11)}
+#: Structural profiles: kind, then shares of characters by (class, shape), where "function" means the language's own
+#: function words; "repeated" stands for text said before. The two of prose are added for each language.
 PROFILES = [
-    ("prose", {("function", "running"): 0.2, ("word", "running"): 0.72, ("number", "running"): 0.08}),
-    ("prose", {("function", "running"): 0.1, ("word", "running"): 0.82, ("number", "running"): 0.08}),
     ("list", {("function", "entry"): 0.15, ("word", "entry"): 0.7, ("number", "entry"): 0.15}),
     ("list", {("word", "entry"): 0.55, ("number", "entry"): 0.45}),
     ("table", {("word", "row"): 0.45, ("number", "row"): 0.5, ("symbol", "row"): 0.05}),
@@ -42,12 +49,23 @@ PROFILES = [
     ("junk", {("word", "running"): 1.0}),  # words in no sentence: no function words at all
     ("junk", {("repeated", ""): 1.0}),
 ]
-#: Below this share of distinct word triples a text of TRIPLES or more triples only repeats itself.
-DISTINCT, TRIPLES = 0.2, 12
-
-_SLOT = {(c, s): i * len(SHAPES) + j for i, c in enumerate(CLASSES) for j, s in enumerate(SHAPES)}
-_SLOT["repeated", ""] = len(_SLOT)
-_WIDTH = len(_SLOT)
+#: Prose of each language by class of characters: small letters, capitals, letters beyond ASCII, digits, white space,
+#: punctuation, other signs.
+CHARACTERS = {
+    "en": (0.76, 0.035, 0.0005, 0.015, 0.16, 0.025, 0.0045),
+    "de": (0.745, 0.06, 0.018, 0.015, 0.135, 0.024, 0.003),
+    "fr": (0.735, 0.03, 0.035, 0.015, 0.155, 0.027, 0.003),
+    "es": (0.745, 0.03, 0.024, 0.015, 0.158, 0.025, 0.003),
+}
+#: How much the three divergences say about the language: structure, function words, characters.
+PARTS = (1.0, 1.0, 1.0)
+#: So many word triples in a row that were all said twice before are a passage said over and over.
+TRIPLES = 8
+
+_INDEX = {w: i + 1 for i, w in enumerate(sorted(ANY))}  # 0 stands for every other token
+_MASK = {w: sum(1 << i for i, lang in enumerate(LANGUAGES) if w in WORDS[lang]) for w in ANY}
+_KINDS = _SETS + 4
+_WIDTH = len(CLASSES) * len(SHAPES) + 1
 
 _letters = re.compile(r"[^\W\d_]+")
 _vowel = re.compile("[aeiouyàáâäãåæèéêëìíîïòóôöõøœùúûüýÿAEIOUYÀÁÂÄÃÅÆÈÉÊËÌÍÎÏÒÓÔÖÕØŒÙÚÛÜÝ]")
@@ -61,11 +79,10 @@ _label = re.compile(r"^\s*[^\W\d_][\w /.&'’()#-]{0,38}?\s*[:=]\s+\S")
 _gap = re.compile(r"(?:^ {5}|\S) {3,}(?=\S)")
 _divider = re.compile(r"[\s|;,]+")
 _quoted = re.compile(r'"[^"]*"')
-_END = (".", "!", "?", "…", ".”", '."', ".«", ".»", ":", ";", ",")
 
 
 class _TokenClass(dict):
-    """White-space token to its class number, remembered."""
+    """White-space token to its class and, times 32, the number of its function word; remembered."""
 
     def __missing__(self, token: str) -> int:
         if len(self) >= REMEMBERED:
@@ -74,32 +91,38 @@ class _TokenClass(dict):
         return value
 
 
+def _function(word: str) -> int | None:
+    index = _INDEX.get(word)
+    return None if index is None else _MASK[word] + 32 * index
+
+
 def token_class(token: str) -> int:
-    """Number in CLASSES of a token."""
-    if token.lower() in ANY:
-        return 0
+    """The set of languages (as bits) that have a token as a function word, plus 32 times its number, or one of WORD,
+    NUMBER, IMPLAUSIBLE and SYMBOL."""
+    if (found := _function(token.lower())) is not None:
+        return found
     m = _word.match(token)
     if m:
         core = m[1].strip(".-/'’&@·+")
-        if core.lower() in ANY:
-            return 0
+        if (found := _function(core.lower())) is not None:
+            return found
         longest = max(map(len, _letters.findall(core)), default=0)
         if longest > 30:
-            return 3
+            return IMPLAUSIBLE
         if "@" in core or "/" in core and "." in core:
-            return 2
+            return NUMBER
         if longest <= 2 or core.isupper() and len(core) <= 6:  # initials, units, abbreviations, codes
-            return 2 if core.isupper() else 1 if _vowel.search(core) or len(core) == 1 else 3
+            return NUMBER if core.isupper() else WORD if _vowel.search(core) or len(core) == 1 else IMPLAUSIBLE
         if not _vowel.search(core) or _odd.search(token):
-            return 3
-        return 3 if len(_case.findall(core)) >= 3 else 1
+            return IMPLAUSIBLE
+        return IMPLAUSIBLE if len(_case.findall(core)) >= 3 else WORD
     letters = sum(map(str.isalpha, token))
     digits = sum(map(str.isdigit, token))
     if not letters and not digits:
-        return 4
+        return SYMBOL
     if len(token) > 40 or _odd.search(token) and letters or len(_case.findall(token)) >= 4:
-        return 3
-    return 2 if digits else (4 if 2 * letters < len(token) else 1)
+        return IMPLAUSIBLE
+    return NUMBER if digits else (SYMBOL if 2 * letters < len(token) else WORD)
 
 
 def _columns(line: str) -> tuple[str, int] | None:
@@ -202,85 +225,191 @@ def line_shapes(lines: list[str]) -> list[int]:
     return out
 
 
-def describe(text: str, known: dict[str, int]) -> tuple[list[float], list[float]]:
-    """The counts of a text (see `statistics`) and its characters by class and shape."""
-    mass = [0.0] * _WIDTH
+def _repeats(words: list[str]) -> list[bool]:
+    """Which words stand in a passage said for the third time or more: TRIPLES or more such triples in a row."""
+    out = [False] * len(words)
+    triples = list(zip(words, words[1:], words[2:]))
+    if len(triples) - len(set(triples)) < TRIPLES:
+        return out
+    seen: dict[tuple[str, str, str] | None, int] = {}
+    begin = 0
+    for i, triple in enumerate([*triples, None]):
+        times = seen[triple] = seen.get(triple, 0) + 1
+        if times < 3:
+            if i - begin >= TRIPLES:
+                out[begin : i + 2] = [True] * (i + 2 - begin)
+            begin = i + 1
+    return out
+
+
+def describe(text: str, known: dict[str, int]) -> tuple[list[int], list[int]]:
+    """The characters of a text by class and shape (the last slot is what repeats itself), and the numbers of its
+    function words."""
+    mass = [0] * (_KINDS * 3 + 1)
     lines = text.split("\n")
-    shapes = line_shapes(lines)
-    words, letters, punctuated, filled = [], 0, 0, 0
-    common = 0
-    for line, shape in zip(lines, shapes):
+    words: list[str] = []
+    at: list[tuple[int, int]] = []
+    functions: list[int] = []
+    for line, shape in zip(lines, line_shapes(lines)):
         tokens = line.split() if shape != 2 else [x for x in _divider.split(line) if x]
         if not tokens:
             continue
-        filled += 1
-        punctuated += line.rstrip().endswith(_END)
         dump = _hex.match(line) is not None
         for token in tokens:
-            kind = 3 if dump else known[token]
-            mass[kind * 3 + shape] += len(token)
-            if kind < 2:
-                words.append(token)
-                letters += len(token)
-            common += kind == 0
-    triples = len(words) - 2
-    total = sum(mass)
-    if triples >= TRIPLES and len(set(zip(words, words[1:], words[2:]))) < DISTINCT * triples:
-        mass = [0.0] * (_WIDTH - 1) + [total]
-    n_words = len(text.split())
-    visible = n_words and total
-    symbols = sum(1 for c in text if not (c.isalnum() or c.isspace()))
-    counts = [
-        n_words,
-        total / n_words if n_words else 0.0,
-        symbols / visible if visible else 0.0,
-        punctuated / filled if filled else 0.0,
-        common / n_words if n_words else 0.0,
-    ]
-    return counts, [m / total for m in mass] if total else mass
+            code = known[token]
+            kind = IMPLAUSIBLE if dump else code & 31
+            slot, size = kind * 3 + shape, len(token)
+            mass[slot] += size
+            if kind <= WORD:
+                if shape != 2:  # the cells of a table repeat each other anyway
+                    words.append(token)
+                    at.append((slot, size))
+                if code > 31:
+                    functions.append(code >> 5)
+    if len(words) > TRIPLES + 2:
+        repeated = _repeats(words)
+        if any(repeated):
+            for (slot, size), again in zip(at, repeated):
+                if again:
+                    mass[slot] -= size
+                    mass[-1] += size
+            if 2 * mass[-1] > sum(mass):  # what stands between copies of a passage belongs to them
+                mass = [0] * (_KINDS * 3) + [sum(mass)]
+    return mass, functions
+
+
+def _character_classes() -> np.ndarray:
+    out = np.full(0x2100, 6, np.int8)
+    for code in range(0x2100):
+        c = chr(code)
+        out[code] = 4 if c.isspace() else 3 if c.isdigit() else (2 if code > 127 else 1 if c.isupper() else 0) if c.isalpha() else 5 if c in ".,;:!?'\"()-–—’‘“”„«»…" else 6
+    return out
+
+
+_CLASS_OF = _character_classes()
+
+
+def character_shares(text: str) -> np.ndarray:
+    """Shares of the classes of CHARACTERS in a text; letters beyond the table are letters beyond ASCII."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(codes):
+        return np.zeros(7)
+    beyond = codes >= len(_CLASS_OF)
+    counts = np.bincount(_CLASS_OF[codes[~beyond]], minlength=7).astype(float)
+    counts[2] += beyond.sum()
+    return counts / len(codes)
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon divergence (bits) of each row of p from each row of q."""
-    a, b = p[:, None, :], q[None, :, :]
-    m = (a + b) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        left = np.where(a > 0, a * np.log2(a / m), 0.0).sum(2)
-        right = np.where(b > 0, b * np.log2(b / m), 0.0).sum(2)
-    return (left + right) / 2
-
-
-def _profile_matrix() -> np.ndarray:
-    out = np.zeros((len(PROFILES), _WIDTH))
-    for row, (_, shares) in zip(out, PROFILES):
-        for slot, share in shares.items():
-            row[_SLOT[slot]] = share
+    out = np.empty((len(p), len(q)))
+    for i, row in enumerate(q):  # profiles are few
+        m = (p + row) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left = np.where(p > 0, p * np.log2(p / m), 0.0).sum(1)
+            right = np.where(row > 0, row * np.log2(row / m), 0.0).sum(1)
+        out[:, i] = (left + right) / 2
     return out
 
 
-def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
-    """`key`, word_count, mean_word_length, symbol_ratio, punctuated_lines, common_words, jsd_prose, kind.
-
-    Null, empty and blank texts have zero counts and kind "empty"; other kinds are prose, list, table and junk.
-    symbol_ratio is over visible characters, punctuated_lines over non-blank lines, common_words over words.
-    Repeated rows repeat; null keys stay; other columns are not read.
-    """
+class Profiles:
+    """The profiles of every language as matrices."""
+
+    def __init__(self) -> None:
+        slot = {(c, s): i * 3 + j for i, c in enumerate(CLASSES) for j, s in enumerate(SHAPES)} | {("repeated", ""): _WIDTH - 1}
+        self.kinds = ["prose", "prose"] + [k for k, _ in PROFILES]
+        self.merge, self.structure, self.words = [], [], []
+        for n, lang in enumerate(LANGUAGES):
+            # which slots of `describe` are the language's: its function words, and words of others as plain words
+            merge = np.zeros((_KINDS * 3 + 1, _WIDTH))
+            merge[-1, -1] = 1
+            for kind in range(_KINDS):
+                of = (0 if kind >> n & 1 else 1) if kind < _SETS else kind - _SETS + 1
+                for shape in range(3):
+                    merge[kind * 3 + shape, of * 3 + shape] = 1
+            prose = [{("function", "running"): x, ("word", "running"): 0.92 - x, ("number", "running"): 0.08} for x in FUNCTION_SHARE[lang]]
+            matrix = np.zeros((len(self.kinds), _WIDTH))
+            for row, shares in zip(matrix, prose + [x for _, x in PROFILES]):
+                for key, share in shares.items():
+                    row[slot[key]] = share
+            # frequent words come first in the language's list: shares by rank
+            words = np.zeros(len(_INDEX) + 1)
+            for rank, word in enumerate(FUNCTION_WORDS[lang].split()):
+                words[_INDEX[word]] += 1 / (rank + 3)
+            self.merge.append(merge)
+            self.structure.append(matrix)
+            self.words.append(words / words.sum())
+        self.words = np.array(self.words)
+        self.characters = np.array([CHARACTERS[lang] for lang in LANGUAGES])
+
+    def nearest(self, mass: np.ndarray, functions: np.ndarray, characters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the number of its language, the divergence from that language's prose, and its kind's number."""
+        shares = mass / np.maximum(mass.sum(1, keepdims=True), 1)
+        said = functions.sum(1, keepdims=True)
+        own = np.where(said > 0, functions / np.maximum(said, 1), 1 / functions.shape[1])
+        far = [divergence(shares @ m, q) for m, q in zip(self.merge, self.structure)]
+        prose = np.stack([f[:, :2].min(1) for f in far], 1)
+        total = (PARTS[0] * prose + PARTS[1] * divergence(own, self.words) + PARTS[2] * divergence(characters, self.characters)) / sum(PARTS)
+        lang = total.argmin(1)
+        row = np.arange(len(lang))
+        return lang, total[row, lang], np.stack([f.argmin(1) for f in far], 1)[row, lang]
+
+
+# What counts as white space, as a character class of both engines.
+_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+#: Ends of lines that count as punctuation.
+_CLOSED = rf"(?:[.!?…:;,]|[.!?…][\"”«»'’)])(?:{_SPACE})*$"
+
+
+def counts(text: Column) -> list[Column]:
+    """word_count, mean_word_length, symbol_ratio, punctuated_lines, common_words; null counts as empty, of which every
+    count is 0. Words stand between white space; symbols are neither letters, digits nor white space."""
+    full = F.coalesce(text, F.lit(""))
+    words = F.size(F.filter(F.split(full, f"{_SPACE}+"), lambda w: w != ""))
+    visible = F.length(F.regexp_replace(full, _SPACE, ""))
+    symbols = F.length(F.regexp_replace(full, rf"[\p{{L}}\p{{N}}]|{_SPACE}", ""))
+    lines = F.filter(F.split(full, "\n"), lambda x: F.regexp_replace(x, _SPACE, "") != "")
+    closed = F.size(F.filter(lines, lambda x: x.rlike(_CLOSED)))
+    common = F.size(F.filter(F.split(F.lower(full), r"[^\p{L}\p{N}]+"), lambda w: w.isin(*sorted(ANY))))
+    share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    return [
+        words.cast("long").alias("word_count"), share(visible, words).alias("mean_word_length"), share(symbols, visible).alias("symbol_ratio"),
+        share(closed, F.size(lines)).alias("punctuated_lines"), share(common, words).alias("common_words"),
+    ]
+
+
+def kinds(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, language, jsd_prose, kind, and the columns of `df` beyond `key` and `text` as they are."""
+    others = [f for f in df.schema.fields if f.name not in (key, text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, profiles = _TokenClass(), _profile_matrix()
-        kinds = [k for k, _ in PROFILES]
-        prose = [i for i, k in enumerate(kinds) if k == "prose"]
+        known, profiles = _TokenClass(), Profiles()
         for batch in batches:
-            rows = [describe(t or "", known) for t in batch.column(1).to_pylist()]
-            counts = np.array([c for c, _ in rows] or np.zeros((0, 5)), float).reshape(-1, 5)
-            mass = np.array([m for _, m in rows] or np.zeros((0, _WIDTH)), float).reshape(-1, _WIDTH)
-            far = divergence(mass, profiles)
-            kind = ["empty" if not c[0] else kinds[i] for c, i in zip(counts, far.argmin(1) if len(far) else [])]
-            arrays = [batch.column(0), pa.array(counts[:, 0].astype(np.int64))]
-            arrays += [pa.array(counts[:, i]) for i in range(1, 5)] + [pa.array(far[:, prose].min(1) if len(far) else np.empty(0)), pa.array(kind, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    names = ["key", "word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "jsd_prose", "kind"]
-    kept = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"key {kept.schema['key'].dataType.simpleString()}, word_count long, " + ", ".join(f"{n} double" for n in names[2:7]) + ", kind string"
-    return map_batches(kept, run, schema).withColumnRenamed("key", key)
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            found = [describe(t, known) for t in texts]
+            mass = np.array([m for m, _ in found] or np.zeros((0, _KINDS * 3 + 1)), float).reshape(-1, _KINDS * 3 + 1)
+            functions = np.array([np.bincount(f, minlength=len(_INDEX) + 1) for _, f in found] or np.zeros((0, len(_INDEX) + 1)), float).reshape(-1, len(_INDEX) + 1)
+            characters = np.array([character_shares(t) for t in texts] or np.zeros((0, 7))).reshape(-1, 7)
+            lang, far, kind = profiles.nearest(mass, functions, characters)
+            full = mass.sum(1) > 0
+            arrays = [
+                batch.column(key), pa.array([LANGUAGES[i] if x else None for i, x in zip(lang, full)], pa.string()), pa.array(np.where(full, far, 0.0)),
+                pa.array([profiles.kinds[i] if x else "empty" for i, x in zip(kind, full)], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays + [batch.column(f.name) for f in others], names=[key, "language", "jsd_prose", "kind", *(f.name for f in others)])
+
+    schema = ", ".join([f"`{key}` {df.schema[key].dataType.simpleString()}", "language string, jsd_prose double, kind string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others)])
+    return map_batches(df, run, schema)
+
+
+def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
+    """`key`, word_count, mean_word_length, symbol_ratio, punctuated_lines, common_words, language, jsd_prose, kind.
+
+    Null, empty and blank texts have zero counts, no language and kind "empty"; other kinds are prose, list, table and
+    junk. symbol_ratio is over visible characters, punctuated_lines over non-blank lines, common_words over words.
+    jsd_prose is the mean divergence from the prose of the nearest language. Repeated rows repeat; null keys stay;
+    other columns are not read.
+    """
+    kept = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *counts(F.col(text)))
+    out = kinds(kept, "_key", "_text").withColumnRenamed("_key", key)
+    return out.select(key, "word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "language", "jsd_prose", "kind")

@@ -107,16 +107,31 @@ def p10_stats(spark: SparkSession, root: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents that are lists, tables or junk for the greater part."""
-    return p10_stats(spark, root).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+    return quality.kinds(table(spark, root, "documents").select("doc_id", "text"), "doc_id", "text").where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
 
 
-QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p7_redacted": p7_redacted, "p7_found": p7_found, "p1_labels": p1_labels, "p1_found": p1_found, "p3_cases": p3_cases, "p3_found": p3_found, "p6_pieces": p6_pieces, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_stats": p10_stats, "p10_found": p10_found}
+def p10_counts(spark: SparkSession, root: str) -> DataFrame:
+    """The basic counts of every document, rounded."""
+    found = table(spark, root, "documents").select("doc_id", *quality.counts(F.col("text")))
+    return found.select("doc_id", "word_count", *[F.round(c, 6).alias(c) for c in found.columns[2:]])
+
+
+QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p7_redacted": p7_redacted, "p7_found": p7_found, "p1_labels": p1_labels, "p1_found": p1_found, "p3_cases": p3_cases, "p3_found": p3_found, "p6_pieces": p6_pieces, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_stats": p10_stats, "p10_counts": p10_counts, "p10_found": p10_found}
 _TYPED = " UNION ALL ".join(
     f"""SELECT 'document_state' AS table_name, run_id AS row_key, '{f}' AS field_name, '{n}' AS list_name, json_extract_string(extracted_fields, '$.{f}') AS value
 FROM document_state WHERE json_valid(extracted_fields) AND json_type(extracted_fields, '$.{f}') = 'VARCHAR'"""
     for f, n in LISTED.items()
 )
+_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_COMMON = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(quality.ANY))
 SQL: dict[str, str] = {
+    "p10_counts": rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), u AS (SELECT doc_id,
+len(list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda w: w <> '')) AS words, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS visible,
+length(regexp_replace(text, '[\p{{L}}\p{{N}}]|{_SPACE}', '', 'g')) AS symbols, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '{_SPACE}', '', 'g') <> '') AS lines,
+len(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w IN ({_COMMON}))) AS common FROM t)
+SELECT doc_id, words AS word_count, round(coalesce(visible / nullif(words, 0), 0), 6) AS mean_word_length, round(coalesce(symbols / nullif(visible, 0), 0), 6) AS symbol_ratio,
+round(coalesce(len(list_filter(lines, lambda x: regexp_matches(x, '(?:[.!?…:;,]|[.!?…]["”«»''’)])(?:{_SPACE})*$'))) / nullif(len(lines), 0), 0), 6) AS punctuated_lines,
+round(coalesce(common / nullif(words, 0), 0), 6) AS common_words FROM u""".replace("\\\\", "\\"),
     "p3_cases": f"""WITH t AS ({_TYPED} UNION ALL SELECT 'knowledge_schema_request', request_id, 'doc_type', 'doc_type', doc_type FROM knowledge_schema_request)
 SELECT DISTINCT list_name, value, table_name, row_key, field_name FROM t WHERE value IS NOT NULL AND lower(trim(value, E' \\t\\n\\f\\r')) NOT IN ('', 'n/a', 'none', 'unknown', '-')
 AND NOT EXISTS (SELECT 1 FROM canonical_values c WHERE c.list_name = t.list_name AND c.canonical_value = t.value)""",

@@ -38,6 +38,46 @@ def test_counts(answers):
     assert (e.word_count, e.mean_word_length, e.symbol_ratio, e.punctuated_lines, e.common_words) == (0, 0.0, 0.0, 0.0, 0.0)
 
 
+def test_languages(answers):
+    assert answers[0].language == "en" and answers[2].language == "de" and answers[4].language is None
+    french, spanish = "Le comité s'est réuni lundi pour examiner le budget et il a été décidé que le rapport serait envoyé à tous les membres avant la fin du mois.", "El comité se reunió el lunes para revisar el presupuesto y se acordó que el informe se envíe a todos los miembros antes de fin de mes."
+    known, profiles = quality._TokenClass(), quality.Profiles()
+    import numpy as np
+
+    for text, lang in ((french, "fr"), (spanish, "es"), (PROSE, "en"), (GERMAN, "de")):
+        mass, functions = quality.describe(text, known)
+        got, far, kind = profiles.nearest(np.array([mass], float), np.array([np.bincount(functions, minlength=len(quality._INDEX) + 1)], float), np.array([quality.character_shares(text)]))
+        assert quality.LANGUAGES[got[0]] == lang and profiles.kinds[kind[0]] == "prose" and far[0] < 0.4
+
+
+def test_words_of_all_languages_mixed_are_farther_from_prose():
+    """Function words count for one language only."""
+    import numpy as np
+
+    profiles, known = quality.Profiles(), quality._TokenClass()
+    mixed = "the committee und avec para Bericht with los miembros dans Monat of pour die Haushalt con " * 2
+    for text, near in ((PROSE, True), (mixed, False)):
+        mass, functions = quality.describe(text, known)
+        _, far, _ = profiles.nearest(np.array([mass], float), np.array([np.bincount(functions, minlength=len(quality._INDEX) + 1)], float), np.array([quality.character_shares(text)]))
+        assert (far[0] < 0.3) == near, far
+
+
+def test_divergence_by_hand():
+    import numpy as np
+
+    a, b = np.array([[0.5, 0.5, 0.0], [1.0, 0.0, 0.0]]), np.array([[0.5, 0.5, 0.0], [0.0, 0.0, 1.0]])
+    assert quality.divergence(a, b).tolist() == [[0.0, 1.0], [pytest.approx(0.311278, abs=1e-6), 1.0]]
+
+
+def test_a_repeated_part_counts_as_such():
+    phrase = "click here now for the best price "
+    assert [sum(quality._repeats((phrase * n).split())) for n in (1, 2, 4)] == [0, 0, 14]
+    known = quality._TokenClass()
+    for n, share in ((2, False), (30, True)):
+        mass, _ = quality.describe(PROSE + "\n\n" + phrase * n, known)
+        assert (mass[-1] > 0.5 * sum(mass)) == share
+
+
 def test_repeats_nulls_and_long_texts(spark):
     df = spark.createDataFrame([(1, PROSE), (1, PROSE), (None, None), (2, (PROSE + "\n\n") * 40 + GERMAN), (3, "x" * 200_000)], "doc_id long, text string")
     got = [(r.doc_id, r.kind) for r in quality.statistics(df, "doc_id", "text").collect()]
