@@ -21,15 +21,15 @@ from difflib import SequenceMatcher
 from functools import lru_cache, reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.languages import ANY
 from paperloom.session import cut, map_batches, spread
 
 BODY, HEADER, NUMBER, BREAK = range(4)
-#: The commonest words, broadcast so that they aren't proposed as misread; a bound on memory, results don't depend on it.
-COMMON_WORDS = 50_000
+#: Repaired words up to this number are broadcast to the texts, more are joined by a shuffle; the rows are the same.
+BROADCAST_WORDS = 200_000
 #: Distinct words a task counts before it passes its counts on.
 COUNTED = 300_000
 #: A reading must occur this often in texts without traces of a scan, and a misread form at most this share as often.
@@ -37,19 +37,22 @@ SUPPORT, RARE = 2, 0.05
 #: In texts with such traces a misread form must not come more often than this share of the word, beyond 3 times.
 SHARE = 0.2
 
+#: Likeness of two headers of different length.
+ALIKE = 0.86
+
 _HYPHENS = "-¬\xad‐"
 _lines = re.compile(r"\r?\n|\f")
 _divided = re.compile(rf"([^\W\d_][\w'’]*(?:[-‐][\w'’]+)*)[{_HYPHENS}][ \t]*$")
 _any_divided = re.compile(rf"[^\W\d_][{_HYPHENS}][ \t]*\r?(?:\n|\f)")
 _first_word = re.compile(r"\s*([^\W\d_][\w'’]*(?:-[\w'’]+)*)")
 _page_word = r"(?:page|seite|página|pagina|pág\.|pag\.|p\.|s\.|blatt|feuille|hoja|sheet)"
-_N = r"[\dlIOoSsBg|]{1,4}"
+_N = r"[\dlIOoSsBg|]{1,9}"
 _numbers = [
     ("word", re.compile(rf"^[^\w.,;]{{0,2}}{_page_word}\s*({_N})(?:\s*(?:of|von|de|sur|/|out of|of a total of)\s*({_N}))?[^\w.,;]{{0,2}}$", re.I)),
     ("dashes", re.compile(rf"^([-–—~*·])\s*({_N})\s*\1$")),
     ("brackets", re.compile(rf"^[\[(<{{]\s*({_N})\s*[\])>}}]$")),
-    ("fraction", re.compile(r"^(\d{1,3})\s*/\s*(\d{1,3})$")),
-    ("bare", re.compile(r"^(\d{1,4})$")),
+    ("fraction", re.compile(r"^(\d{1,9})\s*/\s*(\d{1,9})$")),
+    ("bare", re.compile(r"^(\d{1,9})$")),
 ]
 _any_number = re.compile(rf"(?im)^[ \t]*(?:\W{{0,2}}{_page_word}\s*{_N}(?:\s+\w+\s+{_N})?|([-–—])\s*\d{{1,4}}\s*\1|\[\d{{1,3}}\]|\d{{1,3}}/\d{{1,3}})[ \t]*$")
 _long_line = re.compile(r"(?m)^(?=[^\n]{111})[^\s]{0,60}[ \t]")  # beyond any page's width, and no unbroken string
@@ -85,67 +88,88 @@ def page_number(line: str) -> tuple[str, int] | None:
 
 def _counting(found: list[tuple[int, str, int]]) -> dict[int, int]:
     """Line numbers of bare numbers and fractions that count the pages (1, 2, 3, ... or on from some number), with how
-    many do."""
+    many do: the longest chain whose numbers grow by one from line to line, not next to each other."""
     kept: dict[int, int] = {}
     for style in ("bare", "fraction"):
         own = [(at, v) for at, s, v in found if s == style]
-        best: list[int] = []
-        for i, (at, v) in enumerate(own):
-            chain, last = [at], v
-            for at2, v2 in own[i + 1 :]:
-                if v2 == last + 1 and at2 - chain[-1] >= 2:
-                    chain.append(at2)
-                    last = v2
-            if len(chain) > len(best) and (len(chain) >= 2 or v == 1):
-                best = chain
-        kept.update(dict.fromkeys(best, len(best)))
+        best: dict[int, list[tuple[int, int]]] = {}  # last value to its chains: (length, index of the last line), the latest two
+        before: list[int | None] = []
+        lengths: list[int] = []
+        for n, (at, v) in enumerate(own):
+            length, last = max(((x, i) for x, i in best.get(v - 1, ()) if at - own[i][0] >= 2), key=lambda c: (c[0], -c[1]), default=(0, None))
+            before.append(last)
+            lengths.append(length + 1)
+            best[v] = sorted([*best.get(v, ()), (length + 1, n)], key=lambda c: (-c[0], c[1]))[:2]
+        ends = [(lengths[n], -n) for n in range(len(own)) if lengths[n] >= 2 or own[n][1] == 1]
+        if ends:
+            length, n = max(ends)
+            at: int | None = -n
+            while at is not None:
+                kept[own[at][0]] = length
+                at = before[at]
     return kept
 
 
+def _end(n: int) -> int:
+    """The power of two within half of a length: so much of two headers of different length must be equal at one end."""
+    return 1 << max(1, (n // 2).bit_length() - 1)
+
+
+def _apart(a: int, b: int) -> bool:
+    return abs(a - b) > min(9, 3 + min(a, b) // 20)
+
+
 def _same(a: str, b: str) -> bool:
     """Whether two lines are one header: alike but for a few misread characters and the page's number."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 3 + min(len(a), len(b)) // 20:
+    if _apart(len(a), len(b)):
         return False
-    da, db = re.findall(r"\d+", a), re.findall(r"\d+", b)
     if len(a) == len(b):
         wrong = sum(x != y for x, y in zip(a, b))
         if wrong <= max(2, len(a) // 8) and not (_digits_moved(a, b) and _item.search(a)):
-            return len("".join(da)) < 0.5 * len(a) or wrong <= 2
-    if a[:3] != b[:3] and a[-3:] != b[-3:] or _item.search(a):
+            return len("".join(re.findall(r"\d+", a))) < 0.5 * len(a) or wrong <= 2
+    n = _end(min(len(a), len(b)))
+    if a[:n] != b[:n] and a[-n:] != b[-n:] or _item.search(a):
         return False
-    return SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.86
+    shared = sum(min(a.count(c), b.count(c)) for c in set(a))  # no alignment matches more
+    return 2 * shared >= ALIKE * (len(a) + len(b)) and SequenceMatcher(None, a, b, autojunk=False).ratio() >= ALIKE
 
 
 def _likeness(text: str) -> set[tuple]:
-    """Keys of which two lines that are `_same` share one: the first or last characters or, where they are equally long
-    and n characters at most are wrong, one of n + 1 parts."""
+    """Keys of which two lines that are `_same` share one: the beginning or end or, where they are equally long and n
+    characters at most are wrong, one of n + 1 parts."""
     n = len(text)
     parts = max(2, n // 8) + 1
     cuts = [c * n // parts for c in range(parts + 1)]
-    return {(0, text[:3]), (-1, text[-3:])} | {(n, a, text[a:b]) for a, b in zip(cuts, cuts[1:])}
+    ends = {_end(m) for m in range(max(1, n - 9), n + 1)}
+    return {(0, x, text[:x]) for x in ends} | {(-1, x, text[-x:]) for x in ends} | {(n, a, text[a:b]) for a, b in zip(cuts, cuts[1:])}
 
 
 def _digits_moved(a: str, b: str) -> bool:
     return re.findall(r"\d+", a) != re.findall(r"\d+", b)
 
 
-#: Weights of the line model: what speaks for a header and for a page number, against body text at 0.
+#: Weights of the line model: what speaks for a header and for a page number, against body text at 0. They are
+#: stated for pages of business documents; `fit_weights` goes on from them, or from nothing, with labelled pages.
 HEADER_WEIGHTS = {"bias": -3.0, "repeated": 5.0, "top": 1.2, "first": 0.5, "continued": 3.5, "indented": 1.3, "wrapped": -1.2, "sentence": -2.5, "lower": -3.5, "item": -2.5, "long": -1.5, "prose": -4.5}
 NUMBER_WEIGHTS = {"decorated": 4.0, "counting": 3.5, "bare": -2.5, "labelled": -5.0}
+#: The score of a line that has no number as a page number.
+NEVER = -9.0
 #: Transition scores between labels of neighbouring lines that are not blank.
 TRANSITIONS = {(HEADER, HEADER): -1.5, (NUMBER, HEADER): 0.8, (HEADER, NUMBER): 0.8, (NUMBER, NUMBER): -4.0}
 
 
-def label_lines(lines: list[str], fed: set[int]) -> list[int]:
-    """The label of every line. fed: numbers of lines that begin after a form feed."""
-    n = len(lines)
+Weights = tuple[dict[str, float], dict[str, float], dict[tuple[int, int], float]]
+
+
+def line_features(lines: list[str], fed: set[int]) -> tuple[list[int], list[dict[str, float]], list[dict[str, float]]]:
+    """The numbers of the lines that are not blank, and of each what speaks for a header and for a page number (a single
+    entry "none" where it can't be one). fed: numbers of lines that begin after a form feed."""
     stripped = [x.strip() for x in lines]
-    full = [i for i in range(n) if stripped[i]]
-    labels = [BREAK] * n
+    full = [i for i, x in enumerate(stripped) if x]
     if not full:
-        return labels
+        return [], [], []
     numbers = [(i, *p) for i in full if (p := page_number(stripped[i]))]
     of = {i: (s, v) for i, s, v in numbers}
     counting = _counting(numbers)
@@ -154,56 +178,93 @@ def label_lines(lines: list[str], fed: set[int]) -> list[int]:
     width = sorted(len(lines[i].rstrip()) for i in full)[int(0.9 * (len(full) - 1))]
     body_indent = sorted(len(lines[i]) - len(lines[i].lstrip()) for i in full)[len(full) // 2]
     repeated = _repeated(lines, stripped, full, position, {i for i in full if i in of}, fed, certain, width)
-    scores = []
+    heads, nums = [], []
     for k, i in enumerate(full):
         text = stripped[i]
         before = full[k - 1] if k else None
-        h = HEADER_WEIGHTS["bias"]
         top = k == 0 or i in fed or before in certain or (k > 1 and full[k - 2] in certain and i - full[k - 2] <= 3)
         bottom = k + 1 == len(full) or full[k + 1] in certain or full[k + 1] in fed
-        h += HEADER_WEIGHTS["repeated"] * (i in repeated) + HEADER_WEIGHTS["top"] * (top or bottom) + HEADER_WEIGHTS["first"] * (k == 0)
-        h += HEADER_WEIGHTS["continued"] * (_continued.search(text) is not None and len(text) < 60)
-        h += HEADER_WEIGHTS["indented"] * (len(lines[i]) - len(lines[i].lstrip()) >= body_indent + 3)
-        h += HEADER_WEIGHTS["sentence"] * (text.endswith((".", "!", "?", ";")) and i not in repeated)
-        h += HEADER_WEIGHTS["lower"] * text[0].islower() + HEADER_WEIGHTS["long"] * (len(text) > width + 25)
-        if _goes_on(lines, full, k, width) and not top:
-            h += HEADER_WEIGHTS["wrapped"]
-        if _item.search(text):
-            h += HEADER_WEIGHTS["item"]
         words = text.split()
-        if len(words) >= 5 and h > 0 and (sum(w[:1].islower() for w in words) >= 0.5 * len(words) or sum(w.lower() in ANY for w in words) >= 2):
-            h += HEADER_WEIGHTS["prose"]
-        p = -9.0
+        h = {
+            "bias": 1, "repeated": i in repeated, "top": top or bottom, "first": k == 0, "continued": _continued.search(text) is not None and len(text) < 60,
+            "indented": len(lines[i]) - len(lines[i].lstrip()) >= body_indent + 3, "sentence": text.endswith((".", "!", "?", ";")) and i not in repeated,
+            "lower": text[0].islower(), "long": len(text) > width + 25, "wrapped": not top and _goes_on(lines, full, k, width), "item": _item.search(text) is not None,
+        }
+        h["prose"] = len(words) >= 5 and (h["repeated"] or top or bottom or h["continued"]) and (sum(w[:1].islower() for w in words) >= 0.5 * len(words) or sum(w.lower() in ANY for w in words) >= 2)
+        heads.append({name: float(x) for name, x in h.items() if x})
         if i in of:
-            style = of[i][0]
-            labelled = before is not None and style == "bare" and counting.get(i, 0) < 2 and i - before == 1 and before not in certain and len(stripped[before].split()) <= 3 and not stripped[before].endswith((".", ",")) and (k == 1 or before - full[k - 2] > 1)
-            p = NUMBER_WEIGHTS["counting"] * (i in counting) if style in ("bare", "fraction") else NUMBER_WEIGHTS["decorated"]
-            p += NUMBER_WEIGHTS["bare"] * (style in ("bare", "fraction") and i not in counting) + NUMBER_WEIGHTS["labelled"] * labelled
-        scores.append((0.0, h, p))
+            loose = of[i][0] in ("bare", "fraction")
+            labelled = before is not None and of[i][0] == "bare" and counting.get(i, 0) < 2 and i - before == 1 and before not in certain and len(stripped[before].split()) <= 3 and not stripped[before].endswith((".", ",")) and (k == 1 or before - full[k - 2] > 1)
+            p = {"decorated": not loose, "counting": loose and i in counting, "bare": loose and i not in counting, "labelled": labelled}
+            nums.append({name: float(x) for name, x in p.items() if x})
+        else:
+            nums.append({"none": 1.0})
+    return full, heads, nums
+
+
+def best_labels(heads: list[dict[str, float]], nums: list[dict[str, float]], weights: Weights) -> list[int]:
+    """The best sequence of labels (BODY, HEADER, NUMBER) of the lines, by dynamic programming."""
+    header, number, steps = weights
+    scores = [(0.0, sum(header[f] * x for f, x in h.items()), sum(number.get(f, NEVER) * x for f, x in p.items())) for h, p in zip(heads, nums)]
+    if not scores:
+        return []
     best, back = list(scores[0]), []
     for s in scores[1:]:
         step, arg = [], []
         for state in (BODY, HEADER, NUMBER):
-            options = [best[b] + TRANSITIONS.get((b, state), 0.0) for b in (BODY, HEADER, NUMBER)]
+            options = [best[b] + steps.get((b, state), 0.0) for b in (BODY, HEADER, NUMBER)]
             b = max(range(3), key=options.__getitem__)
             step.append(options[b] + s[state])
             arg.append(b)
         best = step
         back.append(arg)
-    state = max(range(3), key=best.__getitem__)
-    for i, arg in zip(reversed(full), [*reversed(back), None]):
-        labels[i] = state
-        if arg is not None:
-            state = arg[state]
+    out = [max(range(3), key=best.__getitem__)]
+    for arg in reversed(back):
+        out.append(arg[out[-1]])
+    return out[::-1]
+
+
+def label_lines(lines: list[str], fed: set[int], weights: Weights | None = None) -> list[int]:
+    """The label of every line; blank lines are breaks."""
+    full, heads, nums = line_features(lines, fed)
+    labels = [BREAK] * len(lines)
+    for i, label in zip(full, best_labels(heads, nums, weights or (HEADER_WEIGHTS, NUMBER_WEIGHTS, TRANSITIONS))):
+        labels[i] = label
     return labels
 
 
+def fit_weights(pages: list[tuple[list[str], list[int]]], start: Weights | None = None, rounds: int = 10, rate: float = 0.2) -> Weights:
+    """Weights of the line model from labelled texts (lines, labels), by the averaged structured perceptron: where the
+    best sequence is wrong, what is seen on the right one gains and what is seen on the wrong one loses."""
+    start = start or (HEADER_WEIGHTS, NUMBER_WEIGHTS, TRANSITIONS)
+    now = tuple(dict(w) for w in start)
+    total, seen = tuple(dict.fromkeys(w, 0.0) for w in start), 0
+    prepared = [(*line_features(lines, set())[1:], [x for x, line in zip(labels, lines) if line.strip()]) for lines, labels in pages]
+    for _ in range(rounds):
+        for heads, nums, right in prepared:
+            got = best_labels(heads, nums, now)
+            if got != right:
+                for labels, sign in ((right, rate), (got, -rate)):
+                    for k, label in enumerate(labels):
+                        features, own = (heads[k], now[0]) if label == HEADER else (nums[k], now[1]) if label == NUMBER else ({}, {})
+                        for f, x in features.items():
+                            if f in own:
+                                own[f] += sign * x
+                        if k and (step := (labels[k - 1], label)) in now[2]:
+                            now[2][step] += sign
+            seen += 1
+            for t, w in zip(total, now):
+                for f, x in w.items():
+                    t[f] += x
+    return tuple({f: round(x / seen, 2) for f, x in t.items()} for t in total)
+
+
 def _repeated(lines: list[str], stripped: list[str], full: list[int], position: dict[int, int], numbers: set[int], fed: set[int], certain: set[int], width: int) -> set[int]:
     """Lines that come again at page distance: the same, the same but for a number that grows, or nearly the same."""
     out: set[int] = set()
     maybe = [
         i for i in full
-        if i not in numbers and 3 <= len(stripped[i]) <= 120 and not stripped[i][0].islower() and not (stripped[i].endswith((".", ";")) and not _COMPANY_END.search(stripped[i]))
+        if i not in numbers and len(stripped[i]) > 1 and not stripped[i][0].islower() and not (stripped[i].endswith((".", ";")) and not _COMPANY_END.search(stripped[i]))
     ]
     buckets: dict[str, list[int]] = {}
     for i in maybe:
@@ -224,10 +285,14 @@ def _repeated(lines: list[str], stripped: list[str], full: list[int], position:
         if any(abs(position[i] - position[h]) >= 5 and _same(stripped[i], stripped[h]) for h in near):
             out.add(i)
     loose = [i for i in maybe if i not in out and (len(lines[i]) - len(stripped[i]) >= 3 or i in fed or i - 1 in certain or not position[i] or not _goes_on(lines, full, position[i], width))]
-    for k, i in enumerate(loose):
-        for j in loose[k + 1 :]:
-            if abs(position[i] - position[j]) >= 5 and abs(len(stripped[i]) - len(stripped[j])) <= 9 and _same(stripped[i], stripped[j]):
+    waiting: dict[tuple, list[int]] = {}
+    for i in loose:
+        keys = _likeness(stripped[i])
+        for j in sorted({j for key in keys for j in waiting.get(key, ())}):
+            if abs(position[i] - position[j]) >= 5 and _same(stripped[j], stripped[i]):
                 out.update((i, j))
+        for key in keys:
+            waiting.setdefault(key, []).append(i)
     return out
 
 
@@ -263,14 +328,19 @@ class Page:
         if self._divided is not None:
             return self._divided
         out = self._divided = []
-        for k, i in enumerate(self.body):
-            if self.lines[i].rstrip()[-1:] not in _HYPHENS or not (m := _divided.search(self.lines[i])):
-                continue
-            for j in self.body[k + 1 : k + 7]:  # past a box or an unknown header in between
-                right = _first_word.match(self.lines[j])
-                if right and (right[1][0].islower() or j == self.body[k + 1] and m[1][0].isupper()):
-                    out.append((i, j, m[1], right[1]))
-                    break
+        goes_on: tuple[int, str] | None = None  # the next body line that begins in lower case, with its first word
+        for k in range(len(self.body) - 1, -1, -1):
+            i, nxt = self.body[k], self.body[k + 1] if k + 1 < len(self.body) else None
+            if nxt is not None:
+                right = _first_word.match(self.lines[nxt])
+                if right and right[1][0].islower():
+                    goes_on = (nxt, right[1])
+                if self.lines[i].rstrip()[-1:] in _HYPHENS and (m := _divided.search(self.lines[i])):
+                    if right and (right[1][0].islower() or m[1][0].isupper()):
+                        out.append((i, nxt, m[1], right[1]))
+                    elif goes_on:  # past a box or an unknown header in between
+                        out.append((i, goes_on[0], m[1], goes_on[1]))
+        out.reverse()
         return out
 
     def tokens(self) -> Iterator[str]:
@@ -296,32 +366,31 @@ def core(token: str) -> str | None:
         return None
     word = m[1].strip("!$€@|") if not any(c.isalpha() for c in m[1][1:-1]) else m[1]
     letters = sum(map(str.isalpha, word))
-    if letters < 2 or 2 * letters < len(word) or len(word) > 40 or sum(map(str.isdigit, word)) > 2:
+    if letters < 2 or 2 * letters < len(word) or sum(map(str.isdigit, word)) > 2:
         return None
     return word
 
 
-def readings(word: str) -> dict[str, int]:
-    """What a misread word may be, with the number of confusions undone (one or two), in its neighbours' letter case."""
-
-    def once(w: str) -> set[str]:
-        out = set()
-        for i, c in enumerate(w):
-            low = c if not c.isalpha() or c.islower() or c in CONFUSED else c.lower()
-            for r in CONFUSED.get(c, CONFUSED.get(low, "")):
-                upper = c.isupper() or not c.isalpha() and (w[:i] + w[i + 1 :]).isupper()
-                out.add(w[:i] + (r.upper() if upper else r.lower() if r not in "ßIO" or i else r) + w[i + 1 :])
-            for r in CONFUSED_SINGLE_TO_PAIR.get(c, ()):
-                out.add(w[:i] + r + w[i + 1 :])
-            pair = w[i : i + 2]
-            if pair in CONFUSED_PAIRS:
-                out.add(w[:i] + CONFUSED_PAIRS[pair] + w[i + 2 :])
-        return out
+def once(w: str) -> set[str]:
+    """What a misread word may be, with one confusion undone, in its neighbours' letter case."""
+    out = set()
+    for i, c in enumerate(w):
+        low = c if not c.isalpha() or c.islower() or c in CONFUSED else c.lower()
+        for r in CONFUSED.get(c, CONFUSED.get(low, "")):
+            upper = c.isupper() or not c.isalpha() and (w[:i] + w[i + 1 :]).isupper()
+            out.add(w[:i] + (r.upper() if upper else r.lower() if r not in "ßIO" or i else r) + w[i + 1 :])
+        for r in CONFUSED_SINGLE_TO_PAIR.get(c, ()):
+            out.add(w[:i] + r + w[i + 1 :])
+        pair = w[i : i + 2]
+        if pair in CONFUSED_PAIRS:
+            out.add(w[:i] + CONFUSED_PAIRS[pair] + w[i + 2 :])
+    return out - {w}
+
 
-    first = dict.fromkeys(once(word) - {word}, 1)
-    if len(word) < 5 or len(first) > 60 or word[0].isupper() and word.isalpha():
-        return first  # a name that is unknown is seldom misread twice
-    return {y: 2 for x in first for y in once(x) if y != word} | first
+def twice(w: str) -> set[str]:
+    """What a word may be with two confusions undone."""
+    first = once(w)
+    return {y for x in first for y in once(x)} - first - {w}
 
 
 def _observe(df: DataFrame, key: str, text: str, table_name: str) -> DataFrame:
@@ -378,24 +447,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
 
-def _unknown(seen: DataFrame, common: frozenset[str]) -> DataFrame:
-    """table_name, row_key, a: body words of scanned texts that are not among the commonest."""
-    shared = seen.sparkSession.sparkContext.broadcast(common)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [[w for w in row if w.lower() not in shared.value] for row in batch.column(2).to_pylist()]
-            at = pa.array([i for i, row in enumerate(words) for _ in row], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([w for row in words for w in row], pa.string())], names=["table_name", "row_key", "a"])
-
-    return map_batches(seen.where("kind = 'words'").select("table_name", "row_key", "words"), run, "table_name string, row_key string, a string")
-
-
-def _forms(candidates: DataFrame) -> DataFrame:
+def _forms(candidates: DataFrame, second: bool) -> DataFrame:
     """a, b, form, rank: the readings of each candidate; rank 0 is the word as it stands or joined, 1 with its hyphen,
-    2 and 3 with one and two confusions undone."""
+    2 with one confusion undone, and 3 (instead of 2) with two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int32())
         for batch in batches:
             rows = []
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -403,40 +460,57 @@ def _forms(candidates: DataFrame) -> DataFrame:
                 rows.append((a, b, whole, 0))
                 if b is not None:
                     rows.append((a, b, f"{a}-{b}", 1))
-                rows += [(a, b, form, 1 + n) for form, n in sorted(readings(whole).items())]
+                rows += [(a, b, form, 3 if second else 2) for form in sorted(twice(whole) if second else once(whole))]
+                if len(rows) > 50_000:  # long words have many
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["a", "b", "form", "rank"])
+                    rows = []
             columns = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32()))], names=["a", "b", "form", "rank"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["a", "b", "form", "rank"])
 
     return map_batches(spread(candidates), run, "a string, b string, form string, rank int")
 
 
-def _decide(candidates: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """a, b, repaired of each candidate that is to be repaired; b is null for single words."""
-    forms = _forms(candidates).withColumn("word", F.lower("form"))
+def _counted(candidates: DataFrame, vocabulary: DataFrame, second: bool) -> DataFrame:
+    """a, b, plain, hyphen, undone: each candidate with its forms that are known best."""
+    forms = _forms(candidates, second).withColumn("word", F.lower("form"))
     counted = forms.join(vocabulary, "word", "left").na.fill(0, ["clean", "scanned"])
-    best = counted.groupBy("a", "b").agg(
+    return counted.groupBy("a", "b").agg(
         F.max(F.when(F.col("rank") == 0, F.struct("clean", "scanned", "form"))).alias("plain"),
         F.max(F.when(F.col("rank") == 1, F.struct("clean", "scanned", "form"))).alias("hyphen"),
-        F.max(F.when((F.col("rank") >= 2) & (F.col("clean") >= SUPPORT), F.struct((-F.col("rank")).alias("fewest"), "clean", "scanned", "form"))).alias("undone"),
+        F.max(F.when((F.col("rank") >= 2) & (F.col("clean") >= SUPPORT), F.struct("clean", "scanned", "form"))).alias("undone"),
     )
+
+
+def _rare(word: Column) -> Column:
+    """The share of what it may be that a misread word reaches at most: words with odd characters more than others."""
+    return F.when(word.rlike(r"[\d|!$€@]"), RARE).otherwise(RARE / 25)
+
+
+def _decide(candidates: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """a, b, repaired of each candidate that is to be repaired; b is null for single words. Two confusions are only
+    tried where no word is known with one."""
+    first = cut(_counted(candidates, vocabulary, second=False))
+    left = first.where(F.col("undone").isNull())
+    # a form with capitals alone may be a name that nobody knows: of these only one confusion is undone
+    name = F.col("b").isNull() & F.col("a").rlike(r"^\p{Lu}\p{L}*$")
+    again = _counted(left.where((F.length("a") >= 5) & ~name & (F.col("plain.clean") == 0)).select("a", "b"), vocabulary, second=True)
+    best = first.where(F.col("undone").isNotNull()).unionByName(left.join(again.select("a", F.col("b").alias("_b"), F.col("undone").alias("_two")), (left.a == again.a) & left.b.eqNullSafe(F.col("_b")), "left").select(left.a, "b", "plain", "hyphen", F.col("_two").alias("undone")))
     # a word as it stands is misread if texts without traces of a scan hardly know it but know what it may be
-    most = F.col("undone.clean") * F.when(F.col("a").rlike(r"[\d|!$€@]"), RARE).otherwise(RARE / 25)
-    misread = (F.col("plain.clean") <= most) & (F.col("plain.scanned") <= F.greatest(F.lit(3), (F.col("undone.clean") + F.col("undone.scanned")) * SHARE))
+    misread = (F.col("plain.clean") <= F.col("undone.clean") * _rare(F.col("a"))) & (F.col("plain.scanned") <= F.greatest(F.lit(3), (F.col("undone.clean") + F.col("undone.scanned")) * SHARE))
     single = F.when(misread, F.col("undone.form"))
     total = lambda c: F.col(f"{c}.clean") * 3 + F.col(f"{c}.scanned")
     right = F.col("b")
     capital = F.substring(right, 1, 1) != F.lower(F.substring(right, 1, 1))
-    joined = F.when((total("plain") == 0) & (total("hyphen") == 0) & F.lower(right).isin(*_UNDIVIDED), None)
     divided = (
         F.when((total("hyphen") > total("plain")) | (capital & (total("plain") == 0)), F.col("hyphen.form"))
         .when(total("plain") > 0, F.col("plain.form"))
-        .when(F.lower(right).isin(*_UNDIVIDED), joined)
+        .when(F.lower(right).isin(*_UNDIVIDED), None)
         .otherwise(F.coalesce("undone.form", "plain.form"))
     )
     return best.select("a", "b", F.when(right.isNull(), single).otherwise(divided).alias("repaired")).where(F.col("repaired").isNotNull())
 
 
-def find(sources: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
+def find(sources: list[tuple[DataFrame, str, str, str]], broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """table_name, row_key, kind, original, repaired of every trace of a page in several tables, each once.
 
     sources: (table, key column, text column, name). kind is running_header, page_number (original = repaired = the
@@ -447,17 +521,20 @@ def find(sources: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
     seen = cut(together([_observe(*s) for s in sources]))
     counts = seen.where("kind in ('clean', 'scanned')").groupBy(F.col("a").alias("word"))
     vocabulary = cut(counts.agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in ("clean", "scanned")]))
-    top = vocabulary.where("clean >= 5").orderBy(F.desc("clean"), "word").limit(COMMON_WORDS)
-    common = frozenset(r.word for r in top.collect())  # bounded by COMMON_WORDS
-    unknown = _unknown(seen, common).distinct()
+    most = vocabulary.agg(F.coalesce(F.max("clean"), F.lit(0))).first()[0]
+    words = seen.where("kind = 'words'").select("table_name", "row_key", F.explode("words").alias("a"))
+    # words so common that no word is common enough to be meant instead need no readings
+    forms = words.select("a").distinct().withColumn("word", F.lower("a")).join(vocabulary, "word", "left")
+    forms = forms.where(F.coalesce("clean", F.lit(0)) <= _rare(F.col("a")) * most)
     divided = seen.where("kind = 'divided'").select("table_name", "row_key", "a", "b").distinct()
-    cases = cut(unknown.select("table_name", "row_key", "a", F.lit(None).cast("string").alias("b")).unionByName(divided))
-    decided = _decide(cases.select("a", "b").distinct(), vocabulary)
-    words = cases.join(decided, (cases.a == decided.a) & cases.b.eqNullSafe(decided.b)).select(
-        "table_name", "row_key", F.when(cases.b.isNull(), "misread").otherwise("hyphenated").alias("kind"), F.concat_ws("-", cases.a, cases.b).alias("original"), "repaired"
-    )
+    candidates = cut(forms.select("a", F.lit(None).cast("string").alias("b")).unionByName(divided.select("a", "b").distinct()))
+    decided = cut(_decide(candidates, vocabulary))
+    single = decided.where("b is null").select("a", "repaired")
+    few = single.count() <= broadcast_words
+    misread = words.join(F.broadcast(single) if few else single, "a").select("table_name", "row_key", F.lit("misread").alias("kind"), F.col("a").alias("original"), "repaired")
+    hyphenated = divided.join(decided.where("b is not null"), ["a", "b"]).select("table_name", "row_key", F.lit("hyphenated").alias("kind"), F.concat_ws("-", "a", "b").alias("original"), "repaired")
     furniture = seen.where("kind in ('running_header', 'page_number')").select("table_name", "row_key", "kind", F.col("a").alias("original"), F.col("a").alias("repaired"))
-    return furniture.unionByName(words).distinct()
+    return together([furniture, misread, hyphenated]).distinct()
 
 
 def repair_text(text: str, fixes: dict[str, str]) -> str:

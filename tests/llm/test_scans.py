@@ -1,6 +1,7 @@
 """Lines, divided and misread words of planted pages, and the defined cases."""
 
 import random
+import time
 
 from paperloom.llm import scans
 
@@ -128,6 +129,92 @@ def test_lines_that_are_the_same_share_a_key():
     assert same > 2000
 
 
+def labelled(seed, n):
+    """Planted pages with the label of every line."""
+    rng = random.Random(seed)
+    heads = ["Northgate Ltd | Annual report", "CLINICAL SUMMARY INV-2024-11", "Transcript / AB-7 / Marsh Inc.", "Willow Staffing Group", "Personal file 77 (continued)", "Harbour & Sons, Letters"]
+    out = []
+    for _ in range(n):
+        head, style = rng.choice(heads), rng.choice(["- {} -", "Page {} of 4", "[{}]", "{}", "{}/4", "Seite {}"])
+        lines, labels = [], []
+        if rng.random() < 0.6:  # a title is said once and belongs to the text
+            lines.append(rng.choice(["MEMO", "INVOICE", "Statement", "Letter of reference", "Discharge summary", "Employment agreement"]))
+            labels.append(scans.BODY)
+        spoilt = rng.random() < 0.4
+        for p in range(rng.choice([2, 3, 4])):
+            if p or not lines or rng.random() < 0.3:
+                lines.append(" " * rng.choice([0, 0, 12]) + (head.replace("l", "1", 1).replace("o", "0", 1) if spoilt and p == 1 else head))
+                labels.append(scans.HEADER)
+            words = " ".join(rng.choice(SENTENCES) for _ in range(8)).split()
+            line = ""
+            for w in words[: rng.randrange(40, 70)]:
+                if len(line) + 1 + len(w) > 46:
+                    lines.append(line)
+                    labels.append(scans.BODY)
+                    line = w
+                else:
+                    line = f"{line} {w}".strip()
+            if rng.random() < 0.3:
+                lines += [rng.choice(["Quantity", "Units", "Rooms", "Seats", "Boxes", "Weight", "Copies"]), str(rng.randrange(3, 90))]
+                labels += [scans.BODY] * 2
+            lines.append(style.format(p + 1))
+            labels.append(scans.NUMBER)
+        out.append((lines, labels))
+    return out
+
+
+def test_weights_can_be_fitted():
+    train, held = labelled(1, 120), labelled(2, 120)
+    right = lambda w: sum(scans.label_lines(x, set(), w) == y for x, y in held) / len(held)
+    zero = tuple(dict.fromkeys(w, 0.0) for w in (scans.HEADER_WEIGHTS, scans.NUMBER_WEIGHTS, scans.TRANSITIONS))
+    from_nothing = scans.fit_weights(train, zero)
+    assert right(zero) == 0.0 and right(from_nothing) > 0.8 and right(None) > 0.88
+    assert right(scans.fit_weights(train)) >= right(None) - 0.02
+
+
+def test_indented_lines_are_compared_by_keys():
+    rng = random.Random(3)
+    words = [w for s in SENTENCES for w in s.rstrip(".").split()]
+    text = "\n".join("    " + " ".join(rng.choice(words).capitalize() for _ in range(rng.randrange(2, 5))) + rng.choice(words) for _ in range(4000))
+    began = time.perf_counter()
+    scans.Page(text)
+    first = time.perf_counter() - began
+    began = time.perf_counter()
+    scans.Page(text + "\n" + text.replace("e", "a"))
+    assert first < 4 and time.perf_counter() - began < 5 * first + 2
+
+
+def test_many_headers_long_headers_and_large_page_numbers():
+    rng = random.Random(9)
+    heads = [f"{a.capitalize()} {b.capitalize()} Archive Northern Province, Volume {i % 7}" + " Supplements" * (i % 9) for i, (a, b) in enumerate(zip("abcdefghijklmnopqrstuvwxyzabcdefghijklmn", "qwertzuiopasdfghjklyxcvbnmqwertzuiopasdf"))]
+    lines, want = [], set()
+    for i, h in enumerate(heads):
+        for k in range(3):
+            shown = h.replace("Northern", "Nortbcrn") if k == 2 else h
+            want.add(shown)
+            lines += [shown] + [" ".join(rng.choice(SENTENCES).lower().rstrip(".").split()[:8]) for _ in range(8)] + [f"- {99_999 + 3 * i + k} -"]
+    got = scans.Page("\n".join(lines)).furniture()
+    assert len(heads) == 40 and {x for kind, x in got if kind == "running_header"} == want and sum(kind == "page_number" for kind, _ in got) == 120
+
+
+def test_divided_words_across_a_long_box_and_long_words():
+    box = "\n".join(f"Item {i}\tX" for i in range(12))
+    page = scans.Page(f"the goods were sent to the depart-\n{box}\nment in the north and then were\nreturned by the next carrier without")
+    assert [(a, b) for *_, a, b in page.divided()] == [("depart", "ment")]
+    long = "donaudampfschifffahrtsgesellschaftskapitaenswitwe"
+    assert scans.core(long) == long and long in scans.once(long.replace("m", "rn", 1)) and long in scans.twice(long.replace("m", "rn", 1).replace("h", "b", 1))
+
+
+def test_rare_words_common_words_and_both_ways_of_joining(spark):
+    """A form seen a few times is misread where the word it may be is common enough, however many words are commoner."""
+    clean = [("c%d" % i, "the report and the statement of the office " * 40 + f"other{i % 7} word{i % 11}") for i in range(60)] + [("x%d" % i, "tbe is a word in six texts") for i in range(6)]
+    scan = [("s", "- 1 -\nthe report and tbe statement of the office was\nsent to the other office in the north\n- 2 -")]
+    df = spark.createDataFrame(clean + scan, "k string, t string")
+    near = sorted(map(tuple, scans.find([(df, "k", "t", "t")]).collect()))
+    far = sorted(map(tuple, scans.find([(df, "k", "t", "t")], broadcast_words=0).collect()))
+    assert near == far and ("t", "s", "misread", "tbe", "the") in near
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, t string")
     assert scans.find([(df, "k", "t", "t")]).count() == 0
