@@ -2,11 +2,14 @@
 
 Values are deduplicated first, so each distinct spelling is scored once however many rows have it. A spelling is
 normalised into phrases (whole, and its parts without additions such as "department" or "(m/f/d)"); each phrase
-looks up its character n-grams in an inverted index of the list; entries are scored by the cosine of n-gram vectors
-weighted by inverse document frequency. The best entry is accepted above a threshold and with a margin to the next
-entry; between the certain and the hopeless, an exact check by edit distance or abbreviation decides.
-
-The list is broadcast after its size is checked; the mapping is joined back to the rows.
+retrieves candidates by its character n-grams, which include those of a word's consonants, so that "mgr" meets
+"manager"; candidates are scored by the cosine of n-gram vectors weighted by inverse document frequency. The best entry
+is accepted above a threshold and with a margin to the next one. An exact check follows for the lower scores: the
+accepted entry must be near by edit distance too. Abbreviated words count as normalised if only one candidate fits.
+
+A list up to a measured size is broadcast with its inverted index. A larger one stays a table: both sides are joined on
+the n-grams that a pair above the threshold must share (the rarest of each, until what is left can't reach it), and
+only such pairs are scored. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -19,16 +22,19 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.session import cut, map_batches, spread
 
-#: Largest reference list (entries with aliases) that is broadcast; a longer one is refused, not cut.
-MOST_ENTRIES = 2_000_000
-#: Accepted outright from SURE cosine on; from POSSIBLE on if the exact check holds; MARGIN to the next entry.
-SURE, POSSIBLE, MARGIN = 0.8, 0.22, 0.04
-#: The exact check: similarity by edit distance, and its margin to the next entry.
-ALIKE, ALIKE_MARGIN = 0.7, 0.02
+#: Reference lists up to this many spellings together are broadcast; beyond, they are joined as tables.
+BROADCAST_SPELLINGS = 20_000
+#: Accepted from SURE cosine on; from POSSIBLE on if the exact check agrees; MARGIN to the next entry.
+SURE, POSSIBLE, MARGIN = 0.5, 0.3, 0.02
+#: Cosine from which an entry is a candidate, for words that are abbreviated.
+FLOOR = 0.15
+#: The exact check: least similarity by edit distance.
+ALIKE = 0.55
 #: No value at all, in any letter case.
 NO_VALUE = ("", "n/a", "none", "unknown", "-")
 # Words that people add around a value without changing what it means.
@@ -39,6 +45,7 @@ ADDITIONS = frozenset(
 )
 
 _camel = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])|(?<=[A-ZÀ-Þ])(?=[A-ZÀ-Þ][a-zà-ÿ]{2})")
+_spelt_out = re.compile(r"(?<=[aou])e(?=[^aeiou]|$)")
 _token = re.compile(r"[^\W_]+")
 _bracketed = re.compile(r"[(\[{][^)\]}]*[)\]}]")
 _part = re.compile(r"\s[/|–—-]+\s|[,;:|]|/")
@@ -68,15 +75,32 @@ def phrases(value: str) -> list[tuple[str, ...]]:
     return [t for t in out if t]
 
 
+def _skeleton(word: str) -> str:
+    """The first letter and the consonants after it, doubled ones once."""
+    out = word[:1]
+    for c in word[1:]:
+        if c not in "aeiouy" and c != out[-1]:
+            out += c
+    return out
+
+
 def grams(tokens: tuple[str, ...]) -> dict[str, float]:
-    """Counts of the 2- and 3-grams of the words, marked at their ends, and of the letters in one."""
+    """Counts of the 2- and 3-grams of the words, marked at their ends, of the letters in one, of the pairs of the words'
+    consonants, and of their first letters. Vowels spelt out (ue for ü) count as one."""
     out: dict[str, float] = defaultdict(float)
-    for word in tokens:
+    folded = [_spelt_out.sub("", w) for w in tokens]
+    for word in folded:
         marked = f"^{word}$"
         for n in (2, 3):
             for i in range(len(marked) - n + 1):
                 out[marked[i : i + n]] += 1
-    joined = "".join(tokens)
+        bones = _skeleton(word)
+        for i in range(len(bones) - 1):
+            out["~" + bones[i : i + 2]] += 1
+        if len(bones) > 2:
+            out["~" + bones[0] + bones[-1]] += 1
+        out["<" + word[:1]] += 1
+    joined = "".join(folded)
     for i in range(len(joined) - 2):
         out["=" + joined[i : i + 3]] += 1
     return out
@@ -116,25 +140,56 @@ def abbreviates(short: str, word: str) -> bool:
     return all(c in rest for c in short) and short[-1] in word[len(word) // 2 :]
 
 
+def shortened(tokens: tuple[str, ...], words: tuple[str, ...]) -> bool:
+    """Whether every word is there, some of them abbreviated."""
+    if len(words) == 1:
+        joined = "".join(tokens)
+        return len(joined) >= 4 and abbreviates(joined, words[0])
+    return len(tokens) == len(words) and all(a == b or abbreviates(a, b) for a, b in zip(tokens, words))
+
+
+def similar(tokens: tuple[str, ...], words: tuple[str, ...]) -> float:
+    """The exact check: similarity by edit distance, in any order of words."""
+    out = alike("".join(tokens), "".join(words))
+    if len(tokens) == len(words) > 1:
+        out = max(out, alike("".join(sorted(tokens)), "".join(sorted(words))) - 0.05)
+    return out
+
+
+def idf(entries: int, having: int) -> float:
+    """The weight of an n-gram that `having` of so many spellings have."""
+    return math.log(1 + entries / having) if having else math.log(1 + entries)
+
+
+def decide(top: int, score: float, second: float, near: float, short: int | None) -> tuple[int, float]:
+    """The entry and score from the best entry, its cosine, the next entry's, the exact check of the best, and the only
+    entry that is abbreviated, if any."""
+    if short is not None:  # "Sr. Data Engineer" is nearer to "Data Engineer" by its n-grams alone
+        return short, 0.95
+    if score >= POSSIBLE and score - second >= MARGIN and (score >= SURE or near >= ALIKE):
+        return top, score
+    return -1, score
+
+
 class Matcher:
     """One reference list: entries (id, spellings) behind an inverted index of n-grams."""
 
     def __init__(self, entries: list[tuple[int, list[str]]]):
         self.exact: dict[str, int] = {}
-        self.spelled: list[tuple[int, tuple[str, ...], str]] = []
+        self.spelled: list[tuple[int, tuple[str, ...]]] = []
         for ident, spellings in sorted(entries):
             for text in spellings:
                 tokens = tokens_of(text, camel=False)
                 if tokens:
                     self.exact.setdefault("".join(tokens), ident)
-                    self.spelled.append((ident, tokens, "".join(tokens)))
+                    self.spelled.append((ident, tokens))
         df: dict[str, int] = defaultdict(int)
-        vectors = [grams(tokens) for _, tokens, _ in self.spelled]
+        vectors = [grams(tokens) for _, tokens in self.spelled]
         for vector in vectors:
             for gram in vector:
                 df[gram] += 1
-        self.idf = {g: math.log(1 + len(vectors) / n) for g, n in df.items()}
-        self.unseen = math.log(1 + len(vectors)) if vectors else 1.0
+        self.idf = {g: idf(len(vectors), n) for g, n in df.items()}
+        self.unseen = idf(len(vectors), 0)
         self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, vector in enumerate(vectors):
             weights = {g: n * self.idf[g] for g, n in vector.items()}
@@ -152,7 +207,7 @@ class Matcher:
             for i, other in self.postings.get(gram, ()):
                 scores[i] += weight * other
         norm = math.sqrt(square)
-        return {i: s / norm for i, s in scores.items()}
+        return {i: s / norm for i, s in scores.items()} if norm else {}
 
     def match(self, value: str) -> tuple[int, float]:
         """The entry that a value means and its score; (-1, best score) if none is meant."""
@@ -161,50 +216,22 @@ class Matcher:
             ident = self.exact.get("".join(tokens))
             if ident is not None:
                 return ident, 1.0
-        best: dict[int, float] = defaultdict(float)
-        where: dict[int, list[tuple[float, int, tuple[str, ...]]]] = defaultdict(list)
+        best: dict[int, tuple[float, float]] = {}
+        short: set[int] = set()
         for tokens in said:
             for i, s in self.cosines(tokens).items():
-                ident, words, _ = self.spelled[i]
-                if len("".join(words)) <= 3:
+                ident, words = self.spelled[i]
+                if s < FLOOR or sum(map(len, words)) <= 3:
                     continue  # of initials only the exact form counts
-                best[ident] = max(best[ident], s)
-                where[ident].append((s, i, tokens))
-        ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))
-        if not ranked or ranked[0][1] < POSSIBLE:
-            return -1, ranked[0][1] if ranked else 0.0
-        (top, score), second = ranked[0], ranked[1][1] if len(ranked) > 1 else 0.0
-        shortened = {ident for ident, _ in ranked for _, i, tokens in where[ident] if tokens in said[:2] and self._shortened(tokens, self.spelled[i][1])}
-        if len(shortened) == 1:  # "Sr. Data Engineer" is nearer to "Data Engineer" by its n-grams alone
-            return shortened.pop(), 0.95
-        if score >= SURE and score - second >= MARGIN:
-            return top, score
-        checked = sorted(((-self._check(where[ident]), ident) for ident, s in ranked if s >= POSSIBLE))
-        similar, next_ = -checked[0][0], -checked[1][0] if len(checked) > 1 else 0.0
-        if similar >= ALIKE and similar - next_ >= ALIKE_MARGIN:
-            return checked[0][1], similar
-        return -1, score
-
-    @staticmethod
-    def _shortened(tokens: tuple[str, ...], words: tuple[str, ...]) -> bool:
-        """Whether every word is there, some of them abbreviated."""
-        if len(words) == 1:
-            joined = "".join(tokens)
-            return len(joined) >= 4 and abbreviates(joined, words[0])
-        return len(tokens) == len(words) and all(a == b or abbreviates(a, b) for a, b in zip(tokens, words))
-
-    def _check(self, seen: list[tuple[float, int, tuple[str, ...]]]) -> float:
-        """The exact check of an entry: edit similarity of a phrase with a spelling, in any order of words, or 0.95 if
-        words are only abbreviated in a part of the value."""
-        out = 0.0
-        for _, i, tokens in seen:
-            _, words, joined = self.spelled[i]
-            out = max(out, alike("".join(tokens), joined))
-            if len(tokens) == len(words) > 1:
-                out = max(out, alike("".join(sorted(tokens)), "".join(sorted(words))) - 0.05)
-            if self._shortened(tokens, words):
-                out = max(out, 0.95)
-        return out
+                if shortened(tokens, words):
+                    short.add(ident)
+                near = similar(tokens, words) if POSSIBLE <= s < SURE else 1.0
+                best[ident] = max(best.get(ident, (0.0, 0.0)), (s, near))
+        if not best:
+            return -1, 0.0
+        ranked = sorted(((s, near, ident) for ident, (s, near) in best.items()), key=lambda x: (-x[0], x[2]))
+        (score, near, top), second = ranked[0], ranked[1][0] if len(ranked) > 1 else 0.0
+        return decide(top, score, second, near, next(iter(short)) if len(short) == 1 else None)
 
 
 def has_value(value: Column) -> Column:
@@ -212,27 +239,11 @@ def has_value(value: Column) -> Column:
     return value.isNotNull() & ~F.lower(F.trim(F.regexp_replace(value, r"^\s+|\s+$", ""))).isin(*NO_VALUE)
 
 
-def match(cases: DataFrame, lists: DataFrame, most_entries: int = MOST_ENTRIES) -> DataFrame:
-    """`cases` with canonical_id and score. cases needs list_name and value; lists: canonical_id, list_name,
-    canonical_value, aliases.
-
-    Values that are an entry's canonical_value as it stands get its id with score 1; -1 means that no entry is meant
-    (also for lists without entries). Null values get a null id. Other columns pass through (canonical_id and score are
-    replaced); repeated rows repeat.
-    A list is refused (ValueError) beyond `most_entries` spellings instead of being cut.
-    """
-    spark = cases.sparkSession
-    cases = cases.drop("canonical_id", "score")
-    spelled = lists.where(F.col("canonical_value").isNotNull()).select(
-        "list_name", F.col("canonical_id").cast("long").alias("canonical_id"), F.concat(F.array("canonical_value"), F.coalesce(F.filter("aliases", F.isnotnull), F.array().cast("array<string>"))).alias("spellings")
-    )
-    size = spelled.agg(F.coalesce(F.sum(F.size("spellings")), F.lit(0))).first()[0]
-    if size > most_entries:
-        raise ValueError(f"{size} spellings in the reference lists; {most_entries} can be broadcast")
+def _by_broadcast(distinct: DataFrame, spelled: DataFrame) -> DataFrame:
     entries: dict[str, list[tuple[int, list[str]]]] = defaultdict(list)
     for row in spelled.collect():  # bounded: just counted
         entries[row.list_name].append((row.canonical_id, row.spellings))
-    shared = spark.sparkContext.broadcast(dict(entries))
+    shared = distinct.sparkSession.sparkContext.broadcast(dict(entries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers: dict[str, Matcher] = {}
@@ -246,7 +257,112 @@ def match(cases: DataFrame, lists: DataFrame, most_entries: int = MOST_ENTRIES)
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["list_name", "value", "canonical_id", "score"])
 
+    return map_batches(spread(distinct), run, "list_name string, value string, canonical_id long, score double")
+
+
+def _vectors(df: DataFrame, split_phrases: bool) -> DataFrame:
+    """list_name, text, ident, said, gram, n: the n-grams of each phrase (said: its words, joined by blanks) of a value,
+    or of a spelling as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, said, gram, count = [], [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                for tokens in dict.fromkeys(phrases(text) if split_phrases else [tokens_of(text, camel=False)]):
+                    for g, n in grams(tokens).items():
+                        at.append(row)
+                        said.append(" ".join(tokens))
+                        gram.append(g)
+                        count.append(n)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(said, pa.string()), pa.array(gram, pa.string()), pa.array(count, pa.float64())], names=["list_name", "text", "ident", "said", "gram", "n"])
+
+    return map_batches(df, run, "list_name string, text string, ident long, said string, gram string, n double")
+
+
+def _weighted(vectors: DataFrame, key: list[str], known: DataFrame, sizes: DataFrame) -> DataFrame:
+    """With w, the weight in the vector of length 1, and `rare`: whether the n-gram is among the rarest ones without
+    which two vectors can't reach the threshold. The order is the same on both sides: by weight, then by n-gram."""
+    of = Window.partitionBy(*key)
+    raw = vectors.join(sizes, "list_name").join(known, ["list_name", "gram"], "left")
+    # unrounded logarithms of equal counts are equal, so n-grams have one order on both sides
+    raw = raw.withColumn("idf", F.log(1 + F.col("entries") / F.coalesce("having", F.lit(1)))).withColumn("w", F.col("n") * F.col("idf"))
+    raw = raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(of)))
+    order = of.orderBy("idf", "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # the commonest first
+    rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(order))
+    return raw.withColumn("rare", rest >= FLOOR - 1e-9).select(*key, "gram", "w", "rare")
+
+
+def _by_join(distinct: DataFrame, spelled: DataFrame) -> DataFrame:
+    """The same mapping by joins; rows are n-grams and pairs, no list is in one place."""
+    flat = spelled.select("list_name", F.explode("spellings").alias("text"), F.col("canonical_id").alias("ident"))
+    entries = cut(_vectors(flat, split_phrases=False))
+    spellings = entries.groupBy("list_name", "text", "ident").agg(F.first("said").alias("said"))
+    sizes = spellings.groupBy("list_name").agg(F.count("*").alias("entries"))
+    known = cut(entries.groupBy("list_name", "gram").agg(F.count("*").alias("having")))
+    values = cut(_vectors(spread(distinct.select("list_name", F.col("value").alias("text"), F.lit(0).cast("long").alias("ident"))), split_phrases=True))
+    joined = F.translate("said", " ", "")
+    sure = values.select("list_name", "text", joined.alias("said")).distinct().join(spellings.select("list_name", joined.alias("said"), "ident"), ["list_name", "said"])
+    # of several phrases that are entries the first in order counts, as in memory; phrases are ordered there
+    exact = sure.groupBy("list_name", "text").agg(F.collect_set(F.struct("said", "ident")).alias("sure"))
+    a = _weighted(values, ["list_name", "text", "said"], known, sizes)
+    b = _weighted(entries, ["list_name", "ident", "text"], known, sizes).withColumnsRenamed({"text": "spelling", "w": "v"})
+    pairs = a.where("rare").select("list_name", "text", "said", "gram").join(b.where("rare").select("list_name", "ident", "spelling", "gram"), ["list_name", "gram"]).drop("gram").distinct()
+    scored = pairs.join(a.select("list_name", "text", "said", "gram", "w"), ["list_name", "text", "said"]).join(b.select("list_name", "ident", "spelling", "gram", "v"), ["list_name", "ident", "spelling", "gram"])
+    scored = scored.groupBy("list_name", "text", "said", "ident", "spelling").agg(F.sum(F.col("w") * F.col("v")).alias("cosine")).where(F.col("cosine") >= FLOOR)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short, near, keep = [], [], []
+            for said, spelling, cosine in zip(*(batch.column(c).to_pylist() for c in ("said", "spelling", "cosine"))):
+                tokens, words = tuple(said.split(" ")), tokens_of(spelling, camel=False)
+                keep.append(sum(map(len, words)) > 3)
+                short.append(shortened(tokens, words))
+                near.append(similar(tokens, words) if POSSIBLE <= cosine < SURE else 1.0)
+            out = pa.RecordBatch.from_arrays([batch.column(c) for c in ("list_name", "text", "ident", "cosine")] + [pa.array(short, pa.bool_()), pa.array(near, pa.float64())], names=["list_name", "text", "ident", "cosine", "short", "near"])
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    checked = map_batches(scored, check, "list_name string, text string, ident long, cosine double, short boolean, near double")
+    by_entry = cut(checked.groupBy("list_name", "text", "ident").agg(F.max(F.struct("cosine", "near")).alias("best"), F.max("short").alias("short")))
+    top = by_entry.groupBy("list_name", "text").agg(
+        F.max(F.struct("best.cosine", (-F.col("ident")).alias("less"), "best.near")).alias("top"), F.min(F.when(F.col("short"), F.col("ident"))).alias("low"), F.max(F.when(F.col("short"), F.col("ident"))).alias("high")
+    )
+    second = by_entry.join(top.select("list_name", "text", (-F.col("top.less")).alias("first")), ["list_name", "text"]).where("ident <> first").groupBy("list_name", "text").agg(F.max("best.cosine").alias("second"))
+    found = distinct.withColumnRenamed("value", "text").join(top, ["list_name", "text"], "left").join(second, ["list_name", "text"], "left").join(exact, ["list_name", "text"], "left")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, scores = [], []
+            for text, sure, top, low, high, second in zip(*(batch.column(c).to_pylist() for c in ("text", "sure", "top", "low", "high", "second"))):
+                if sure:
+                    known: dict[str, int] = {}
+                    for x in sorted(sure, key=lambda x: x["ident"]):
+                        known.setdefault(x["said"], x["ident"])
+                    ids.append(next(known["".join(t)] for t in phrases(text) if "".join(t) in known))
+                    scores.append(1.0)
+                    continue
+                ident, score = decide(-top["less"], top["cosine"], second or 0.0, top["near"], low if low is not None and low == high else None) if top else (-1, 0.0)
+                ids.append(ident)
+                scores.append(score)
+            yield pa.RecordBatch.from_arrays([batch.column("list_name"), batch.column("text"), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["list_name", "value", "canonical_id", "score"])
+
+    return map_batches(found, choose, "list_name string, value string, canonical_id long, score double")
+
+
+def match(cases: DataFrame, lists: DataFrame, broadcast_spellings: int = BROADCAST_SPELLINGS) -> DataFrame:
+    """`cases` with canonical_id and score. cases needs list_name and value; lists: canonical_id, list_name,
+    canonical_value, aliases.
+
+    Values that are an entry's canonical_value as it stands get its id with score 1; -1 means that no entry is meant
+    (also for lists without entries). Null values get a null id. Other columns pass through (canonical_id and score are
+    replaced); repeated rows repeat. Lists of any size are matched; `broadcast_spellings` only chooses the way.
+    """
+    cases = cases.drop("canonical_id", "score")
+    spelled = lists.where(F.col("canonical_value").isNotNull()).select(
+        "list_name", F.col("canonical_id").cast("long").alias("canonical_id"), F.concat(F.array("canonical_value"), F.coalesce(F.filter("aliases", F.isnotnull), F.array().cast("array<string>"))).alias("spellings")
+    )
+    size = spelled.agg(F.coalesce(F.sum(F.size("spellings")), F.lit(0))).first()[0]
     cases = cut(cases)  # read for the distinct values and for the join
     distinct = cases.where(F.col("value").isNotNull()).select("list_name", "value").distinct()
-    mapped = map_batches(spread(distinct), run, "list_name string, value string, canonical_id long, score double")
+    mapped = _by_broadcast(distinct, spelled) if size <= broadcast_spellings else _by_join(cut(distinct), spelled)
     return cases.join(mapped, ["list_name", "value"], "left")

@@ -52,8 +52,6 @@ def test_table(spark, lists):
     got = sorted(((r.canonical_value, r.list_name, r.value, r.canonical_id) for r in canonical.match(cases, lists).collect()), key=str)
     assert got == sorted([(1, "pay", "Cash", 21), (1, "pay", "Cash", 21), (2, "pay", None, None), (3, None, "Cash", None), (None, "pay", "cash", 21)], key=str)
     assert {r.canonical_id for r in canonical.match(cases, lists.limit(0)).collect()} == {-1, None}
-    with pytest.raises(ValueError, match="broadcast"):
-        canonical.match(cases, lists, most_entries=3)
     values = spark.createDataFrame([(v,) for v in (None, "", " ", "N/A", "none", "Unknown", "-", "x")], "v string")
     assert [r.v for r in values.where(canonical.has_value(values.v)).collect()] == ["x"]
 
@@ -63,3 +61,39 @@ def test_entries_beyond_the_six_nearest_are_checked(value, near, meant):
     names = "Ada Bob Cleo Dora Egon Fritz Gina Hugo".split()
     entries = [(n, [f"{near} {name}"]) for n, name in enumerate(names, 1)] + [(50, [meant])]
     assert canonical.Matcher(entries).match(value) == (50, 0.95)
+
+
+def test_both_ways_give_the_same_rows(spark, lists):
+    rng = random.Random(5)
+    rows = [(n, v) for n, v, _ in CASES if v and n != "none"]
+    for _ in range(60):
+        name, value = rng.choice([(n, v) for _, n, v, _ in LISTS])
+        w = list(value)
+        for _ in range(rng.choice([1, 2, 3])):
+            w[rng.randrange(len(w))] = rng.choice(["", "x", "e", " "])
+        rows.append((name, "".join(w)))
+    cases = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, list_name string, value string")
+    near = {r.n: (r.canonical_id, round(r.score, 6)) for r in canonical.match(cases, lists).collect()}
+    far = {r.n: (r.canonical_id, round(r.score, 6)) for r in canonical.match(cases, lists, broadcast_spellings=0).collect()}
+    wrong = [(rows[i], near[i], far[i]) for i in near if near[i][0] != far[i][0] or near[i][0] >= 0 and near[i] != far[i]]
+    assert not wrong and len(near) == len(far) == len(rows)
+
+
+def test_the_cosine_decides():
+    """Without the exact check hardly anything changes: it only takes away."""
+    rng = random.Random(2)
+    matcher = canonical.Matcher([(i, [v, *(a or [])]) for i, _, v, a in LISTS])
+    typed = [(i, v) for i, _, v, _ in LISTS if len(v) > 8 for _ in range(40)]
+    right = 0
+    for i, v in typed:
+        at = rng.randrange(1, len(v))
+        value = v[:at] + rng.choice("aeirst") + v[at + rng.randrange(2) :]
+        scores = {}
+        for tokens in canonical.phrases(value):
+            for k, s in matcher.cosines(tokens).items():
+                ident = matcher.spelled[k][0]
+                scores[ident] = max(scores.get(ident, 0), s)
+        top = sorted(scores.items(), key=lambda x: -x[1])
+        right += top[0][0] == i and top[0][1] >= canonical.POSSIBLE and top[0][1] - top[1][1] >= canonical.MARGIN
+        assert matcher.match(value)[0] in (i, -1)
+    assert right >= 0.98 * len(typed)
