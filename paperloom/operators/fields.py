@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.constants import ALIASES, FIELD_DATE_FORMATS, REQUIRED_FIELDS, TYPE_LABELS
+from paperloom.constants import ALIASES, FIELD_DATE_FORMATS, REQUIRED_FIELDS, SCALAR_FIELDS, TYPE_LABELS
 from paperloom.operators.nested import whole_json
 
 
@@ -63,6 +63,48 @@ def fill_from_aliases(rows: DataFrame, key: str) -> DataFrame:
     return both.select(key, "field", F.when(empty, F.coalesce("given", "value")).otherwise(F.col("value")).alias("value"))
 
 
+def coerced(rows: DataFrame) -> DataFrame:
+    """Rows with `value` of fields that are one text: of a list the first element that is neither null nor empty (else
+    the first), as a JSON text; other values stay."""
+    items = F.try_variant_get(F.try_parse_json(F.col("value")), "$", "array<variant>")
+    said = F.transform(items, lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x)))
+    first = F.coalesce(F.get(F.filter(said, lambda t: t.isNotNull() & (t != "") & (t != "null")), F.lit(0)), F.get(said, F.lit(0)))
+    one = F.col("field").isin(*SCALAR_FIELDS) & F.startswith("value", F.lit("[")) & (F.size(items) > 0)
+    quoted = F.regexp_extract(F.to_json(F.struct(first.alias("v"))), r'^[{]"v":(.*)[}]$', 1)
+    return rows.withColumn("value", F.when(one, quoted).otherwise(F.col("value")))
+
+
+def from_aliases(rows: DataFrame, key: str) -> DataFrame:
+    """key, field, alias: for canonical fields that are missing or empty, the first alias (in the order of the table) that
+    is filled."""
+    order = F.create_map(*[F.lit(x) for i, a in enumerate(ALIASES) for x in (a, i)])
+    full = ~F.col("value").isin("null", '""', "[]", "{}")
+    filled = rows.where(full)
+    given = filled.where(F.col("field").isin(*ALIASES)).select(key, canonical_field(F.col("field")).alias("field"), F.col("field").alias("alias"), F.try_element_at(order, F.col("field")).alias("n"))
+    first = given.groupBy(key, "field").agg(F.min_by("alias", "n").alias("alias"))
+    return first.join(filled.select(key, "field"), [key, "field"], "left_anti")
+
+
+def snake_keys(json: Column) -> Column:
+    """A JSON object with all its keys, at any depth, in snake case; null where it can't be parsed. Keys are told by the
+    colon after their closing quote, which text never has unescaped."""
+    out = F.to_json(whole_json(json))
+    out = F.regexp_replace(out, r'(?<!")(?<=[A-Za-z0-9_])(?=[A-Z][A-Za-z0-9_]*":)', "_")
+    for letter in "ABCDEFGHIJKLMNOPQRSTUVWXYZ":
+        out = F.regexp_replace(out, rf'{letter}(?=[A-Za-z0-9_]*":)', letter.lower())
+    return out
+
+
+def shown(value: Column) -> Column:
+    """A JSON value as text for editing: strings as they are, the rest as JSON."""
+    return F.when(F.startswith(value, F.lit('"')), F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")).otherwise(value)
+
+
+def reread(text: Column) -> Column:
+    """An edited text back as JSON: itself where it parses as JSON, else a string."""
+    return F.coalesce(F.to_json(whole_json(text)), F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'^[{]"v":(.*)[}]$', 1))
+
+
 def merge_chunks(rows: DataFrame, key: str) -> DataFrame:
     """key, field, value of chunks (key, chunk_no, field, value): nulls skipped; a list after a list is appended, every
     other value replaces what was there. One fold per field over its chunks in order."""

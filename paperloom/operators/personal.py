@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.constants import DUMMY_PHONES, ENTITY_TYPES, MIN_LENGTHS, NON_NAMES, RECOGNISERS, STREET_WORDS
+from paperloom.constants import (
+    CONTEXT, CONTEXT_GAIN, CONTEXT_REACH, DUMMY_PHONES, ENTITY_TYPES, GENDER_ALONE, GENDER_LABELLED, MIN_LENGTHS, NON_NAMES, PERSONAL_FIELDS, RECOGNISERS, RECORD_IDS, SCORES, STREET_WORDS,
+)
+from paperloom.operators.nested import whole_json
 from paperloom.operators.text import normalised
 
 #: Boundaries that both regex engines read alike: no letter or digit of ASCII next to a value.
@@ -115,14 +118,64 @@ def with_canonical_forms(detections: Column) -> Column:
 
 
 def gender_hits(text: Column) -> Column:
-    """ARRAY<STRING> of labelled gender values, as they stand."""
-    return F.regexp_extract_all(text, F.lit(r"(?i)(?:^|[^A-Za-z0-9_])(?:gender|sex)\s*[:-]?\s*(male|female|other|non-binary|transgender|[mf](?:[^A-Za-z0-9_]|$))"), 1)
+    """ARRAY<STRING> of gender values as they stand: after a label, and "male" or "female" alone in a later line."""
+    return F.concat(F.regexp_extract_all(text, F.lit(GENDER_LABELLED), 1), F.regexp_extract_all(text, F.lit(GENDER_ALONE), 1))
 
 
 def record_ids(text: Column) -> Column:
-    """ARRAY<STRING> of medical and laboratory numbers after their label."""
-    pattern = r"(?i)(?:patient\s*id|medical\s*record\s*(?:#|number)?|mrn|lab\s*id|laboratory\s*id)\s*[:#-]?\s*((?:MRN|LAB)-[0-9]{4,10})(?:[^A-Za-z0-9_]|$)"
-    return F.regexp_extract_all(text, F.lit(pattern), 1)
+    """ARRAY<STRING> of medical numbers, then of laboratory numbers, each after a label of its own."""
+    return F.concat(*[F.regexp_extract_all(text, F.lit(p), 1) for p in RECORD_IDS])
+
+
+_DETECTION = "array<struct<entity:string,kind:string,value:string,source:string,score:double>>"
+
+
+def detections(text: Column) -> Column:
+    """ARRAY<STRUCT<entity, kind, value, source, score>>: what all detectors find, in the order recognisers, gender, record
+    numbers, addresses of two lines. A word of its context in the characters before a value's first place raises the
+    score of a recogniser's hit. Null texts give null; texts without digit or "@" are only searched for gender."""
+    low = F.lower(text)
+
+    def scored(entity: str, score: float, words: list[str]):
+        def of(v: Column) -> Column:
+            at = F.instr(text, v)
+            before = F.substring(low, F.greatest(F.lit(1), at - CONTEXT_REACH), F.least(F.lit(CONTEXT_REACH), at - 1))
+            near = reduce(lambda a, b: a | b, [F.contains(before, F.lit(w)) for w in words]) if words else F.lit(False)
+            return F.struct(F.lit(entity).alias("entity"), F.lit(ENTITY_TYPES[entity]).alias("kind"), v.alias("value"), F.lit("pattern").alias("source"), F.least(F.lit(1.0), F.lit(score) + F.when(near, CONTEXT_GAIN).otherwise(0.0)).alias("score"))
+
+        return of
+
+    plain = lambda entity, kind, source, score: lambda v: F.struct(F.lit(entity).alias("entity"), F.lit(kind).alias("kind"), v.alias("value"), F.lit(source).alias("source"), F.lit(score).alias("score"))
+    hits = [F.transform(F.regexp_extract_all(text, F.lit(f"{_BEFORE}({p}){_AFTER}"), 1), scored(e, SCORES[e], CONTEXT.get(e, []))) for e, p in RECOGNISERS]
+    gender = F.transform(gender_hits(text), plain("GENDER", "gender", "gender", 0.98))
+    others = [F.transform(record_ids(text), plain("MEDICAL_ID", "medical_id", "record", 0.95)), F.transform(multiline_addresses(text), plain("ADDRESS", "address", "address", 0.9))]
+    numbered = F.concat(*[h.cast(_DETECTION) for h in hits], gender.cast(_DETECTION), *[h.cast(_DETECTION) for h in others])
+    return F.when(text.rlike("[0-9@]"), numbered).when(text.isNotNull(), gender.cast(_DETECTION))
+
+
+def personal_values(json: Column) -> Column:
+    """ARRAY<STRING>: the texts at any depth of a JSON object whose own name, or that of the list they stand in, says that
+    they are personal data; normalised, each once. Unparsable texts give none."""
+    body = F.to_json(whole_json(json))
+    name = f"[^\"\\\\]*(?:{'|'.join(PERSONAL_FIELDS)})[^\"\\\\]*"
+    text = r'"((?:[^"\\]|\\.)*)"'
+    single = F.regexp_extract_all(body, F.lit(rf'(?i)"{name}":{text}'), 1)
+    lists = F.regexp_extract_all(body, F.lit(rf'(?i)"{name}":\[((?:[^\[\]{{}}"]|"(?:[^"\\]|\\.)*")*)\]'), 1)
+    listed = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(text), 1)))
+    plain = F.transform(F.concat(single, listed), lambda v: normalised(F.get_json_object(F.concat(F.lit('{"v":"'), v, F.lit('"}')), "$.v")))
+    return F.coalesce(F.filter(F.array_distinct(plain), lambda v: v.isNotNull() & (v != "")), F.array().cast("array<string>"))
+
+
+def expanded_address(text: Column, value: Column) -> Column:
+    """The first line that holds a value, with the next line if that has a state and postal code; the value, trimmed, where
+    no line holds it."""
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    low = F.lower(value)
+    pairs = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next")))
+    first = F.get(F.filter(pairs, lambda p: F.contains(F.lower(p["line"]), low)), F.lit(0))
+    goes_on = first["next"].rlike(r"(?:^|[^A-Za-z0-9_])[A-Z]{2}\s+[0-9]{5}(?:-[0-9]{4})?(?:[^A-Za-z0-9_]|$)")
+    both = F.concat(first["line"], F.when(F.contains(first["line"], F.lit(",")), " ").otherwise(", "), first["next"])
+    return F.when(first.isNull(), F.trim(value)).when(goes_on, both).otherwise(first["line"])
 
 
 def multiline_addresses(text: Column) -> Column:

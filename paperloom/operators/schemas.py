@@ -6,7 +6,7 @@ reproduced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.fields import json_kind
@@ -24,10 +24,22 @@ def properties(df: DataFrame, key: str, schema: str) -> DataFrame:
 
 
 def merged(props: DataFrame, group: str, order: Column) -> DataFrame:
-    """group, property, types: of several schemas of a group the last one by `order` says a property's types; every
-    property may also be null."""
-    last = props.groupBy(group, "property").agg(F.max_by("types", order).alias("types"))
-    return last.withColumn("types", F.array_sort(F.array_union("types", F.array(F.lit("null")))))
+    """group, property, types: of several schemas of a group the last one by `order` says a property's types. props also
+    has `required` (BOOLEAN): a property that the last schema requires, or that an earlier one brought, keeps its types;
+    a new one that is not required may also be null."""
+    first = F.min(order).over(Window.partitionBy(group, "property"))
+    born = props.withColumn("_first", first)
+    last = born.groupBy(group, "property").agg(F.max_by("types", order).alias("types"), F.bool_or("required").alias("required"), (F.max(order) > F.min("_first")).alias("again"))
+    kept = F.when(F.col("required") | F.col("again"), F.array_sort("types")).otherwise(F.array_sort(F.array_union("types", F.array(F.lit("null")))))
+    return last.select(group, "property", kept.alias("types"))
+
+
+def required_union(rows: DataFrame, group: str, order: list[str], names: str) -> DataFrame:
+    """group, fields (ARRAY<STRING>): the required fields of a group's schemas in the order in which they first came;
+    `order` puts the schemas in order. As many as a schema has properties, so they fit one row."""
+    flat = rows.select(group, F.struct(*order).alias("_at"), F.posexplode(names).alias("_pos", "_name")).where("_name is not null and trim(_name) <> ''")
+    first = flat.groupBy(group, F.trim("_name").alias("_name")).agg(F.min(F.struct("_at", "_pos")).alias("_first"))
+    return first.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_name"))), lambda x: x["_name"]).alias("fields"))
 
 
 def errors(rows: DataFrame, key: str, group: str, schema: DataFrame) -> DataFrame:

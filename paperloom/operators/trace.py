@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperloom.constants import ACCURACY, CACHE_CAP, CACHE_TTL_S
+from paperloom.constants import ACCURACY, CACHE_CAP, CACHE_TTL_S, NODES
 
 
 def once(trace: DataFrame) -> DataFrame:
@@ -71,6 +71,38 @@ def mermaid(counted: DataFrame) -> DataFrame:
     return counted.agg(F.concat(F.lit("flowchart TD\n"), F.array_join(ordered, "\n")).alias("diagram"))
 
 
+def node(agent: Column) -> Column:
+    """The node of an agent in diagrams; of agents without one their name in lower case, "unknown" for null."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in NODES.items() for x in p]), agent), F.lower(agent), F.lit("unknown"))
+
+
+def diagrams(trace: DataFrame) -> DataFrame:
+    """run_id, flow, sequence: the run's nodes in the order of its steps, repeats in a row collapsed, as a Mermaid flow
+    chart and as a sequence diagram. A run has a few dozen steps, which fit one row."""
+    w = W.partitionBy("run_id").orderBy("step", "trace_id")
+    named = trace.select("run_id", "step", "trace_id", node(F.col("agent_name")).alias("node"))
+    kept = named.withColumn("_before", F.lag("node").over(w)).where(F.col("_before").isNull() | (F.col("_before") != F.col("node")))
+    path = kept.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "trace_id", "node"))), lambda x: x["node"]).alias("p"))
+    p = F.col("p")
+    pairs = F.arrays_zip(F.concat(F.array(F.lit("START")), p).alias("a"), F.concat(p, F.array(F.lit("END"))).alias("b"))
+
+    def edge(x: Column) -> Column:
+        arrow = F.when((x["a"] == "validate") & (x["b"] == "repair"), " -.->|needs repair| ").when((x["a"] == "repair") & (x["b"] == "validate"), " -.->|retry| ").otherwise(" --> ")
+        return F.concat(F.lit("    "), x["a"], arrow, x["b"])
+
+    flow = F.concat(F.lit("flowchart TD\n"), F.array_join(F.transform(pairs, edge), "\n"))
+    steps = F.arrays_zip(F.concat(F.array(F.lit("Workflow")), p).alias("a"), p.alias("b"))
+    calls = F.transform(F.filter(steps, lambda x: x["b"].isNotNull()), lambda x: F.concat(F.lit("    "), x["a"], F.lit("->>+"), x["b"], F.lit(": run\n    "), x["b"], F.lit("-->>-"), x["a"], F.lit(": done")))
+    members = F.transform(F.array_distinct(p), lambda x: F.concat(F.lit("    participant "), x))
+    sequence = F.concat_ws("\n", F.lit("sequenceDiagram"), F.array_join(members, "\n"), F.array_join(calls, "\n"))
+    return path.select("run_id", flow.alias("flow"), sequence.alias("sequence"))
+
+
+def numbered(trace: DataFrame) -> DataFrame:
+    """run_id, trace_id, no: the steps of a run numbered from 1."""
+    return trace.select("run_id", "trace_id", F.row_number().over(W.partitionBy("run_id").orderBy("step", "trace_id")).alias("no"))
+
+
 def last_of(trace: DataFrame, agent: str) -> DataFrame:
     """Per run: the last step of an agent, by max_by in one aggregation."""
     at = F.struct("step", "trace_id")
@@ -82,11 +114,13 @@ def preview(text: Column, size: int) -> Column:
 
 
 def batch_summary(runs: DataFrame) -> DataFrame:
-    """runs, successes, success_rate, mean accuracy over successes (0 if none), and how many meet the threshold."""
+    """runs, successes, success_rate, mean accuracy and mean recall over successes (0 if none), and how many meet the
+    threshold. runs: success, current_accuracy and, for the recall, recall."""
     ok = F.coalesce("success", F.lit(False))
     return runs.agg(
         F.count("*").alias("runs"), F.count_if(ok).alias("successes"), F.coalesce(F.count_if(ok) / F.count("*"), F.lit(0.0)).alias("success_rate"),
-        F.coalesce(F.avg(F.when(ok, F.col("current_accuracy"))), F.lit(0.0)).alias("mean_accuracy"), F.count_if(F.col("current_accuracy") >= ACCURACY).alias("meeting_threshold"),
+        F.coalesce(F.avg(F.when(ok, F.col("current_accuracy"))), F.lit(0.0)).alias("mean_accuracy"),
+        *([F.coalesce(F.avg(F.when(ok, F.col("recall"))), F.lit(0.0)).alias("mean_recall")] if "recall" in runs.columns else []), F.count_if(F.col("current_accuracy") >= ACCURACY).alias("meeting_threshold"),
     )
 
 
@@ -108,6 +142,12 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.array(*[F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("")) for p in parts])), 256)
 
 
+def request_key(prompt: Column, system_prompt: Column, max_tokens: Column, temperature: Column, provider: Column, model: Column) -> Column:
+    """SHA-256 of the six inputs of a model request as one JSON object with its names in order; nulls are JSON nulls."""
+    inputs = {"force_provider": provider, "max_tokens": max_tokens, "model": model, "prompt": prompt, "system_prompt": system_prompt, "temperature": temperature}
+    return F.sha2(F.to_json(F.struct(*[c.alias(n) for n, c in inputs.items()]), {"ignoreNullFields": "false"}), 256)
+
+
 def live_cache(entries: DataFrame, now: Column, ttl_s: int = CACHE_TTL_S, cap: int = CACHE_CAP) -> DataFrame:
     """Entries (cache_key, created_at, last_accessed) within their time, the most recently used up to the cap.
 

@@ -64,15 +64,20 @@ def page_concat(spark: SparkSession, root: str) -> DataFrame:
     return pages.select("run_id", text.assemble(F.col("pages")).alias("document"))
 
 
-@query(f"""WITH m(ext, kind) AS (VALUES {_values(C.FILE_TYPES)}) SELECT coalesce(kind, 'unknown') AS file_type, count(*) AS n FROM document_state
-LEFT JOIN m ON regexp_extract(lower(file_path), '([.][^./]+)$', 1) = ext GROUP BY 1""")
+@query(f"""WITH m(ext, kind) AS (VALUES {_values(C.FILE_TYPES)}) SELECT DISTINCT file_path, coalesce(kind, 'unknown') AS file_type FROM document_state
+LEFT JOIN m ON regexp_extract(lower(file_path), '([.][^./]+)$', 1) = ext""")
 def file_type_by_extension(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "document_state").groupBy(text.file_type(F.col("file_path")).alias("file_type")).agg(F.count("*").alias("n"))
+    return table(spark, root, "document_state").select("file_path").distinct().select("file_path", text.file_type(F.col("file_path")).alias("file_type"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\f\r]+'), lambda w: w <> '')[1:40], ' ') AS head FROM documents")
+_CAPPED = "list_filter(regexp_split_to_array(coalesce(raw_text, ''), '[ \\t\\n\\f\\r]+'), lambda w: w <> '')"
+
+
+@query(f"SELECT DISTINCT run_id, array_to_string({_CAPPED}[1:1000], ' ') AS head, array_to_string({_CAPPED}[1:500], ' ') AS short_head FROM document_state")
 def word_cap(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents").select("doc_id", text.cap_words(F.col("text"), C.CAP_WORDS).alias("head"))
+    """The first words of each text, as many as a prompt takes of the text and of the fields."""
+    rows = table(spark, root, "document_state").select("run_id", *[text.cap_words(F.col("raw_text"), n).alias(c) for c, n in (("head", C.CAP_WORDS), ("short_head", C.CAP_WORDS_FIELDS))])
+    return rows.dropDuplicates(["run_id"])
 
 
 # --- personal data --------------------------------------------------------------------------------------------------
@@ -84,8 +89,10 @@ _HITS = " UNION ALL ".join(
 @query(f"""WITH s AS (SELECT DISTINCT document_id, document_text FROM sample_dataset), h AS ({_HITS}), m(entity, kind) AS (VALUES {_values(C.ENTITY_TYPES)})
 SELECT document_id, h.entity, kind AS pii_type, value, '[' || h.entity || '_REDACTED]' AS label, count(*) AS n FROM h JOIN m ON h.entity = m.entity GROUP BY ALL""")
 def pii_regex_detect(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "sample_dataset").select("document_id", "document_text").distinct()
-    hits = rows.select("document_id", F.inline(personal.recognised(F.col("document_text"))))
+    body = F.col("document_text")
+    found = F.when(body.rlike("[0-9@]"), personal.recognised(body))  # every recogniser has a digit or an "@"
+    rows = table(spark, root, "sample_dataset").select("document_id", F.xxhash64(body).alias("_text"), found.alias("_hits")).where(F.size("_hits") > 0).distinct()
+    hits = rows.select("document_id", F.inline("_hits"))
     return hits.groupBy("document_id", "entity", personal.entity_type(F.col("entity")).alias("pii_type"), "value", personal.label(F.col("entity")).alias("label")).agg(F.count("*").alias("n"))
 
 
@@ -118,18 +125,60 @@ def redact_longest_first(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("run_id", personal.redact(F.col("raw_text"), marks).alias("redacted"))
 
 
-_EMAIL = dict(C.RECOGNISERS)["EMAIL_ADDRESS"]
-_SCORED = f"""d AS (SELECT DISTINCT ON (run_id) run_id, raw_text, ground_truth_pii FROM document_state),
-s AS (SELECT run_id, list_distinct(list_transform(coalesce(regexp_extract_all(raw_text, '(?:^|[^A-Za-z0-9_])({_EMAIL})(?:[^A-Za-z0-9_]|$)', 1), []), lambda v: lower(v))) AS f,
- list_distinct(list_filter(list_transform(list_filter(coalesce(ground_truth_pii, []), lambda x: upper(x.type) = 'EMAIL' AND x.value IS NOT NULL), lambda x: lower(trim(regexp_replace(x.value, '[ \\t\\n\\f\\r]+', ' ', 'g'), ' '))), lambda v: v <> '')) AS t FROM d),
-c AS (SELECT run_id, len(list_intersect(f, t)) AS true_positives, len(f) AS detected, len(t) AS expected FROM s)"""
+_STREET = r"(?i)^[0-9]+[A-Za-z0-9_ .,#/-]*(?:street|st|avenue|ave|road|rd|drive|dr|lane|ln|court|ct|place|pl|boulevard|blvd|plaza|parkway|pkwy|apt|apartment|suite|ste|unit)(?:[ .,#/-][A-Za-z0-9_ .,#/-]*)?$"
+_TOWN = r"(?i)^([a-z .]+?),? ([a-z]{2}) ([0-9]{5}(?:-[0-9]{4})?)$"
+
+
+def _detected(column: str) -> str:
+    """SQL: key, entity, kind, value, source, score of all detectors over s(key, body)."""
+    parts = []
+    for e, p in C.RECOGNISERS:
+        near = " OR ".join(f"contains(b, '{w}')" for w in C.CONTEXT.get(e, [])) or "false"
+        parts.append(f"""SELECT key, '{e}' AS entity, '{C.ENTITY_TYPES[e]}' AS kind, value, 'pattern' AS source, least(1.0, {C.SCORES[e]} + CASE WHEN {near} THEN {C.CONTEXT_GAIN} ELSE 0 END)::DOUBLE AS score
+FROM (SELECT key, value, substring(lower(body), greatest(1, instr(body, value) - {C.CONTEXT_REACH}), least({C.CONTEXT_REACH}, instr(body, value) - 1)) AS b FROM (SELECT key, body, unnest(regexp_extract_all(body, '(?:^|[^A-Za-z0-9_])({p})(?:[^A-Za-z0-9_]|$)', 1)) AS value FROM s))""")
+    parts += [f"SELECT key, 'GENDER', 'gender', unnest(regexp_extract_all(body, '{p}', 1)), 'gender', 0.98 FROM s" for p in (C.GENDER_LABELLED, C.GENDER_ALONE)]
+    parts += [f"SELECT key, 'MEDICAL_ID', 'medical_id', unnest(regexp_extract_all(body, '{p}', 1)), 'record', 0.95 FROM s" for p in C.RECORD_IDS]
+    lines = "list_filter(list_transform(regexp_split_to_array(body, '\\r?\\n'), lambda x: trim(regexp_replace(x, '[ \\t\\f\\r]+', ' ', 'g'), ' ')), lambda x: x <> '')"
+    parts.append(f"""SELECT key, 'ADDRESS', 'address', a || ', ' || trim(regexp_extract(t, '{_TOWN}', 1), ' ') || ', ' || upper(regexp_extract(t, '{_TOWN}', 2)) || ' ' || regexp_extract(t, '{_TOWN}', 3), 'address', 0.9
+FROM (SELECT key, p[1] AS a, p[2] AS t FROM (SELECT key, unnest(list_zip(l, l[2:])) AS p FROM (SELECT key, {lines} AS l FROM s))) WHERE t IS NOT NULL AND regexp_matches(a, '{_STREET}') AND regexp_matches(t, '{_TOWN}')""")
+    return " UNION ALL ".join(parts)
+
+
+@query(f"""WITH s AS (SELECT DISTINCT document_id AS key, document_text AS body FROM sample_dataset), h AS ({_detected("document_text")})
+SELECT key AS document_id, entity, kind, value, source, round(score, 6) AS score, count(*) AS n FROM h GROUP BY ALL""")
+def detector_union(spark: SparkSession, root: str) -> DataFrame:
+    """What all detectors find in each text: recognisers with scores and context, gender, record numbers, addresses."""
+    body = F.col("document_text")
+    rows = table(spark, root, "sample_dataset").select("document_id", F.xxhash64(body).alias("_text"), personal.detections(body).alias("_hits")).where(F.size("_hits") > 0).distinct()
+    hits = rows.select("document_id", F.inline("_hits"))
+    return hits.groupBy("document_id", "entity", "kind", "value", "source", F.round("score", 6).alias("score")).agg(F.count("*").alias("n"))
+
+
+_NORMAL = "lower(trim(regexp_replace({}, '[ \\t\\n\\f\\r]+', ' ', 'g'), ' '))"
+_WALKED = f"""w AS (SELECT run_id, list(DISTINCT v) AS v FROM (SELECT run_id, {_NORMAL.format("json_extract_string(atom, '$')")} AS v FROM (SELECT d.run_id, t.atom, t.type, lower(regexp_extract(regexp_replace(t.fullkey, '(\\[[0-9]+\\])+$', ''), '([^.]+)$', 1)) AS name
+FROM (SELECT DISTINCT run_id, extracted_fields FROM document_state WHERE json_valid(extracted_fields)) d, json_tree(d.extracted_fields) t) WHERE type = 'VARCHAR' AND ({" OR ".join(f"contains(name, '{f}')" for f in C.PERSONAL_FIELDS)})) WHERE v <> '' GROUP BY run_id)"""
+
+
+@query(f"WITH {_WALKED} SELECT run_id, unnest(v) AS value FROM w")
+def personal_field_values(spark: SparkSession, root: str) -> DataFrame:
+    """The values of fields, at any depth, whose names say that they are personal data."""
+    rows = table(spark, root, "document_state").select("run_id", F.explode(personal.personal_values(F.col("extracted_fields"))).alias("value"))
+    return rows.distinct()
+
+
+_SCORED = f"""s AS (SELECT DISTINCT ON (run_id) run_id AS key, raw_text AS body FROM document_state), h AS ({_detected("raw_text")}), {_WALKED},
+f AS (SELECT key, list(DISTINCT v) AS f FROM (SELECT key, {_NORMAL.format("value")} AS v FROM h) WHERE v <> '' GROUP BY key),
+g AS (SELECT DISTINCT ON (run_id) run_id, list_distinct(list_filter(list_transform(coalesce(ground_truth_pii, []), lambda x: {_NORMAL.format("x.value")}), lambda v: v <> '')) AS g FROM document_state),
+c AS (SELECT g.run_id, len(list_intersect(coalesce(f, []), t)) AS true_positives, len(coalesce(f, [])) AS detected, len(t) AS expected FROM (SELECT g.run_id, CASE WHEN len(g) > 0 THEN g ELSE coalesce(v, []) END AS t FROM g LEFT JOIN w ON w.run_id = g.run_id) g LEFT JOIN f ON f.key = g.run_id)"""
 
 
 def _scored(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "document_state").select("run_id", "raw_text", "ground_truth_pii").dropDuplicates(["run_id"])
-    found = F.transform(F.filter(personal.recognised(F.col("raw_text")), lambda h: h["entity"] == "EMAIL_ADDRESS"), lambda h: h["value"])
-    truth = F.transform(F.filter("ground_truth_pii", lambda x: F.upper(x["type"]) == "EMAIL"), lambda x: x["value"])
-    return rows.select("run_id", *personal.precision_recall(found, truth))
+    """Counts of each run over all types of personal data; what is expected are the labels, else the fields' values."""
+    rows = table(spark, root, "document_state").select("run_id", "raw_text", "ground_truth_pii", "extracted_fields")
+    found = F.transform(personal.detections(F.col("raw_text")), lambda h: h["value"])
+    labels = F.filter(F.transform("ground_truth_pii", lambda x: text.normalised(x["value"])), lambda v: v.isNotNull() & (v != ""))
+    truth = F.when(F.size(labels) > 0, labels).otherwise(personal.personal_values(F.col("extracted_fields")))
+    return rows.select("run_id", *personal.precision_recall(found, truth)).dropDuplicates(["run_id"])
 
 
 @query(f"WITH {_SCORED} SELECT *, CASE WHEN detected > 0 THEN true_positives / detected WHEN expected = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS precision, CASE WHEN expected > 0 THEN true_positives / expected ELSE 1.0 END::DOUBLE AS recall FROM c")
@@ -165,18 +214,13 @@ def name_canonical(spark: SparkSession, root: str) -> DataFrame:
     return values.select("value", personal.name_canonical(F.col("value")).alias("canonical"))
 
 
-@query(r"""WITH t AS (SELECT c_custkey, c_mktsegment, 'Patient ID: MRN-' || lpad(c_custkey::VARCHAR, 6, '0') || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN 'Gender : Female' ELSE 'Sex: Male' END || chr(10) || c_custkey || ' ' || c_mktsegment || ' Street' || chr(10) || 'Springfield, il ' || lpad((c_custkey % 99999)::VARCHAR, 5, '0') || chr(10) AS body FROM customer)
-SELECT c_custkey, 'MRN-' || lpad(c_custkey::VARCHAR, 6, '0') AS record_id, CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender, c_custkey || ' ' || c_mktsegment || ' Street, Springfield, IL ' || lpad((c_custkey % 99999)::VARCHAR, 5, '0') AS address FROM t""")
-def labelled_patterns(spark: SparkSession, root: str) -> DataFrame:
-    """Record numbers, gender and two-line addresses, found in texts written from the customers."""
-    key = F.col("c_custkey").cast("string")
-    body = F.concat(
-        F.lit("Patient ID: MRN-"), F.lpad(key, 6, "0"), F.when(F.col("c_custkey") % 2 == 0, "\nGender : Female\n").otherwise("\nSex: Male\n"), key, F.lit(" "), F.col("c_mktsegment"), F.lit(" Street\nSpringfield, il "),
-        F.lpad((F.col("c_custkey") % 99999).cast("string"), 5, "0"), F.lit("\n"),
-    )
-    rows = table(spark, root, "customer").select("c_custkey", body.alias("body"))
-    b = F.col("body")
-    return rows.select("c_custkey", F.get(personal.record_ids(b), F.lit(0)).alias("record_id"), F.get(personal.gender_hits(b), F.lit(0)).alias("gender"), F.get(personal.multiline_addresses(b), F.lit(0)).alias("address"))
+@query(r"""WITH h AS (SELECT DISTINCT run_id, unnest(regexp_extract_all(raw_text, '(?:[+]|00)?[0-9(][0-9() .-]{7,18}[0-9]')) AS v FROM document_state WHERE raw_text IS NOT NULL), k AS (SELECT run_id, v, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM h)
+SELECT run_id, v AS value, CASE WHEN length(d) = 11 AND d LIKE '1%' THEN '1-' || d[2:4] || '-' || d[5:7] || '-' || d[8:11] WHEN length(d) = 10 THEN '(' || d[1:3] || ') ' || d[4:6] || '-' || d[7:10] ELSE trim(v, ' ') END AS canonical FROM k""")
+def phone_forms_in_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Whatever looks like a number of eight or more digits in the runs' texts, in its canonical form."""
+    hits = F.regexp_extract_all("raw_text", F.lit(r"(?:[+]|00)?[0-9(][0-9() .-]{7,18}[0-9]"), 0)
+    rows = table(spark, root, "document_state").select("run_id", F.explode(hits).alias("value")).distinct()
+    return rows.select("run_id", "value", personal.phone_canonical(F.col("value")).alias("canonical"))
 
 
 # --- fields ---------------------------------------------------------------------------------------------------------
@@ -216,22 +260,25 @@ def alias_coverage(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(f"""WITH {_ENTRIES}, {_ALIAS}, p AS (SELECT run_id, coalesce(canonical, field) AS f, value, field, row_number() OVER (PARTITION BY run_id ORDER BY field) AS pos FROM e LEFT JOIN a ON field = alias)
-SELECT run_id, f AS field, arg_max(CASE WHEN value IN ('null', '""') THEN 'empty' ELSE 'filled' END, CASE WHEN value IN ('null', '""') THEN 0 ELSE 1000000 END + pos) AS state, count(*) AS names FROM p GROUP BY ALL""")
+SELECT run_id, f AS field, arg_max(CASE WHEN value IN ('null', '""') THEN 'empty' ELSE 'filled' END, CASE WHEN value IN ('null', '""') THEN 0 ELSE 1000000 END + pos) AS state,
+arg_max(CASE WHEN value LIKE '"%' THEN json_extract_string(value, '$') ELSE '' END, CASE WHEN value IN ('null', '""') THEN 0 ELSE 1000000 END + pos) AS text, count(*) AS names FROM p GROUP BY ALL""")
 def alias_resolution(spark: SparkSession, root: str) -> DataFrame:
-    """Whether each canonical field is filled after renaming, and from how many names."""
+    """Each canonical field after renaming: whether it is filled, its text if it is one, and from how many names."""
     rows = _entries(spark, root)
     names = rows.groupBy("run_id", fields.canonical_field(F.col("field")).alias("field")).agg(F.count("*").alias("names"))
     state = F.when(F.col("value").isin("null", '""'), "empty").otherwise("filled")
-    return fields.resolve_aliases(rows, "run_id").join(names, ["run_id", "field"]).select("run_id", "field", state.alias("state"), "names")
+    return fields.resolve_aliases(rows, "run_id").join(names, ["run_id", "field"]).select("run_id", "field", state.alias("state"), F.coalesce(F.when(F.startswith("value", F.lit('"')), fields.shown(F.col("value"))), F.lit("")).alias("text"), "names")
 
 
-@query(r"""WITH t AS (SELECT DISTINCT ON (trace_id) trace_id, raw_output AS r FROM trace_log WHERE raw_output IS NOT NULL), f AS (SELECT trace_id, r, regexp_extract(r, '```(?:json)?[ \t\r\n]*([\s\S]*?)[ \t\r\n]*```', 1) AS i FROM t)
-SELECT CASE WHEN json_valid(r) AND regexp_matches(r, '^\s*[\[{"]') THEN 'direct' WHEN i <> '' AND json_valid(i) AND regexp_matches(i, '^\s*[\[{"]') THEN 'fenced' ELSE 'none' END AS parsed, count(*) AS n FROM f GROUP BY 1""")
+@query(r"""WITH t AS (SELECT DISTINCT ON (trace_id) trace_id, raw_output AS r FROM trace_log WHERE raw_output IS NOT NULL), f AS (SELECT trace_id, r, regexp_extract(r, '```(?:json)?[ \t\r\n]*([\s\S]*?)[ \t\r\n]*```', 1) AS i FROM t),
+j AS (SELECT trace_id, CASE WHEN json_valid(r) AND regexp_matches(r, '^\s*[{]') THEN r WHEN i <> '' AND json_valid(i) AND regexp_matches(i, '^\s*[{]') THEN i END AS j FROM f)
+SELECT trace_id, j IS NOT NULL AS parsed, array_to_string(list_sort(json_keys(j)), ',') AS keys, json_extract_string(j, '$.doc_type') AS doc_type FROM j""")
 def json_parse_fenced(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "trace_log").where("raw_output is not null").select("trace_id", "raw_output").dropDuplicates(["trace_id"])
-    r, inner = F.col("raw_output"), fields.unfenced(F.col("raw_output"))
-    how = F.when(inner.isNull() | ~inner.rlike(r'^\s*[\[{"]'), "none").when(inner == F.trim(r), "direct").otherwise("fenced")
-    return rows.groupBy(how.alias("parsed")).agg(F.count("*").alias("n"))
+    """Every answer: whether it is an object, as it stands or in a fence, with its keys and its type."""
+    rows = table(spark, root, "trace_log").where("raw_output is not null").select("trace_id", fields.unfenced(F.col("raw_output")).alias("_json"))
+    inner = F.when(F.col("_json").rlike(r"^\s*[{]"), F.col("_json"))
+    keys = F.array_join(F.array_sort(F.json_object_keys(inner)), ",")
+    return rows.select("trace_id", inner.isNotNull().alias("parsed"), keys.alias("keys"), F.get_json_object(inner, "$.doc_type").alias("doc_type")).dropDuplicates(["trace_id"])
 
 
 # --- checks ---------------------------------------------------------------------------------------------------------
@@ -248,7 +295,7 @@ def missing_presets(spark: SparkSession, root: str) -> DataFrame:
     return _entries(spark, root).groupBy("run_id").agg(*[F.count_if(checks.is_missing(F.col("value"), **p)).alias(f"missing_{n}") for n, p in checks.MISSING.items()])
 
 
-@query(rf"""WITH {_ENTRIES}, t AS (SELECT *, regexp_replace(regexp_replace(value, '^"', ''), '"$', '') AS t FROM e), r AS (SELECT run_id, field, CASE WHEN value IN ('null', '""') OR regexp_matches(value, '^[\[{{]') THEN NULL
+@query(rf"""WITH {_ENTRIES}, t AS (SELECT *, regexp_replace(regexp_replace(value, '^"', ''), '"$', '') AS t FROM e), r AS (SELECT run_id, field, CASE WHEN value IN ('null', '""') OR value LIKE '{{%' THEN NULL WHEN value LIKE '[%' THEN CASE WHEN regexp_matches(field, 'amount|price|total|salary') AND len(list_filter(json_extract_string(value, '$[*]'), lambda x: x <> '' AND NOT regexp_matches(x, '^[$]?[0-9,]+[.]?[0-9]*$'))) > 0 THEN 'amount' END
 WHEN contains(field, 'email') THEN CASE WHEN NOT regexp_matches(t, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{{2,}}$') THEN 'email' END WHEN contains(field, 'phone') THEN CASE WHEN NOT regexp_matches(t, '^[0-9 ()+-]{{10,}}$') THEN 'phone' END
 WHEN regexp_matches(field, '_date$|^date$|^date_|birth') THEN CASE WHEN NOT regexp_matches(t, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}})') THEN 'date' END
 WHEN regexp_matches(field, 'amount|price|total|salary') THEN CASE WHEN NOT regexp_matches(t, '^[$]?[0-9,]+[.]?[0-9]*$') THEN 'amount' END WHEN contains(field, 'ssn') THEN CASE WHEN NOT regexp_matches(t, '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$') THEN 'ssn' END END AS rule FROM t)
@@ -258,7 +305,7 @@ def field_format_errors(spark: SparkSession, root: str) -> DataFrame:
 
 
 _REQ = "q(kind, f) AS (VALUES " + ", ".join(f"('{t}', '{f}')" for t, fs in C.REQUIRED_FIELDS.items() for f in fs) + ")"
-_SCH = "c(kind, f) AS (VALUES " + ", ".join(f"('{t}', '{f}')" for t, fs in C.SCHEMA_FIELDS.items() for f in fs.split()) + ")"
+_SCH = "c(kind, f) AS (VALUES " + ", ".join(f"('{t}', '{f}')" for t, fs in C.SCHEMA_FIELDS.items() for f in fs) + ")"
 
 
 @query(f"""WITH {_ENTRIES}, {_REQ}, {_SCH}, d AS (SELECT DISTINCT run_id, CASE WHEN doc_type IN (SELECT kind FROM q) THEN doc_type ELSE 'unknown' END AS kind FROM document_state), h AS (SELECT run_id, field, NOT {_missing_sql(**checks.MISSING["accuracy"])} AS ok FROM e),
@@ -291,11 +338,14 @@ def upsert_profiles(spark: SparkSession, root: str) -> DataFrame:
     return checks.upsert(current, incoming, "slug", "created_at", "updated_at")
 
 
-@query("""WITH f AS (SELECT DISTINCT replace(lower(trim(doc_type, ' ')), ' ', '_') AS slug, unnest(required_fields) AS field FROM knowledge_schema_request WHERE doc_type IS NOT NULL)
-SELECT slug, array_to_string(list_sort(list(field)), ',') AS fields FROM f WHERE field IS NOT NULL GROUP BY slug""")
+@query("""WITH r AS (SELECT DISTINCT ON (request_id) * FROM knowledge_schema_request WHERE doc_type IS NOT NULL ORDER BY request_id, requested_at), f AS (SELECT replace(lower(trim(doc_type, ' ')), ' ', '_') AS slug, (coalesce(requested_at, '1900-01-01'::TIMESTAMP), request_id, pos) AS ord, trim(required_fields[pos], ' ') AS field
+FROM (SELECT *, unnest(generate_series(1, len(required_fields))) AS pos FROM r)), o AS (SELECT slug, field, min(ord) AS ord FROM f WHERE field <> '' GROUP BY ALL) SELECT slug, string_agg(field, ',' ORDER BY ord) AS fields FROM o GROUP BY slug""")
 def required_union(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "knowledge_schema_request").where("doc_type is not null").select(checks.slug(F.col("doc_type")).alias("slug"), F.explode("required_fields").alias("field"))
-    return rows.where("field is not null").distinct().groupBy("slug").agg(F.array_join(F.array_sort(F.collect_list("field")), ",").alias("fields"))
+    """The required fields of each type in the order in which its requests first named them."""
+    rows = table(spark, root, "knowledge_schema_request").where("doc_type is not null").dropDuplicates(["request_id"])
+    at = F.coalesce(F.col("requested_at").cast("timestamp_ntz"), F.lit("1900-01-01").cast("timestamp_ntz"))
+    rows = rows.select(checks.slug(F.col("doc_type")).alias("slug"), at.alias("requested_at"), "request_id", "required_fields")
+    return schemas.required_union(rows, "slug", ["requested_at", "request_id"], "required_fields").withColumn("fields", F.array_join("fields", ","))
 
 
 _LABELS = "l(label, kind, n) AS (VALUES " + ", ".join(f"('{a}', '{k}', {i})" for i, (a, k) in enumerate(C.TYPE_LABELS.items())) + ")"
@@ -308,14 +358,15 @@ def doc_type_normalise(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "knowledge_schema_request").select("doc_type").distinct().select("doc_type", fields.normalise_type(F.col("doc_type")).alias("normalised"))
 
 
-_PROPS = """p AS (SELECT DISTINCT request_id, replace(lower(trim(doc_type, ' ')), ' ', '_') AS slug, requested_at, k AS property, list_sort(json_extract(s, '$.properties."' || k || '".type')::VARCHAR[]) AS types
-FROM (SELECT request_id, doc_type, requested_at, json_schema AS s, unnest(json_keys(json_schema, '$.properties')) AS k FROM knowledge_schema_request WHERE json_valid(json_schema) AND doc_type IS NOT NULL))"""
+_PROPS = """p AS (SELECT DISTINCT request_id, replace(lower(trim(doc_type, ' ')), ' ', '_') AS slug, requested_at, k AS property, list_sort(json_extract(s, '$.properties."' || k || '".type')::VARCHAR[]) AS types, list_contains(list_transform(coalesce(required_fields, []), lambda x: trim(x, ' ')), k) AS required
+FROM (SELECT request_id, doc_type, requested_at, required_fields, json_schema AS s, unnest(json_keys(json_schema, '$.properties')) AS k FROM knowledge_schema_request WHERE json_valid(json_schema) AND doc_type IS NOT NULL))"""
 
 
 def _props(spark: SparkSession, root: str) -> DataFrame:
     requests = table(spark, root, "knowledge_schema_request").where("doc_type is not null").dropDuplicates(["request_id"])
     props = schemas.properties(requests, "request_id", "json_schema")
-    return props.join(requests.select("request_id", "requested_at", checks.slug(F.col("doc_type")).alias("slug")), "request_id")
+    given = requests.select("request_id", "requested_at", checks.slug(F.col("doc_type")).alias("slug"), F.transform(F.coalesce("required_fields", F.array().cast("array<string>")), lambda x: F.trim(x)).alias("_required"))
+    return props.join(given, "request_id").withColumn("required", F.coalesce(F.array_contains("_required", F.col("property")), F.lit(False))).drop("_required")
 
 
 @query(f"WITH {_PROPS} SELECT slug, property, count(DISTINCT request_id) AS requests FROM p GROUP BY ALL")
@@ -323,12 +374,19 @@ def schema_properties(spark: SparkSession, root: str) -> DataFrame:
     return _props(spark, root).groupBy("slug", "property").agg(F.count("*").alias("requests"))
 
 
-@query(f"WITH {_PROPS} SELECT slug, property, array_to_string(list_sort(list_distinct(list_append(arg_max(types, (coalesce(requested_at, '1900-01-01'::TIMESTAMP), request_id)), 'null'))), ',') AS types FROM p GROUP BY slug, property")
-def schema_merge(spark: SparkSession, root: str) -> DataFrame:
-    """The last request of a type says what a property may be; null is always allowed."""
+_MERGED = f"""{_PROPS}, a AS (SELECT slug, property, types, coalesce(required, false) AS required, (coalesce(requested_at, '1900-01-01'::TIMESTAMP), request_id) AS ord FROM p),
+g AS (SELECT slug, property, arg_max(types, ord) AS t, bool_or(required) OR max(ord) > min(ord) AS keep FROM a GROUP BY ALL), m AS (SELECT slug, property, CASE WHEN keep THEN list_sort(t) ELSE list_sort(list_distinct(list_append(t, 'null'))) END AS types FROM g)"""
+
+
+def _merged(spark: SparkSession, root: str) -> DataFrame:
     order = F.struct(F.coalesce(F.col("requested_at").cast("timestamp_ntz"), F.lit("1900-01-01").cast("timestamp_ntz")), F.col("request_id"))
-    out = schemas.merged(_props(spark, root), "slug", order)
-    return out.withColumn("types", F.array_join("types", ","))
+    return schemas.merged(_props(spark, root), "slug", order)
+
+
+@query(f"WITH {_MERGED} SELECT slug, property, array_to_string(types, ',') AS types FROM m")
+def schema_merge(spark: SparkSession, root: str) -> DataFrame:
+    """The last request of a type says what a property may be; new ones that are not required may also be null."""
+    return _merged(spark, root).withColumn("types", F.array_join("types", ","))
 
 
 @query(f"""WITH {_ENTRIES} SELECT run_id, initcap(replace(field, '_', ' ')) AS label, CASE WHEN value LIKE '"%' THEN json_extract_string(value, '$') END AS text FROM e WHERE value NOT IN ('null', '""', '[]', '{{}}')""".replace("initcap(replace(field, '_', ' '))", "array_to_string(list_transform(string_split(field, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ')"))
@@ -363,11 +421,12 @@ def agent_latency(spark: SparkSession, root: str) -> DataFrame:
     return sums.join(p95, same, "left").select(sums["agent_name"], sums["llm_model_used"], "steps", "seconds", F.round("p95_ms", 4).alias("p95_ms"))
 
 
-@query("""WITH d AS (SELECT DISTINCT ON (run_id) * FROM document_state) SELECT count(*) AS runs, count_if(coalesce(success, false)) AS successes, round(coalesce(count_if(coalesce(success, false)) / count(*), 0.0), 9) AS success_rate,
-round(coalesce(avg(CASE WHEN success THEN current_accuracy END), 0.0), 9) AS mean_accuracy, count_if(current_accuracy >= 0.9) AS meeting_threshold FROM d""")
+@query(f"""WITH {_SCORED}, d AS (SELECT DISTINCT ON (run_id) * FROM document_state), r AS (SELECT run_id, CASE WHEN expected > 0 THEN true_positives / expected ELSE 1.0 END AS recall FROM c) SELECT count(*) AS runs, count_if(coalesce(success, false)) AS successes, round(coalesce(count_if(coalesce(success, false)) / count(*), 0.0), 9) AS success_rate,
+round(coalesce(avg(CASE WHEN success THEN current_accuracy END), 0.0), 9) AS mean_accuracy, round(coalesce(avg(CASE WHEN success THEN recall END), 0.0), 9) AS mean_recall, count_if(current_accuracy >= 0.9) AS meeting_threshold FROM d JOIN r ON d.run_id = r.run_id""")
 def batch_summary(spark: SparkSession, root: str) -> DataFrame:
     runs = table(spark, root, "document_state").select("run_id", "success", "current_accuracy").dropDuplicates(["run_id"])
-    return trace.batch_summary(runs).withColumns({c: F.round(c, 9) for c in ("success_rate", "mean_accuracy")})
+    runs = runs.join(_scored(spark, root).select("run_id", "recall"), "run_id")
+    return trace.batch_summary(runs).withColumns({c: F.round(c, 9) for c in ("success_rate", "mean_accuracy", "mean_recall")})
 
 
 @query(f"""WITH {_ONCE}, l AS (SELECT run_id, step, trace_id, agent_name, lag(agent_name) OVER (PARTITION BY run_id ORDER BY step, trace_id) AS b FROM s), k AS (SELECT * FROM l WHERE b IS NULL OR b <> agent_name),
@@ -410,12 +469,13 @@ def rate_limit_errors(spark: SparkSession, root: str) -> DataFrame:
     return _trace(spark, root, "error_message").where("error_message is not null").groupBy("error_message", trace.is_rate_limit(F.col("error_message")).alias("rate_limited")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_ONCE}, k AS (SELECT llm_provider, llm_model_used, user_prompt, count(*) AS n FROM s WHERE user_prompt IS NOT NULL GROUP BY ALL) SELECT llm_model_used, count(*) AS requests, sum(n)::BIGINT AS calls FROM k GROUP BY ALL")
+@query(f"""WITH {_ONCE}, k AS (SELECT trace_id, sha256('{{"force_provider":' || coalesce(to_json(llm_provider)::VARCHAR, 'null') || ',"max_tokens":' || coalesce(tokens_output::VARCHAR, 'null') || ',"model":' || coalesce(to_json(llm_model_used)::VARCHAR, 'null') || ',"prompt":' || to_json(user_prompt)::VARCHAR || ',"system_prompt":"","temperature":0.0}}') AS cache_key FROM s WHERE user_prompt IS NOT NULL)
+SELECT cache_key, count(*) AS calls, min(trace_id) AS first_call FROM k GROUP BY cache_key""")
 def repeated_requests(spark: SparkSession, root: str) -> DataFrame:
-    """How many distinct model requests each model had, by cache key."""
-    rows = _trace(spark, root, "llm_provider", "llm_model_used", "user_prompt").where("user_prompt is not null")
-    keys = rows.groupBy(trace.cache_key(F.col("llm_provider"), F.col("llm_model_used"), F.col("user_prompt")).alias("cache_key"), "llm_model_used").agg(F.count("*").alias("n"))
-    return keys.groupBy("llm_model_used").agg(F.count("*").alias("requests"), F.sum("n").alias("calls"))
+    """How often each model request was made, by its cache key; the tokens of the answer stand for the limit asked for."""
+    rows = _trace(spark, root, "llm_provider", "llm_model_used", "user_prompt", "tokens_output").where("user_prompt is not null")
+    key = trace.request_key(F.col("user_prompt"), F.lit(""), F.col("tokens_output"), F.lit(0.0), F.col("llm_provider"), F.col("llm_model_used"))
+    return rows.groupBy(key.alias("cache_key")).agg(F.count("*").alias("calls"), F.min("trace_id").alias("first_call"))
 
 
 @query("""WITH e AS (SELECT user_id::VARCHAR AS cache_key, max(ts) AS created_at, max(ts) AS last_accessed FROM events GROUP BY 1), n AS (SELECT max(last_accessed) AS now FROM e)
