@@ -153,6 +153,11 @@ def detections(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), numbered).when(text.isNotNull(), gender.cast(_DETECTION))
 
 
+def confident(found: Column, floor: float = 0.2) -> Column:
+    """Detections with a score of `floor` or more."""
+    return F.filter(found, lambda d: d["score"] >= floor)
+
+
 def personal_values(json: Column) -> Column:
     """ARRAY<STRING>: the texts at any depth of a JSON object whose own name, or that of the list they stand in, says that
     they are personal data; normalised, each once. Unparsable texts give none."""

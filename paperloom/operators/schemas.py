@@ -1,7 +1,6 @@
 """JSON Schemas as rows: properties, the merge of schemas of one type, and a check of fields against them.
 
-The subset: properties, type (one or a list) and required. Errors are (path, rule) pairs; message texts are not
-reproduced.
+The subset: properties, type (one or a list) and required. Errors have a path, a rule and a message of our own.
 """
 
 from __future__ import annotations
@@ -24,9 +23,12 @@ def properties(df: DataFrame, key: str, schema: str) -> DataFrame:
 
 
 def merged(props: DataFrame, group: str, order: Column) -> DataFrame:
-    """group, property, types: of several schemas of a group the last one by `order` says a property's types. props also
-    has `required` (BOOLEAN): a property that the last schema requires, or that an earlier one brought, keeps its types;
-    a new one that is not required may also be null."""
+    """group, property, types: of several schemas of a group the last one by `order` says a property's types. Where props
+    also has `required` (BOOLEAN), a property that is required, or that an earlier schema brought, keeps its types; all
+    others may also be null."""
+    if "required" not in props.columns:
+        last = props.groupBy(group, "property").agg(F.max_by("types", order).alias("types"))
+        return last.withColumn("types", F.array_sort(F.array_union("types", F.array(F.lit("null")))))
     first = F.min(order).over(Window.partitionBy(group, "property"))
     born = props.withColumn("_first", first)
     last = born.groupBy(group, "property").agg(F.max_by("types", order).alias("types"), F.bool_or("required").alias("required"), (F.max(order) > F.min("_first")).alias("again"))
@@ -43,7 +45,7 @@ def required_union(rows: DataFrame, group: str, order: list[str], names: str) ->
 
 
 def errors(rows: DataFrame, key: str, group: str, schema: DataFrame) -> DataFrame:
-    """key, path, rule ("type") of fields whose JSON type their group's schema doesn't allow.
+    """key, path, rule ("type"), message of fields whose JSON type their group's schema doesn't allow.
 
     rows: key, group, field, value (JSON text); schema: group, property, types as `merged` gives them. An integer is
     a number too; properties without types allow everything; fields outside the schema are no errors.
@@ -51,7 +53,8 @@ def errors(rows: DataFrame, key: str, group: str, schema: DataFrame) -> DataFram
     kind = F.when(F.col("value") == "null", "null").otherwise(json_kind(F.col("value")))
     joined = rows.join(schema, (rows[group] == schema[group]) & (rows["field"] == schema["property"]))
     bad = (F.size("types") > 0) & ~F.array_contains("types", kind) & ~((kind == "integer") & F.array_contains("types", "number"))
-    return joined.where(bad).select(rows[key], F.col("field").alias("path"), F.lit("type").alias("rule"))
+    message = F.concat(F.lit("Schema violation at "), "field", F.lit(": "), kind, F.lit(" is not of type "), F.array_join("types", ", "))
+    return joined.where(bad).select(rows[key], F.col("field").alias("path"), F.lit("type").alias("rule"), message.alias("message"))
 
 
 def missing_required(rows: DataFrame, key: str, group: str, required: DataFrame) -> DataFrame:

@@ -65,3 +65,18 @@ def file_type(path: Column) -> Column:
 def exploded_strides(df: DataFrame, key: str, text: str, size: int = CHUNK, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """key, chunk_no, chunk of every text."""
     return df.select(F.col(key), F.posexplode(strides(F.col(text), size, overlap)).alias("chunk_no", "chunk"))
+
+
+def lines_of_blocks(blocks: DataFrame, key: str) -> DataFrame:
+    """key, text of recognised blocks (key, block_no, block_type, text): the LINE blocks that say something, in order, one a
+    line. A page has a bounded number of blocks; keys without lines give the empty text."""
+    line = F.when((F.col("block_type") == "LINE") & (F.col("text") != ""), F.struct("block_no", "text"))
+    ordered = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"])
+    return blocks.groupBy(key).agg(F.trim(F.array_join(ordered, "\n")).alias("text"))
+
+
+def recognition_statistics(tokens: DataFrame, key: str) -> DataFrame:
+    """key, word_count, avg_confidence of recognised tokens (key, text, conf): tokens that are not blank, and the mean
+    confidence without -1, which stands for no text; 0 where there is none."""
+    conf = F.avg(F.when(F.col("conf") != -1, F.col("conf")))
+    return tokens.groupBy(key).agg(F.count_if(F.trim("text") != "").alias("word_count"), F.coalesce(conf, F.lit(0.0)).alias("avg_confidence"))

@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -39,11 +41,14 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder and read again, so that lost executors don't recompute it.
 
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests) a local one is made.
+    The folder is the session's `spark.checkpoint.dir`; where that is unset a local one is made if all runs in one process
+    (tests), and on a cluster, whose executors share no local folder, it is an error.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or Path(os.path.join(tempfile.gettempdir(), "paperloom-checkpoints")).as_uri())
     return df.checkpoint()
 
