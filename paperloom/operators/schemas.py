@@ -44,8 +44,8 @@ def required_union(rows: DataFrame, group: str, order: list[str], names: str) ->
     return first.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_name"))), lambda x: x["_name"]).alias("fields"))
 
 
-def errors(rows: DataFrame, key: str, group: str, schema: DataFrame) -> DataFrame:
-    """key, path, rule ("type"), message of fields whose JSON type their group's schema doesn't allow.
+def violations(rows: DataFrame, key: str, group: str, schema: DataFrame) -> DataFrame:
+    """key, path, message of fields whose JSON type their group's schema doesn't allow.
 
     rows: key, group, field, value (JSON text); schema: group, property, types as `merged` gives them. An integer is
     a number too; properties without types allow everything; fields outside the schema are no errors.
@@ -54,7 +54,12 @@ def errors(rows: DataFrame, key: str, group: str, schema: DataFrame) -> DataFram
     joined = rows.join(schema, (rows[group] == schema[group]) & (rows["field"] == schema["property"]))
     bad = (F.size("types") > 0) & ~F.array_contains("types", kind) & ~((kind == "integer") & F.array_contains("types", "number"))
     message = F.concat(F.lit("Schema violation at "), "field", F.lit(": "), kind, F.lit(" is not of type "), F.array_join("types", ", "))
-    return joined.where(bad).select(rows[key], F.col("field").alias("path"), F.lit("type").alias("rule"), message.alias("message"))
+    return joined.where(bad).select(rows[key], F.col("field").alias("path"), message.alias("message"))
+
+
+def errors(rows: DataFrame, key: str, group: str, schema: DataFrame) -> DataFrame:
+    """key, path, rule ("type") of the fields of `violations`."""
+    return violations(rows, key, group, schema).select(key, "path", F.lit("type").alias("rule"))
 
 
 def missing_required(rows: DataFrame, key: str, group: str, required: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def schema_violations(spark: SparkSession, root: str) -> DataFrame:
     requests = table(spark, root, "knowledge_schema_request").select(checks.slug(F.col("doc_type")).alias("slug"), F.explode("required_fields").alias("property"))
     due = requests.select("slug", F.trim("property").alias("property")).where("property <> ''").distinct()
     missing = schemas.missing_required(rows, "run_id", "slug", due)
-    wrong = schemas.errors(rows, "run_id", "slug", R._merged(spark, root)).select("run_id", "path", "message")
+    wrong = schemas.violations(rows, "run_id", "slug", R._merged(spark, root))
     return wrong.unionByName(missing.select("run_id", "path", F.concat(F.lit("Schema violation at "), "path", F.lit(": required")).alias("message")))
 
 
