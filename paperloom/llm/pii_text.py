@@ -604,8 +604,9 @@ def labelled_rows(df: DataFrame, key: str, text: str, truth: str, sample_rows: i
     return [(r._text, r._truth) for r in taken]
 
 
-def find(df: DataFrame, key: str, text: str, truth: str, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """`key`, redacted, found ARRAY<STRUCT<pii_type, pii_value>> of every row.
+def find(df: DataFrame, key: str, text: str, truth: str, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, with_values: bool = False) -> DataFrame:
+    """`key`, redacted, found ARRAY<STRUCT<pii_type, pii_value>> of every row; with_values: also values ARRAY<STRING>, what
+    each placeholder stands for, in order and as it stands.
 
     pii_value is the value as it stands with every run of white space made one space; each distinct value of a text
     comes once. A null text gives null and an empty array; without labelled rows only names after a title or a label are
@@ -619,15 +620,17 @@ def find(df: DataFrame, key: str, text: str, truth: str, sample_rows: int = SAMP
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = NameScorer(*shared.value)
         for batch in batches:
-            masked, found = [], []
+            masked, found, values = [], [], []
             for value in batch.column(1).to_pylist():
                 spans = spans_of(value, score) if value else []
                 masked.append(redact(value, spans) if value is not None else None)
                 pairs = dict.fromkeys((s.kind, re.sub(r"\s+", " ", value[s.start : s.end])) for s in spans)
                 found.append([{"pii_type": k, "pii_value": v} for k, v in pairs])
+                values.append([value[s.start : s.end] for s in spans])
             kind = pa.list_(pa.struct([("pii_type", pa.string()), ("pii_value", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masked, pa.string()), pa.array(found, kind)], names=["key", "redacted", "found"])
+            arrays = [batch.column(0), pa.array(masked, pa.string()), pa.array(found, kind)] + [pa.array(values, pa.list_(pa.string()))] * with_values
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "redacted", "found"] + ["values"] * with_values)
 
     kept = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"key {kept.schema['key'].dataType.simpleString()}, redacted string, found array<struct<pii_type:string,pii_value:string>>"
+    schema = f"key {kept.schema['key'].dataType.simpleString()}, redacted string, found array<struct<pii_type:string,pii_value:string>>" + ", values array<string>" * with_values
     return map_batches(kept, run, schema).withColumnRenamed("key", key)

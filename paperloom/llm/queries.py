@@ -36,8 +36,8 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 def p2_repaired(spark: SparkSession, root: str) -> DataFrame:
     """The texts of both tables as continuous paragraphs, each row once."""
     found = cut(scans.find(_scanned(spark, root)))
-    parts = [scans.repair(s, found).withColumn("table_name", F.lit(s[3])) for s in _scanned(spark, root)]
-    return parts[0].unionByName(parts[1]).dropDuplicates(["table_name", "row_key"])
+    parts = [scans.repair(s, found, once=True).withColumn("table_name", F.lit(s[3])) for s in _scanned(spark, root)]
+    return parts[0].unionByName(parts[1])
 
 
 #: Field of the extracted JSON to the reference list of its values.
@@ -70,6 +70,14 @@ def p6_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.split(table(spark, root, "document_state"), "run_id", "raw_text").dropDuplicates(["run_id", "piece_no"])
 
 
+def p6_rejoined(spark: SparkSession, root: str) -> DataFrame:
+    """Every split text put together again from its pieces (as a hash), and whether pieces and overlaps keep their bounds."""
+    own = F.substring("piece", F.col("body_start") - F.col("piece_start") + 1, F.length("piece"))
+    parts = p6_pieces(spark, root).select("run_id", F.struct("piece_no", own.alias("own")).alias("p"), F.length("piece").alias("n"), (F.col("body_start") - F.col("piece_start")).alias("over"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["own"]), "")
+    return parts.groupBy("run_id").agg(F.md5(text).alias("text"), (F.max("n") <= 3000).alias("within_limit"), (F.max("over") <= 200).alias("within_overlap"))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Runs whose text is split, and whether any cut had to be forced."""
     pieces = splitting.split(table(spark, root, "document_state"), "run_id", "raw_text", with_text=False)
@@ -85,6 +93,15 @@ def p7_redacted(spark: SparkSession, root: str) -> DataFrame:
     return _p7(spark, root).select("document_id", "redacted").dropDuplicates(["document_id"])
 
 
+def p7_restored(spark: SparkSession, root: str) -> DataFrame:
+    """Every redacted text with its values put back where their placeholders stand, as a hash: nothing else has changed."""
+    found = pii_text.find(table(spark, root, "sample_dataset"), "document_id", "document_text", "ground_truth_pii", with_values=True)
+    signs = "|".join(pii_text.TYPES).upper()
+    between = F.split("redacted", rf"\[(?:{signs})\]", -1)
+    text = F.array_join(F.flatten(F.transform(between, lambda x, i: F.array(x, F.coalesce(F.get(F.col("values"), i), F.lit(""))))), "")
+    return found.select("document_id", F.md5(text).alias("text")).distinct()
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Each distinct value of personal data of every document."""
     return _p7(spark, root).select("document_id", F.inline("found")).distinct()
@@ -116,7 +133,7 @@ def p10_counts(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", "word_count", *[F.round(c, 6).alias(c) for c in found.columns[2:]])
 
 
-QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p7_redacted": p7_redacted, "p7_found": p7_found, "p1_labels": p1_labels, "p1_found": p1_found, "p3_cases": p3_cases, "p3_found": p3_found, "p6_pieces": p6_pieces, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_stats": p10_stats, "p10_counts": p10_counts, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p7_redacted": p7_redacted, "p7_restored": p7_restored, "p7_found": p7_found, "p1_labels": p1_labels, "p1_found": p1_found, "p3_cases": p3_cases, "p3_found": p3_found, "p6_pieces": p6_pieces, "p6_rejoined": p6_rejoined, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_stats": p10_stats, "p10_counts": p10_counts, "p10_found": p10_found}
 _TYPED = " UNION ALL ".join(
     f"""SELECT 'document_state' AS table_name, run_id AS row_key, '{f}' AS field_name, '{n}' AS list_name, json_extract_string(extracted_fields, '$.{f}') AS value
 FROM document_state WHERE json_valid(extracted_fields) AND json_type(extracted_fields, '$.{f}') = 'VARCHAR'"""
@@ -125,6 +142,8 @@ FROM document_state WHERE json_valid(extracted_fields) AND json_type(extracted_f
 _SPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _COMMON = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(quality.ANY))
 SQL: dict[str, str] = {
+    "p6_rejoined": "SELECT DISTINCT run_id, md5(raw_text) AS text, true AS within_limit, true AS within_overlap FROM document_state WHERE length(raw_text) > 3000",
+    "p7_restored": "SELECT DISTINCT document_id, md5(document_text) AS text FROM sample_dataset",
     "p10_counts": rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), u AS (SELECT doc_id,
 len(list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda w: w <> '')) AS words, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS visible,
 length(regexp_replace(text, '[\p{{L}}\p{{N}}]|{_SPACE}', '', 'g')) AS symbols, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '{_SPACE}', '', 'g') <> '') AS lines,

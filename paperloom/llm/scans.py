@@ -578,13 +578,16 @@ def _fixed(token: str, fixes: dict[str, str]) -> str:
     return token.replace(word, fixes[word]) if word is not None and word in fixes else token
 
 
-def repair(source: tuple[DataFrame, str, str, str], found: DataFrame) -> DataFrame:
-    """row_key, repaired of every row of a source, by what `find` found. A null text stays null; repeated rows repeat."""
+def repair(source: tuple[DataFrame, str, str, str], found: DataFrame, once: bool = False) -> DataFrame:
+    """row_key, repaired of every row of a source, by what `find` found. A null text stays null; repeated rows repeat, or
+    come once where `once` is set: they are dropped where the join has put them, so that no text is shuffled again."""
     df, key, text, name = source
     fixes = found.where((F.col("table_name") == name) & F.col("kind").isin("hyphenated", "misread"))
     fixes = fixes.groupBy("row_key", "original").agg(F.min("repaired").alias("repaired"))  # a map takes a key once
     own = fixes.groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("original", "repaired"))).alias("fixes"))
     rows = df.select(F.col(key).cast("string").alias("row_key"), F.col(text).alias("text")).join(own, "row_key", "left")
+    if once:
+        rows = rows.dropDuplicates(["row_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
