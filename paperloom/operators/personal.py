@@ -17,11 +17,17 @@ from paperloom.operators.text import normalised
 _BEFORE, _AFTER = "(?:^|[^A-Za-z0-9_])", "(?:[^A-Za-z0-9_]|$)"
 
 
+def _extracted(text: Column, pattern: str) -> Column:
+    """All hits of a recogniser; where it has an "@", only texts with one are searched."""
+    hits = F.regexp_extract_all(text, F.lit(f"{_BEFORE}({pattern}){_AFTER}"), 1)
+    return F.when(F.contains(text, F.lit("@")), hits).when(text.isNotNull(), F.array().cast("array<string>")) if "@" in pattern else hits
+
+
 def recognised(text: Column) -> Column:
     """ARRAY<STRUCT<entity, value>> of all recognisers' hits, in the order of the recognisers."""
 
     def of(entity: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(f"{_BEFORE}({pattern}){_AFTER}"), 1), lambda v: F.struct(F.lit(entity).alias("entity"), v.alias("value")))
+        return F.transform(_extracted(text, pattern), lambda v: F.struct(F.lit(entity).alias("entity"), v.alias("value")))
 
     hits = [of(e, p) for e, p in RECOGNISERS]
     return F.concat(*[F.coalesce(h, F.array().cast("array<struct<entity:string,value:string>>")) for h in hits])
@@ -134,21 +140,24 @@ def detections(text: Column) -> Column:
     """ARRAY<STRUCT<entity, kind, value, source, score>>: what all detectors find, in the order recognisers, gender, record
     numbers, addresses of two lines. A word of its context in the characters before a value's first place raises the
     score of a recogniser's hit. Null texts give null; texts without digit or "@" are only searched for gender."""
-    low = F.lower(text)
 
     def scored(entity: str, score: float, words: list[str]):
         def of(v: Column) -> Column:
             at = F.instr(text, v)
-            before = F.substring(low, F.greatest(F.lit(1), at - CONTEXT_REACH), F.least(F.lit(CONTEXT_REACH), at - 1))
+            before = F.lower(F.substring(text, F.greatest(F.lit(1), at - CONTEXT_REACH), F.least(F.lit(CONTEXT_REACH), at - 1)))
             near = reduce(lambda a, b: a | b, [F.contains(before, F.lit(w)) for w in words]) if words else F.lit(False)
             return F.struct(F.lit(entity).alias("entity"), F.lit(ENTITY_TYPES[entity]).alias("kind"), v.alias("value"), F.lit("pattern").alias("source"), F.least(F.lit(1.0), F.lit(score) + F.when(near, CONTEXT_GAIN).otherwise(0.0)).alias("score"))
 
         return of
 
     plain = lambda entity, kind, source, score: lambda v: F.struct(F.lit(entity).alias("entity"), F.lit(kind).alias("kind"), v.alias("value"), F.lit(source).alias("source"), F.lit(score).alias("score"))
-    hits = [F.transform(F.regexp_extract_all(text, F.lit(f"{_BEFORE}({p}){_AFTER}"), 1), scored(e, SCORES[e], CONTEXT.get(e, []))) for e, p in RECOGNISERS]
+    hits = [F.transform(_extracted(text, p), scored(e, SCORES[e], CONTEXT.get(e, []))) for e, p in RECOGNISERS]
     gender = F.transform(gender_hits(text), plain("GENDER", "gender", "gender", 0.98))
-    others = [F.transform(record_ids(text), plain("MEDICAL_ID", "medical_id", "record", 0.95)), F.transform(multiline_addresses(text), plain("ADDRESS", "address", "address", 0.9))]
+    none = F.array().cast("array<string>")
+    # what each of the two must hold is looked for first
+    records = F.when(text.rlike("(?i)(?:mrn|lab)-[0-9]"), record_ids(text)).otherwise(none)
+    addresses = F.when(text.rlike("[A-Za-z]{2}[ \\t]+[0-9]{5}"), multiline_addresses(text)).otherwise(none)
+    others = [F.transform(records, plain("MEDICAL_ID", "medical_id", "record", 0.95)), F.transform(addresses, plain("ADDRESS", "address", "address", 0.9))]
     numbered = F.concat(*[h.cast(_DETECTION) for h in hits], gender.cast(_DETECTION), *[h.cast(_DETECTION) for h in others])
     return F.when(text.rlike("[0-9@]"), numbered).when(text.isNotNull(), gender.cast(_DETECTION))
 

@@ -178,7 +178,8 @@ def _scored(spark: SparkSession, root: str) -> DataFrame:
     found = F.transform(personal.detections(F.col("raw_text")), lambda h: h["value"])
     labels = F.filter(F.transform("ground_truth_pii", lambda x: text.normalised(x["value"])), lambda v: v.isNotNull() & (v != ""))
     truth = F.when(F.size(labels) > 0, labels).otherwise(personal.personal_values(F.col("extracted_fields")))
-    return rows.select("run_id", *personal.precision_recall(found, truth)).dropDuplicates(["run_id"])
+    sets = rows.select("run_id", F.array_distinct(found).alias("_found"), truth.alias("_truth")).dropDuplicates(["run_id"])  # found once, then counted
+    return sets.select("run_id", *personal.precision_recall(F.col("_found"), F.col("_truth")))
 
 
 @query(f"WITH {_SCORED} SELECT *, CASE WHEN detected > 0 THEN true_positives / detected WHEN expected = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS precision, CASE WHEN expected > 0 THEN true_positives / expected ELSE 1.0 END::DOUBLE AS recall FROM c")
