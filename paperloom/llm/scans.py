@@ -491,7 +491,7 @@ def _decide(candidates: DataFrame, vocabulary: DataFrame) -> DataFrame:
     tried where no word is known with one."""
     first = cut(_counted(candidates, vocabulary, second=False))
     left = first.where(F.col("undone").isNull())
-    # a form with capitals alone may be a name that nobody knows: of these only one confusion is undone
+    # letters alone after a capital may be a name that nobody knows: of these only one confusion is undone
     name = F.col("b").isNull() & F.col("a").rlike(r"^\p{Lu}\p{L}*$")
     again = _counted(left.where((F.length("a") >= 5) & ~name & (F.col("plain.clean") == 0)).select("a", "b"), vocabulary, second=True)
     best = first.where(F.col("undone").isNotNull()).unionByName(left.join(again.select("a", F.col("b").alias("_b"), F.col("undone").alias("_two")), (left.a == again.a) & left.b.eqNullSafe(F.col("_b")), "left").select(left.a, "b", "plain", "hyphen", F.col("_two").alias("undone")))
